@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("q02_decontaminate", "q04_jaccard_join", "q08_bpe", "q09_quality")
+MODULES = (
+    "q01_suffix_dedup", "q02_decontaminate", "q04_jaccard_join", "q05_passage_dedup", "q08_bpe", "q09_quality",
+)
 
 
 def _modules():
