@@ -57,7 +57,7 @@ def decode_ids(ids: np.ndarray, enc) -> bytes:
     return enc.decode_bytes(ids.tolist())
 
 
-def slices(batch, column: str, limit: int = OUT_BYTES):
+def slices(batch, column: str | int, limit: int = OUT_BYTES):
     """Slices of a batch with about ``limit`` bytes of a text column each."""
     import pyarrow.compute as pc
 
@@ -76,8 +76,8 @@ def _codec(path: str, pattern: str, decode: bool):
 
         enc = encoding(path, pattern)
         for batch in batches:
-            for part in slices(batch, "text"):
-                ids = [encode_text(t or "", enc) for t in part.column("text").to_pylist()]
+            for part in slices(batch, batch.num_columns - 1):
+                ids = [encode_text(t or "", enc) for t in part.column(part.num_columns - 1).to_pylist()]
                 columns = [part.column(k) for k in range(part.num_columns - 1)]
                 columns += [pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
                 names = [*part.schema.names[:-1], "n_tokens", "ids"]
@@ -91,7 +91,7 @@ def _codec(path: str, pattern: str, decode: bool):
 
 def encode(docs: DataFrame, path: str, pattern: str, carry: tuple = ("doc_id",), decode: bool = False) -> DataFrame:
     """carry, n_tokens, ids (little-endian unsigned 32-bit) and, if asked, the decoded bytes."""
-    rows = docs.select(*carry, "text")
+    rows = docs.select(*carry, F.col("text").alias("_encoded"))
     fields = [f"`{c}` {t}" for c, t in rows.dtypes[:-1]] + ["n_tokens long", "ids binary"] + ["decoded binary"] * decode
     return rows.mapInArrow(_codec(path, pattern, decode), ", ".join(fields))
 
