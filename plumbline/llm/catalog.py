@@ -5,7 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
-    "q01_suffix_dedup", "q02_decontaminate", "q04_jaccard_join", "q05_passage_dedup", "q08_bpe", "q09_quality",
+    "q01_suffix_dedup", "q02_decontaminate", "q04_jaccard_join", "q05_passage_dedup", "q07_token_file", "q08_bpe",
+    "q09_quality",
 )
 
 
