@@ -18,8 +18,9 @@ only those prefixes are shuffled.
    near copies gives about m pairs, not m * m / 2. Pairs pass length and position
    bounds, then are verified.
 4. Rest: after stars, shingles whose documents already lie in one component are
-   done. For the others, pairs across components under the same bounds are verified
-   as well, so that no link between different components is lost.
+   done. For the others, pairs across components are counted over their prefixes (the
+   first cut of the order): what both still have can't exceed the rest of either, so
+   few pairs are left. They are verified as well, so no link is lost.
 
 Verification is vertical: each set is cut into fragments of the global order, the
 overlap of a pair is counted per fragment and the counts are summed per pair. A long
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .shared import connected_components, materialize
+from .shared import connected_components, discard, materialize, sized
 
 SHINGLE = 5
 PERCENT = 75
@@ -50,9 +51,15 @@ FRAGMENTS = 4  # of rare shingles, by hash; frequent ones are one more
 
 
 def prefix_size(n: int) -> int:
+    """Linked sets share a shingle among the first ones of each."""
     return n - -(-PERCENT * n // 100) + 1 if n else 0
 
 
+def index_size(n: int) -> int:
+    """In the smaller set it is among these."""
+    return n - -(-2 * PERCENT * n // (100 + PERCENT)) + 1 if n else 0
+
+
 def _sets(batch):
     """(row in the batch, sorted distinct shingles) of every text."""
     texts = [t.lower() for t in wordhash.utf8(batch.column("text"))]
@@ -70,7 +77,7 @@ def _digest(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def _summaries(batches):
-    """One row per document; its prefix by hash, if the task met its set first here."""
+    """One row per document; the head of its prefix by hash, if the task met its set first here."""
     import pyarrow as pa
 
     seen = set()
@@ -82,7 +89,7 @@ def _summaries(batches):
             seen.add((d1, d2))
             for key, v in (("n", len(tokens)), ("d1", d1), ("d2", d2)):
                 out[key].append(v)
-            out["toks"].append(tokens[: prefix_size(len(tokens))].view(np.int64) if new else None)
+            out["toks"].append(tokens[: index_size(len(tokens))].view(np.int64) if new else None)
         yield pa.RecordBatch.from_pydict(
             out | {"toks": pa.array(out["toks"], pa.list_(pa.int64()))},
             schema=pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("toks", pa.list_(pa.int64()))]),
@@ -190,21 +197,45 @@ def _pair(left: str, right: str):
     ]
 
 
+def _heads(posts: DataFrame) -> DataFrame:
+    """(doc, p, t): the shingles of each prefix that other documents have, in order."""
+    rows = posts.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("pos", "tok"))).alias("h"))
+    return materialize(rows.select("doc", F.col("h.pos").alias("p"), F.col("h.tok").alias("t")), "heads")
+
+
+def _promising(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """Pairs whose overlap may be large enough after the first cut of the order.
+
+    One of the two prefixes ends first. Of its set no shingle up to there is shared but
+    those counted here, so at most the rest of its set may follow; of the other set,
+    what comes after the last shared one."""
+    side = lambda k: heads.select(F.col("doc").alias(k), F.col("p").alias(f"p{k}"), F.col("t").alias(f"t{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("s", F.array_intersect("ta", "tb"))
+    last = F.element_at("s", -1)
+    rest = lambda k: F.col(f"n{k}") - 1 - F.element_at(f"p{k}", F.array_position(f"t{k}", last).cast("int"))
+    beyond = lambda k: F.expr(f"({PERCENT} * cast(n{k} as long) + 99) div 100 - 1")  # n less its prefix
+    most = F.size("s") + F.greatest(F.least(beyond("a"), rest("b")), F.least(rest("a"), beyond("b")))
+    total = F.col("na").cast("long") + F.col("nb")
+    kept = both.where((F.size("s") > 0) & ((100 + PERCENT) * most >= PERCENT * total))
+    return materialize(kept.select("a", "b", "na", "nb"), "promising")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, frequent) -> DataFrame:
     """The pairs (a, b) that link: overlaps counted per fragment, summed per pair."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.join(materialize(ids, "ids"), "doc_id", "left_semi")
+    texts = docs.join(sized(materialize(ids, "ids")), "doc_id", "left_semi")
     parts = texts.mapInArrow(_fragments(frequent), "doc long, frag int, toks array<long>")
-    parts = materialize(parts.dropDuplicates(["doc", "frag"]), "fragments")
+    parts = materialize(parts, "fragments")
     left = parts.select(F.col("doc").alias("a"), "frag", F.col("toks").alias("ta"))
     right = parts.select(F.col("doc").alias("b"), "frag", F.col("toks").alias("tb"))
-    counted = (
+    overlaps = (
         pairs.join(left, "a").join(right, ["b", "frag"])
-        .select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("part"))
+        .select("a", "b", "na", "nb", "frag", F.size(F.array_intersect("ta", "tb")).alias("part"))
+        .groupBy("a", "b", "na", "nb", "frag").agg(F.max("part").alias("part"))  # once for repeated rows
         .groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
     )
     total = F.col("na").cast("long") + F.col("nb")
-    return counted.where(100 * F.col("both") >= PERCENT * (total - F.col("both"))).select("a", "b")
+    return overlaps.where(100 * F.col("both") >= PERCENT * (total - F.col("both"))).select("a", "b")
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -216,39 +247,54 @@ def components(docs: DataFrame) -> DataFrame:
     classes = sums.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
     named = materialize(sums.join(classes, ["d1", "d2", "n"], "left").select("doc_id", "n", "rep"), "classes")
     frequent = _frequent(sums)
+    discard(sums)
 
     rows = docs.mapInArrow(_postings(frequent), "tok long, doc long, n int, pos int, hot boolean")
+    # everything up to the leaders happens in one partitioning, by shingle (and salt)
     salted = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(F.lit(0)))
     several = salted.withColumn("c", F.expr("count(*) over (partition by tok, salt)")).where("c > 1 or hot")
-    members = named.where("rep is not null").select(F.col("doc_id").alias("doc"), "rep").distinct()
-    posts = several.join(members, "doc").select("tok", F.col("rep").alias("doc"), "n", "pos").distinct()
+    copies = materialize(named.where("doc_id <> rep").select(F.col("doc_id").alias("doc"), "rep").distinct(), "copies")
+    posts = (
+        several.join(sized(copies), "doc", "left")
+        .groupBy("tok", "salt", F.coalesce("rep", "doc").alias("doc"))
+        .agg(F.max("n").alias("n"), F.max("pos").alias("pos"), F.max("hot").alias("hot"))
+        .withColumn("c", F.expr("count(*) over (partition by tok, salt)")).where("c > 1 or hot")
+        # the leader has the fewest shingles of its own before this one: among near copies
+        # that is the original, or the copy with the fewest edits
+        .withColumn("l", F.expr("min(struct(pos, doc, n)) over (partition by tok, salt)"))
+        .select("tok", "hot", "doc", "n", "pos", F.struct("l.doc", "l.n", "l.pos").alias("l"))
+    )
     posts = materialize(posts, "postings")
 
-    # the leader varies with the shingle, so a group has a few stars, not one
-    leaders = posts.groupBy("tok").agg(
-        F.count(F.lit(1)).alias("c"),
-        F.min(F.struct(F.xxhash64("doc", F.pmod("tok", F.lit(3))).alias("x"), "doc", "n", "pos")).alias("l"),
-    ).where("c > 1").select("tok", "l.doc", "l.n", "l.pos")
-    stars = (
-        posts.alias("p").join(leaders.alias("l"), "tok")
-        .where((F.col("p.doc") != F.col("l.doc")) & _bounds("p", "l"))
-        .select(*_pair("p", "l")).distinct()
-    )
-    stars = materialize(stars, "stars")
-    links = materialize(_verified(stars, docs, frequent), "links")
+    # leaders of one frequent shingle's salts are tied to one of them
+    chiefs = posts.where("hot").select("tok", "l").distinct()
+    chiefs = chiefs.join(chiefs.groupBy("tok").agg(F.min(F.struct("l.pos", "l.doc", "l.n")).alias("m")), "tok").select("l.*", F.col("m").alias("l"))
+    stars = posts.select("doc", "n", "pos", "l").unionByName(chiefs)
+    stars = stars.select(F.struct("doc", "n", "pos").alias("p"), "l").where((F.col("p.doc") != F.col("l.doc")) & _bounds("p", "l"))
+    stars = materialize(stars.select(*_pair("p", "l")).distinct(), "stars")
+    heads = _heads(posts)
+    links = materialize(_verified(_promising(stars, heads), docs, frequent), "links")
     joined = materialize(connected_components(links), "components")
 
-    placed = posts.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn(
-        "comp", F.coalesce("component", "doc")
+    placed = posts.join(sized(joined).withColumnRenamed("node", "doc"), "doc", "left").select(
+        "tok", "doc", "n", "pos", F.coalesce("component", "doc").alias("comp")
     )
     open_ = placed.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
-    left = materialize(placed.join(open_, "tok").select("tok", "doc", "n", "pos", "comp"), "open")
+    left = materialize(placed.join(sized(materialize(open_, "shingles")), "tok"), "open")
+    # shared shingles that pass the bounds are the first ones that a pair shares, so the
+    # pair's whole overlap is at most their number and the rest after the last of them
+    total = F.col("na").cast("long") + F.col("nb")
+    rest = F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
     across = (
         left.alias("p").join(left.alias("q"), "tok")
         .where((F.col("p.doc") < F.col("q.doc")) & (F.col("p.comp") != F.col("q.comp")) & _bounds("p", "q"))
-        .select(*_pair("p", "q")).distinct()
+        .groupBy(F.col("p.doc").alias("a"), F.col("q.doc").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb"))
+        .agg(F.count(F.lit(1)).alias("c"), F.max("p.pos").alias("pa"), F.max("q.pos").alias("pb"))
+        .where((100 + PERCENT) * (F.col("c") + rest) >= PERCENT * total)
+        .select("a", "b", "na", "nb")
     )
     across = materialize(across.join(stars, ["a", "b"], "left_anti"), "across")
+    across = _promising(across, heads)
     if not across.isEmpty():
         more = materialize(_verified(across, docs, frequent), "links")
         if not more.isEmpty():
@@ -263,4 +309,4 @@ def components(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs whose document is the first of its component."""
     gone = components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(materialize(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(sized(materialize(gone, "gone")), "doc_id", "left_anti").select(*docs.columns)

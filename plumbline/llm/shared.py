@@ -40,6 +40,19 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: a side is broadcast only if it has been counted and has no more rows than this
+BROADCAST_ROWS = 1 << 20
+
+
+def sized(side: DataFrame, limit: int = BROADCAST_ROWS, weight=None) -> DataFrame:
+    """side, marked for broadcast if its rows (or the sum of weight) are few enough.
+
+    side is a written table, so the count reads no more than a footer or one column.
+    Above the limit the planner joins it by shuffling."""
+    n = side.count() if weight is None else side.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(side) if n <= limit else side
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges(a, b); component is the smallest node.
 

@@ -122,11 +122,9 @@ def _covered(spec: regions.Spec):
             new = np.concatenate(([True], g[1:] != g[:-1]))
             group = np.cumsum(new)
             alone = np.bincount(group)[group] == 1
-            lo, hi, n = (frame[c].to_numpy(np.int64) for c in ("lo", "hi", "n"))
+            lo, hi = (frame[c].to_numpy(np.int64) for c in ("lo", "hi"))
             base = int(lo.min())
             flags = np.zeros((len(frame), int(hi.max()) - base + 1), bool)
-            for k in np.flatnonzero(n > 1):
-                flags[k, lo[k] - base : hi[k] - base + 1] = True
             pick = np.flatnonzero(~alone)
             if len(pick):
                 after = regions.matrix(frame["after"].iloc[pick].tolist(), 1, spec.length, False)
@@ -149,25 +147,24 @@ def _covered(spec: regions.Spec):
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = regions.CROWD) -> DataFrame:
     """(doc_id, whole, spans): documents that lose bytes; whole ones, or byte spans."""
-    spec = regions.Spec("byte", length, gram)
-    table, classes = regions.scan(docs, spec)
-    rows = regions.contexts(docs, regions.repeated(table, classes), spec)
-    unique = materialize(regions.unique_contexts(rows), "unique")
-    few, crowded = regions.split_crowds(unique, crowd)
+    spec = regions.Spec("byte", length, gram, (length - gram) // 2)
+    grams, classes = regions.scan(docs, spec)
+    rows = regions.contexts(docs, regions.repeated(grams), spec)
+    unique = regions.unique_contexts(rows)
+    few, crowded = regions.split_crowds(regions.open_contexts(docs, unique, spec), crowd)
     found = few.mapInArrow(_covered(spec), "g long, c1 long, c2 long, first int, last int")
     windows = regions.crowd_windows(crowded, spec)
     twice = windows.groupBy("g", "o", "w").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select("g", "o", "w")
     counted = windows.join(twice, ["g", "o", "w"]).select(
         "g", "c1", "c2", F.col("o").alias("first"), F.col("o").alias("last")
     )
-    spans = (
-        rows.select("g", "c1", "c2", "doc", "pos").join(found.union(counted), ["g", "c1", "c2"])
-        .groupBy(F.col("doc").alias("doc_id"))
-        .agg(F.collect_list(F.struct((F.col("pos") - F.col("last")).alias("a"), (F.col("pos") - F.col("first") + length).alias("b"))).alias("spans"))
-    )
+    # a context that occurs twice covers all its windows; others as found
+    twice = unique.where("n > 1").select("g", "c1", "c2", F.col("lo").alias("first"), F.col("hi").alias("last"))
+    span = ["doc", (F.col("pos") - F.col("last")).alias("a"), (F.col("pos") - F.col("first") + length).alias("b")]
+    spans = rows.select("g", "c1", "c2", "doc", "pos").join(found.union(counted).union(twice), ["g", "c1", "c2"]).select(*span)
     copies = classes.where((F.col("copies") > 1) & (F.col("size") >= length)).select("doc_id").distinct()
     whole = copies.select("doc_id", F.lit(True).alias("whole"), F.lit(None).cast("array<struct<a:long,b:long>>").alias("spans"))
-    part = spans.join(copies, "doc_id", "left_anti").select("doc_id", F.lit(False).alias("whole"), "spans")
+    part = regions.merged_spans(spans).join(copies, "doc_id", "left_anti").select("doc_id", F.lit(False).alias("whole"), "spans")
     return materialize(whole.union(part), "spans")
 
 
@@ -177,7 +174,7 @@ def _remover(batches):
     for batch in batches:
         texts = wordhash.utf8(batch.column("text"))
         removed, counts, kept = [], [], []
-        for text, whole, spans in zip(texts, batch.column("whole").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        for text, whole, spans in zip(texts, batch.column("_whole").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
             starts, ends = np.zeros(0, np.int64), np.zeros(0, np.int64)
             if whole:
                 starts, ends = np.array([0]), np.array([len(text)])
@@ -199,5 +196,5 @@ def _remover(batches):
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): kept holds the remaining bytes."""
     spans = repeated_spans(docs, **options)
-    rows = docs.select("doc_id", "text").join(spans, "doc_id", "left").select("doc_id", "text", "whole", "spans")
+    rows = regions.with_spans(docs.select("doc_id", "text"), spans)
     return rows.mapInArrow(_remover, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
