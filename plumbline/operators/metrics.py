@@ -132,17 +132,17 @@ def sweep(df: DataFrame, keys: Sequence[str], first: int, last: int, label: str
     near = F.floor(F.col(score) * 100 + 0.5)
     reached = F.when(near / 100.0 <= F.col(score), near).otherwise(near - 1)
     step = F.greatest(F.least(reached, F.lit(last)), F.lit(first - 1)).cast("int")
-    bins = df.where(F.col(score).isNotNull()).groupBy(*keys, step.alias("k")).agg(
-        F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n")
+    bins = df.where(F.col(score).isNotNull()).groupBy(*keys, step.alias("_k")).agg(
+        F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) != 1).alias("_n")
     )
-    total = bins.groupBy(*keys).agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))
-    grid = total.withColumn("k", F.explode(F.sequence(F.lit(first), F.lit(last))))
-    grid = grid.join(bins, [*keys, "k"], "left")
-    upper = W.partitionBy(*keys).orderBy(F.desc("k")).rowsBetween(W.unboundedPreceding, 0)
+    total = bins.groupBy(*keys).agg(F.sum("_p").alias("all_p"), F.sum("_n").alias("all_n"))
+    grid = total.withColumn("_k", F.explode(F.sequence(F.lit(first), F.lit(last))))
+    grid = grid.join(bins, [*keys, "_k"], "left")
+    upper = W.partitionBy(*keys).orderBy(F.desc("_k")).rowsBetween(W.unboundedPreceding, 0)
     reach = lambda c: F.sum(F.coalesce(c, F.lit(0))).over(upper)
-    out = grid.withColumn("tp", reach("p")).withColumn("fp", reach("n"))
+    out = grid.withColumn("tp", reach("_p")).withColumn("fp", reach("_n"))
     return out.select(
-        *keys, (F.col("k") / 100.0).alias("threshold"), "tp", "fp",
+        *keys, (F.col("_k") / 100.0).alias("threshold"), "tp", "fp",
         (F.col("all_n") - F.col("fp")).alias("tn"), (F.col("all_p") - F.col("tp")).alias("fn"),
     )
 
