@@ -129,8 +129,8 @@ def test_url_rules(spark):
 def test_quality_on_edge_cases(spark, docs):
     out = {r["doc_id"]: r for r in quality.judge(docs, ["doc_id", "source"]).collect()}
     assert len(out) == len(corpus())
-    assert out[6]["n_words"] == 0 and out[6]["base_failed"] and not out[6]["kept"]
-    assert out[0]["n_words"] == 200 and not out[0]["base_failed"]
+    assert out[6]["q"]["n_words"] == 0 and out[6]["base_failed"] and not out[6]["kept"]
+    assert out[0]["q"]["n_words"] == 200 and not out[0]["base_failed"]
 
 
 def test_language_accuracy_on_held_out_documents(spark):
