@@ -8,10 +8,13 @@ probability 1 - 0.25 ** BANDS (0.94 for two), at 1 always, and neighbouring wind
 add further chances. Successive windows share their minimum, so the scan lists about
 two rows a band for every 45 words, not one for each window.
 
-Windows that collide are verified: equal words (in classes of equal windows, for any
-number of copies), or exact Jaccard of shingles of at least 0.75 with the earliest
-member of their band. Verified members of a band form a component, of which the
-earliest place by (doc_id, position) stays and the other windows are removed. Equal
+Two windows are compared if they select the same gram at the same offset, at every
+offset that both contexts have: equal words (in classes of equal windows, for any number
+of copies), or exact Jaccard of shingles of at least 0.75. All such pairs are found:
+stars around the earliest windows first, then the pairs across components that share a
+shingle among the rarest of each. Of the windows that links reach from one another (over
+all bands and grams) the earliest by (doc_id, position) stays and the others are removed.
+Equal
 documents of at least ``LENGTH`` words are one component: the smallest doc_id stays.
 Only words inside such windows go; texts without one stay as they are, byte for byte.
 
@@ -29,76 +32,185 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import regions, wordhash
-from .shared import materialize
+from .shared import connected_components, materialize
 
 LENGTH = 50
 SHINGLE = 5
 BANDS = 2
 PERCENT = 75
+HALF = LENGTH - SHINGLE  # most words of a window before its gram
+PAIRS = 1 << 14  # compared at once
+STARS = 3
 
 
-def _shingle_sets(before: list[bytes], after: list[bytes], lo, hi) -> list[np.ndarray]:
-    """Shingles of the middle window of each context."""
-    out = []
-    for b, a, l, h in zip(before, after, lo, hi, strict=True):
-        words = np.frombuffer(b + a, np.uint64)
-        at = h - (l + h) // 2
-        out.append(np.unique(regions._word_grams(words[at : at + LENGTH], SHINGLE)))
+def _aligned(before, after, grp, lo, hi):
+    """(numbers of the shingles of each context, offsets at which a near copy is possible).
+
+    Column k of both is counted from the gram, so the window at offset o has columns
+    HALF - o to 2 * HALF - o; -1 is no shingle. A window in which fewer than PERCENT of
+    the shingles occur in another context of its gram has no near copy."""
+    words = np.concatenate([before[:, :HALF][:, ::-1], after], axis=1)
+    grams = np.zeros((len(words), 2 * HALF + 1), np.uint64)
+    for j in range(SHINGLE):
+        grams = wordhash.mix(grams + words[:, j : j + 2 * HALF + 1])
+    grams = wordhash.mix(grams ^ (grp.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None])
+    place = np.arange(-HALF, HALF + 1)
+    row, col = np.nonzero((place >= -hi[:, None]) & (place <= HALF - lo[:, None]))
+    values = grams[row, col]
+    order = np.argsort(values, kind="stable")
+    differ = values[order][1:] != values[order][:-1]
+    number = np.concatenate(([0], np.cumsum(differ)))
+    again = np.concatenate(([False], ~differ & (row[order][1:] == row[order][:-1])))
+    several = (np.bincount(number[~again]) > 1)[number]
+    codes = np.full(grams.shape, -1, np.int32)
+    codes[row[order], col[order]] = number
+    shared = np.zeros((len(words), 2 * HALF + 2), np.int32)
+    shared[row[order], col[order] + 1] = several
+    shared = np.cumsum(shared, axis=1)
+    repeats = np.bincount(row[order][again], minlength=len(words))
+    offsets = np.arange(HALF + 1)
+    met = shared[:, 2 * HALF + 1 - offsets] - shared[:, HALF - offsets]
+    return codes, 100 * met >= PERCENT * (HALF + 1 - repeats)[:, None]
+
+
+def _near(sets, size, a, b) -> np.ndarray:
+    """Exact Jaccard of the pairs of sets a[k], b[k] of at least PERCENT."""
+    out = np.zeros(len(a), bool)
+    for k in range(0, len(a), PAIRS):
+        x, y = a[k : k + PAIRS], b[k : k + PAIRS]
+        both = np.sort(np.concatenate([sets[x], sets[y]], axis=1), axis=1)
+        met = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] >= 0)).sum(1)
+        out[k : k + PAIRS] = 100 * met >= PERCENT * (size[x] + size[y] - met)
     return out
 
 
-def _later(spec: regions.Spec):
-    """Runs of offsets at which a context's first place repeats an earlier one."""
+def _tie(label, a, b) -> np.ndarray:
+    """label, the least member of each component, after the links a[k], b[k]."""
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return label
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _components(sets, size, grp) -> np.ndarray:
+    """The least row that links of near sets within a group reach from each row.
+
+    Stars around the first rows first; then every pair across components whose sets
+    share a shingle among their rarest ones, which all near sets do."""
+    n, label = len(sets), np.arange(len(sets))
+    left = label
+    for _ in range(STARS):
+        lead = np.full(grp.max() + 1, n)
+        np.minimum.at(lead, grp[left], left)
+        leads = lead[grp[left]]
+        near = (leads == left) | _near(sets, size, leads, left)
+        label = _tie(label, leads[near], left[near])
+        left = left[~near]
+        if not len(left):
+            break
+    low, high = np.full(grp.max() + 1, n), np.zeros(grp.max() + 1, np.int64)
+    np.minimum.at(low, grp, label)
+    np.maximum.at(high, grp, label)
+    live = np.flatnonzero((low < high)[grp])
+    if not len(live):
+        return label
+    own, m = sets[live], size[live]
+    count = np.bincount(own[own >= 0])
+    key = np.where(own >= 0, count[own] * np.int64(len(count)) + own, np.iinfo(np.int64).max)
+    own = np.take_along_axis(own, np.argsort(key, axis=1), axis=1)
+    row, at = np.nonzero(np.arange(own.shape[1]) < (m + PERCENT * -m // 100 + 1)[:, None])
+    code = own[row, at]
+    order = np.argsort(code, kind="stable")
+    row, at, code = row[order], at[order], code[order]
+    end = np.searchsorted(code, code, "right")
+    k, step = np.arange(len(code)), 1
+    while len(k := k[k + step < end[k]]):
+        x, y = row[k], row[k + step]
+        # nothing before the first shared shingle is shared
+        rest = np.minimum(m[x] - at[k], m[y] - at[k + step])
+        pick = (label[live[x]] != label[live[y]]) & ((100 + PERCENT) * rest >= PERCENT * (m[x] + m[y]))
+        x, y = live[x[pick]], live[y[pick]]
+        near = _near(sets, size, x, y)
+        label = _tie(label, x[near], y[near])
+        step += 1
+    return label
+
+
+def _links(codes, o, rows, grp):
+    """The first row of the component of each of rows, different windows in their order."""
+    sets = np.sort(codes[rows, HALF - o : 2 * HALF + 1 - o], axis=1)
+    sets[:, 1:][sets[:, 1:] == sets[:, :-1]] = -1
+    size = (sets >= 0).sum(1)
+    several = np.bincount(sets[sets >= 0]) > 1
+    keep = np.flatnonzero(100 * (several[sets] & (sets >= 0)).sum(1) >= PERCENT * size)
+    first = rows.copy()
+    if len(keep) > 1:
+        first[keep] = rows[keep[_components(sets[keep], size[keep], grp[rows[keep]])]]
+    return first
+
+
+_FOUND = "doc long, pos long, first int, last int, to_doc long, to_start long"
+
+
+def _later(spec: regions.Spec, parts: bool = False):
+    """Runs of offsets at which a context's first place repeats an earlier one; and links
+    (doc, pos, to_doc, to_start) from the start of a window to that of a near copy.
+
+    A window stands for all equal ones. With parts, groups are parts of a gram's
+    contexts, so equal windows are linked as well if they have a near copy."""
 
     def run(batches):
         import pyarrow as pa
 
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        schema = pa.schema(list(zip([c.split()[0] for c in _FOUND.split(", ")], kinds, strict=True)))
         for frame in regions.grouped_batches(batches):
             g = frame["g"].to_numpy()
             group = np.cumsum(np.concatenate(([True], g[1:] != g[:-1])))
             pick = np.flatnonzero(np.bincount(group)[group] > 1)
-            out = []
-            if len(pick):
-                part, grp = frame.iloc[pick], group[pick]
-                lo, hi, doc, pos = (part[c].to_numpy(np.int64) for c in ("lo", "hi", "doc", "pos"))
-                rank = np.empty(len(part), np.int64)
-                rank[np.lexsort((pos, doc))] = np.arange(len(part))
-                befores, afters = part["before"].tolist(), part["after"].tolist()
-                after = regions.matrix(afters, 8, spec.length, False)
-                before = regions.matrix(befores, 8, spec.length, True)
-                by_after = np.lexsort((*after.T[::-1], grp))
-                by_before = np.lexsort((*before.T[::-1], grp))
-                base = int(lo.min())
-                flags = np.zeros((len(part), int(hi.max()) - base + 1), bool)
-                for o, rows, found in regions.window_classes(before, after, by_before, by_after, grp, lo, hi, spec.length):
-                    least = np.full(found.max() + 1, len(part))
-                    np.minimum.at(least, found, rank[rows])
-                    flags[rows[rank[rows] > least[found]], o - base] = True
-                # near copies: exact Jaccard of middle windows with the earliest member that
-                # has the same words on one side of the gram
-                by_rank, middle = np.argsort(rank), (lo + hi) // 2
-                sets: dict[int, np.ndarray] = {}
-                for side in ("l", "r"):
-                    _, kin = np.unique(np.stack([grp, part[side].fillna(-1).to_numpy(np.int64)]), axis=1, return_inverse=True)
-                    lead = np.full(kin.max() + 1, len(part))
-                    np.minimum.at(lead, kin.ravel(), rank)
-                    lead = by_rank[lead[kin.ravel()]]
-                    open_ = np.flatnonzero((lead != np.arange(len(part))) & ~flags[np.arange(len(part)), middle - base])
-                    need = np.setdiff1d(np.union1d(open_, lead[open_]), np.fromiter(sets, np.int64, len(sets)))
-                    own = _shingle_sets([befores[k] for k in need], [afters[k] for k in need], lo[need], hi[need])
-                    sets.update(zip(need.tolist(), own, strict=True))
-                    for k in open_.tolist():
-                        a, b = sets[k], sets[int(lead[k])]
-                        both = len(np.intersect1d(a, b, assume_unique=True))
-                        if 100 * both >= PERCENT * (len(a) + len(b) - both):
-                            flags[k, middle[k] - base] = True
-                out = [(pick[k], a, b) for k in np.flatnonzero(flags.any(1)) for a, b in regions.runs(flags[k], base)]
-            where = [x[0] for x in out]
-            columns = [frame[c].to_numpy(np.int64)[where] for c in ("g", "c1", "c2", "doc", "pos")]
-            columns += [np.array([x[j] for x in out], np.int32) for j in (1, 2)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c) for c in columns], names=["g", "c1", "c2", "doc", "pos", "first", "last"]
-            )
+            if not len(pick):
+                continue
+            part, grp = frame.iloc[pick], group[pick]
+            lo, hi, doc, pos = (part[c].to_numpy(np.int64) for c in ("lo", "hi", "doc", "pos"))
+            rank = np.empty(len(part), np.int64)
+            rank[np.lexsort((pos, doc))] = np.arange(len(part))
+            after = regions.matrix(part["after"].tolist(), 8, spec.length, False)
+            before = regions.matrix(part["before"].tolist(), 8, spec.length, True)
+            codes, possible = _aligned(before, after, grp, lo, hi)
+            by_after = np.lexsort((*after.T[::-1], grp))
+            by_before = np.lexsort((*before.T[::-1], grp))
+            base = int(lo.min())
+            flags = np.zeros((len(part), int(hi.max()) - base + 1), bool)
+            for o, rows, found in regions.window_classes(before, after, by_before, by_after, grp, lo, hi, spec.length):
+                least = np.full(found.max() + 1, len(part))
+                np.minimum.at(least, found, rank[rows])
+                later = rank[rows] > least[found]
+                flags[rows[later], o - base] = True
+                firsts = rows[~later & possible[rows, o]]
+                firsts = firsts[np.argsort(rank[firsts])]
+                if len(firsts) < 2:
+                    continue
+                root = _links(codes, o, firsts, grp)
+                if parts:
+                    tied = np.zeros(len(part), bool)
+                    tied[firsts[root != firsts]] = tied[root[root != firsts]] = True
+                    of = rows[~later][np.argsort(found[~later])][found]  # the first row of each class
+                    copies = later & tied[of]
+                    firsts, root = np.append(firsts, rows[copies]), np.append(root, of[copies])
+                a, b = firsts[root != firsts], root[root != firsts]
+                if len(a):
+                    none = pa.nulls(len(a), pa.int32())
+                    links = [pa.array(doc[a]), pa.array(pos[a] - o), none, none, pa.array(doc[b]), pa.array(pos[b] - o)]
+                    yield pa.RecordBatch.from_arrays(links, schema=schema)
+            out = [(k, a, b) for k in np.flatnonzero(flags.any(1)) for a, b in regions.runs(flags[k], base)]
+            if out:
+                where = [x[0] for x in out]
+                none = pa.nulls(len(out), pa.int64())
+                columns = [pa.array(doc[where]), pa.array(pos[where]), *(pa.array([x[j] for x in out], pa.int32()) for j in (1, 2))]
+                yield pa.RecordBatch.from_arrays([*columns, none, none], schema=schema)
 
     return run
 
@@ -109,23 +221,27 @@ def repeated_spans(docs: DataFrame, crowd: int = regions.CROWD) -> DataFrame:
     grams, classes = regions.scan(docs, spec)
     rows = regions.contexts(docs, regions.repeated(grams), spec)
     unique = regions.unique_contexts(rows)
-    few, crowded = regions.split_crowds(regions.open_contexts(docs, unique, spec), crowd)
-    found = few.mapInArrow(_later(spec), "g long, c1 long, c2 long, doc long, pos long, first int, last int")
+    few, crowded = regions.split_crowds(regions.open_contexts(docs, unique, spec, near=True), crowd)
+    found = few.mapInArrow(_later(spec), _FOUND)
+    found = materialize(found, "found")
+    place = lambda doc, start: F.struct(F.col(doc).alias("doc"), F.col(start).alias("start"))
+    tied = connected_components(found.where("to_doc is not null").select(place("doc", "pos").alias("a"), place("to_doc", "to_start").alias("b")))
+    near = tied.where("node <> component").select("node.doc", F.col("node.start").alias("a"), (F.col("node.start") + LENGTH).alias("b"))
     windows = regions.crowd_windows(crowded, spec)
     earliest = windows.groupBy("g", "o", "w").agg(F.min(F.struct("doc", "pos")).alias("e"))
     counted = (
         windows.join(earliest, ["g", "o", "w"]).where("e.doc < doc or (e.doc = doc and e.pos < pos)")
-        .select("g", "c1", "c2", "doc", "pos", F.col("o").alias("first"), F.col("o").alias("last"))
+        .select("doc", "pos", F.col("o").alias("first"), F.col("o").alias("last"))
     )
     # what holds for a context's earliest place holds for all; the others repeat it as a whole
-    firsts = found.union(counted).select("doc", "pos", "first", "last")
+    firsts = found.where("to_doc is null").select("doc", "pos", "first", "last").union(counted)
     early = unique.where("n > 1").select("g", "c1", "c2", "e")
     others = (
         rows.select("g", "c1", "c2", "doc", "pos", "lo", "hi").join(early, ["g", "c1", "c2"])
         .where("e.doc <> doc or e.pos <> pos").select("doc", "pos", F.col("lo").alias("first"), F.col("hi").alias("last"))
     )
     span = ["doc", (F.col("pos") - F.col("last")).alias("a"), (F.col("pos") - F.col("first") + LENGTH).alias("b")]
-    spans = regions.merged_spans(firsts.union(others).select(*span))
+    spans = regions.merged_spans(firsts.union(others).select(*span).union(near))
     copies = classes.where((F.col("doc_id") != F.col("rep")) & (F.col("size") >= LENGTH)).select("doc_id").distinct()
     whole = copies.select("doc_id", F.lit(True).alias("whole"), F.lit(None).cast("array<struct<a:long,b:long>>").alias("spans"))
     gone = whole.union(spans.select("doc_id", F.lit(False).alias("whole"), "spans"))

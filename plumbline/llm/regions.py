@@ -18,7 +18,8 @@ The tables made here, in order:
 
 The callers decide which windows of a context count and get spans per document back.
 A gram with more than ``crowd`` distinct contexts is not gathered into a task: its
-windows are counted as rows of an aggregation instead, with the same result.
+windows are counted as rows of an aggregation instead, with the same result for equal
+windows; ``passage_dedup`` finds near ones of such grams in parts.
 """
 
 from __future__ import annotations
@@ -259,17 +260,22 @@ def unique_contexts(rows: DataFrame) -> DataFrame:
     return materialize(slim, "unique")
 
 
-def open_contexts(docs: DataFrame, unique: DataFrame, spec: Spec) -> DataFrame:
+def open_contexts(docs: DataFrame, unique: DataFrame, spec: Spec, near: bool = False) -> DataFrame:
     """The contexts, as a whole, of those that may share a window with another one.
 
     A window around a gram holds the gram and ``side`` elements more before it or after
-    it, so a context that shares neither with another context shares no window."""
+    it, so a context that shares neither with another context shares no window. With
+    near, windows need not be equal, and all contexts of grams with several ones stay."""
     slim = unique.select("g", "c1", "c2", "n", "e.doc", "e.pos", "lo", "hi", "l", "r")
     sides = unique.select("g", F.explode(F.array(F.struct(F.lit(0).alias("s"), F.col("l").alias("k")), F.struct(F.lit(1).alias("s"), F.col("r").alias("k")))).alias("x"))
     shared = sides.where("x.k is not null").groupBy("g", "x.s", "x.k").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     left = shared.where("s = 0").select("g", F.col("k").alias("l"), F.lit(True).alias("in_l"))
     right = shared.where("s = 1").select("g", F.col("k").alias("r"), F.lit(True).alias("in_r"))
-    some = slim.join(left, ["g", "l"], "left").join(right, ["g", "r"], "left").where("in_l or in_r")
+    if near:
+        several = unique.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g")
+        some = slim.join(several, "g")
+    else:
+        some = slim.join(left, ["g", "l"], "left").join(right, ["g", "r"], "left").where("in_l or in_r")
     places = some.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("g", "pos", "lo", "hi", "n")).alias("at"))
     return materialize(_at_places(docs, materialize(places, "places"), spec, True), "open")
 

@@ -8,7 +8,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from plumbline.llm import (  # noqa: E402
-    bpe, decontaminate, huffman, jaccard_join, language_id, license_scan, passage_dedup, quality, suffix_dedup, token_file, url_filter,
+    bpe, decontaminate, huffman, jaccard_join, language_id, license_scan, passage_dedup, quality, regions, suffix_dedup, token_file, url_filter, wordhash,
 )
 from plumbline.llm.q08_bpe import vocabulary  # noqa: E402
 
@@ -81,6 +81,68 @@ def test_passages_go_once(spark, docs):
     assert out[13]["_removed"] == 0 and out[9]["_removed"] == 0
 
 
+def near_removed(texts):
+    """Words that go, by brute force: all pairs of windows with the same gram at the same offset."""
+    spec = regions.Spec("word", passage_dedup.LENGTH, passage_dedup.SHINGLE, passage_dedup.SHINGLE, passage_dedup.BANDS)
+    meet, sets = {}, {}
+    for d, t in enumerate(texts):
+        w = t.split()
+        h = wordhash.words(t.encode())[0]
+        for band in range(spec.bands):
+            grams = regions._word_grams(h, spec.gram)
+            grams = wordhash.mix(grams ^ np.uint64(0x9E3779B97F4A7C15 * band % (1 << 64))) if band else grams
+            for at, first, last in regions._selected(grams, np.full(len(h), len(h)), spec).T.tolist():
+                for s in range(first, last + 1):
+                    meet.setdefault((band, int(grams[at]), at - s), []).append((d, s))
+                    sets[d, s] = {tuple(w[k : k + 5]) for k in range(s, s + 46)}
+    root = {p: p for p in sets}
+
+    def top(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for places in meet.values():
+        for i, p in enumerate(places):
+            for q in places[:i]:
+                if len(sets[p] & sets[q]) >= 0.75 * len(sets[p] | sets[q]):
+                    a, b = sorted((top(p), top(q)))
+                    root[b] = a
+    gone = [np.zeros(len(t.split()), bool) for t in texts]
+    for d, s in root:
+        if top((d, s)) != (d, s):
+            gone[d][s : s + 50] = True
+    return [int(x.sum()) for x in gone]
+
+
+def near_texts(seed):
+    """Passages with one changed word in other surroundings, all with one boilerplate phrase."""
+    rng = random.Random(seed)
+    say = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    phrase, texts = say(10), []
+    texts += [say(60) + phrase + say(60) for _ in range(4)]
+    for size in (55, 60, 70):
+        passage = say(size // 2) + phrase + say(size - size // 2 - 10)
+        for _ in range(4):
+            own = list(passage)
+            own[rng.randrange(size)] = "changed"
+            texts.append(say(rng.randrange(20, 60)) + own + say(rng.randrange(20, 60)))
+    return [" ".join(t) for t in texts]
+
+
+def removed(spark, texts, **options):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["_removed"] for r in passage_dedup.cut_repeats(rows, **options).collect()}
+    return [out[k] for k in range(len(texts))]
+
+
+def test_near_passages_beyond_the_earliest_equal_brute_force(spark):
+    texts = near_texts(1)
+    expected = near_removed(texts)
+    assert sum(x > 0 for x in expected) >= 6
+    assert removed(spark, texts) == expected
+
+
 def test_decontamination(spark, docs):
     item = " ".join(corpus()[13].split()[20:35])
     bench = spark.createDataFrame([("i1", item), ("i2", None), ("i3", "one two"), ("i4", "nothing of this kind")], "item_id string, text string")
