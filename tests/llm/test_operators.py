@@ -143,6 +143,21 @@ def test_near_passages_beyond_the_earliest_equal_brute_force(spark):
     assert removed(spark, texts) == expected
 
 
+def test_near_passages_at_every_offset(spark):
+    rng = random.Random(3)
+    say = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    texts = []
+    for _ in range(12):
+        passage = say(55)
+        for at in (None, 27):
+            own = list(passage)
+            own[at or 0] = "changed" if at else own[0]
+            texts.append(" ".join(say(rng.randrange(20, 60)) + own + say(rng.randrange(20, 60))))
+    expected = near_removed(texts)
+    assert sum(x > 0 for x in expected) >= 10
+    assert removed(spark, texts) == expected
+
+
 def test_decontamination(spark, docs):
     item = " ".join(corpus()[13].split()[20:35])
     bench = spark.createDataFrame([("i1", item), ("i2", None), ("i3", "one two"), ("i4", "nothing of this kind")], "item_id string, text string")
