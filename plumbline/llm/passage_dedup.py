@@ -14,7 +14,9 @@ of copies), or exact Jaccard of shingles of at least 0.75. All such pairs are fo
 stars around the earliest windows first, then the pairs across components that share a
 shingle among the rarest of each. Of the windows that links reach from one another (over
 all bands and grams) the earliest by (doc_id, position) stays and the others are removed.
-Equal
+Contexts of a gram with more than ``crowd`` of them meet in parts, any two in one of them
+(after those go that share too few shingles with others), so work on near copies of a
+passage beyond that number grows with its square over ``crowd``. Equal
 documents of at least ``LENGTH`` words are one component: the smallest doc_id stays.
 Only words inside such windows go; texts without one stay as they are, byte for byte.
 
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import regions, wordhash
-from .shared import connected_components, materialize
+from .shared import connected_components, discard, materialize, sized
 
 LENGTH = 50
 SHINGLE = 5
@@ -215,6 +217,48 @@ def _later(spec: regions.Spec, parts: bool = False):
     return run
 
 
+def _exploded(batches):
+    """Distinct shingles of each context, and the number that a near copy has to share."""
+    import pyarrow as pa
+
+    for batch in batches:
+        out: list[tuple] = []
+        rows = batch.to_pylist()
+        for r in rows:
+            s = regions._word_grams(np.frombuffer(r["before"] + r["after"], np.uint64), SHINGLE)
+            own = np.unique(s)
+            need = PERCENT * (HALF + 1 - (len(s) - len(own)))
+            out += [(r["g"], r["c1"], r["c2"], need, x) for x in own.view(np.int64).tolist()]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["g", "c1", "c2", "need", "s"])
+
+
+def _crowd_parts(crowded: DataFrame, crowd: int) -> DataFrame:
+    """Contexts of crowded grams that may have near copies, in parts of about ``crowd``
+    such that any two contexts of a gram meet in one of them.
+
+    What goes has too few shingles that another context of its gram has as well."""
+    each = crowded.select("g", "c1", "c2", "before", "after").mapInArrow(_exploded, "g long, c1 long, c2 long, need long, s long")
+    each = materialize(each, "shingles")
+    counts = materialize(each.groupBy("g", "s").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
+    hot = counts.where(F.col("c") > crowd).select("g", "s", F.lit(True).alias("hot"))
+    marked = each.join(sized(hot), ["g", "s"], "left")
+    cold = marked.where("hot is null").drop("hot").join(counts.where(F.col("c") <= crowd).select("g", "s"), ["g", "s"])
+    met = marked.where("hot").drop("hot").unionByName(cold).groupBy("g", "c1", "c2", "need").agg(F.count(F.lit(1)).alias("m"))
+    some = materialize(met.where("100 * m >= need").select("g", "c1", "c2"), "candidates")
+    discard(each)
+    discard(counts)
+    blocks = some.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(max(crowd // 2, 1))).cast("int").alias("k"))
+    own = F.pmod(F.xxhash64("c1", "c2"), F.col("k")).cast("int")
+    rows = some.join(sized(materialize(blocks, "blocks")), "g").withColumn("own", own)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    part = F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other"))
+    rows = crowded.join(rows.select("g", "c1", "c2", part.alias("part")), ["g", "c1", "c2"])
+    rows = rows.select(F.col("part").alias("g"), "doc", "pos", "lo", "hi", "before", "after")
+    parts = int(crowded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "g").sortWithinPartitions("g")
+
+
 def repeated_spans(docs: DataFrame, crowd: int = regions.CROWD) -> DataFrame:
     """(doc_id, whole, spans): documents that lose words; whole ones, or word spans."""
     spec = regions.Spec("word", LENGTH, SHINGLE, SHINGLE, BANDS)
@@ -223,6 +267,8 @@ def repeated_spans(docs: DataFrame, crowd: int = regions.CROWD) -> DataFrame:
     unique = regions.unique_contexts(rows)
     few, crowded = regions.split_crowds(regions.open_contexts(docs, unique, spec, near=True), crowd)
     found = few.mapInArrow(_later(spec), _FOUND)
+    if not crowded.isEmpty():
+        found = found.union(_crowd_parts(crowded, crowd).mapInArrow(_later(spec, True), _FOUND))
     found = materialize(found, "found")
     place = lambda doc, start: F.struct(F.col(doc).alias("doc"), F.col(start).alias("start"))
     tied = connected_components(found.where("to_doc is not null").select(place("doc", "pos").alias("a"), place("to_doc", "to_start").alias("b")))

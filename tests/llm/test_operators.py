@@ -158,6 +158,11 @@ def test_near_passages_at_every_offset(spark):
     assert removed(spark, texts) == expected
 
 
+def test_near_passages_of_crowded_grams(spark):
+    texts = near_texts(2)
+    assert removed(spark, texts, crowd=4) == removed(spark, texts) == near_removed(texts)
+
+
 def test_decontamination(spark, docs):
     item = " ".join(corpus()[13].split()[20:35])
     bench = spark.createDataFrame([("i1", item), ("i2", None), ("i3", "one two"), ("i4", "nothing of this kind")], "item_id string, text string")
