@@ -234,6 +234,14 @@ def test_license_classifier(spark):
     assert out[n] == "Apache-2.0" and out[n + 1] == "MIT" and out[n + 2] == "" and out[6] == ""
 
 
+def test_short_license_forms_are_confirmed(spark):
+    lines = {"All rights reserved.": "proprietary", "The MIT License": "MIT", "GNU General Public License": "GPL", "the rights of all were reserved for later": ""}
+    docs = frame(spark, [*corpus(), *lines])
+    scanner, _ = license_scan.train(docs)
+    out = {r["doc_id"]: r["licenses"] for r in license_scan.scan(docs, scanner).collect()}
+    assert [out[len(corpus()) + k] for k in range(len(lines))] == list(lines.values())
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert suffix_dedup.deduplicate(none).count() == 0
