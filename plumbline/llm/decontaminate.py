@@ -100,7 +100,7 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
             marks = keyed.select("doc_id", "_key", words(F.col("text")).alias("_words"))
             near = fingerprints(marks, ["doc_id", "_key"]).join(prints, "fp", "left_semi")
             near = materialize(near.select("doc_id", "_key").distinct(), "candidates")
-            part = keyed.join(near, ["doc_id", "_key"], "left_semi")
+            part = _null_safe(keyed, near, "left_semi")
         part = part.select("doc_id", "_key", words(F.col("text")).alias("_words"))
         own = _windows(part, ["doc_id", "_key"], n)
         own = own.join(wins, "win").select("doc_id", "_key", "item_id", "pos", F.lit(n).alias("length"))
@@ -133,7 +133,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .groupBy("doc_id", "_key").agg(F.sort_array(F.collect_list("item")).alias("items"))
     )
     counted = per_doc.select("doc_id", "_key", merged["n"].alias("n_hit"))
-    return counted.join(names, ["doc_id", "_key"])
+    return _null_safe(counted, names, "inner").drop("_id2", "_key2")
 
 
 def _null_safe(left: DataFrame, right: DataFrame, how: str) -> DataFrame:

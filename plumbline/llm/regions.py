@@ -134,7 +134,7 @@ def _scanner(spec: Spec):
             + [(n, pa.list_(t)) for n, t in lists]
         )
         for batch in batches:
-            texts = wordhash.utf8(batch.column("text"))
+            texts, known = wordhash.utf8(batch.column("text")), batch.column("doc_id").is_valid().to_pylist()
             sizes, digests, grams = [], [], []
             for rows, elements, bounds in _elements(texts, spec):
                 found = [np.concatenate(x) for x in zip(*_pieces(elements, bounds, spec), strict=True)] or [np.zeros(0, np.int64)] * 5
@@ -143,8 +143,10 @@ def _scanner(spec: Spec):
                 for k in range(len(rows)):
                     own = elements[bounds[k] : bounds[k + 1]]
                     x = xxhash.xxh3_128_intdigest(own.tobytes())
-                    new = x not in seen
-                    seen.add(x)
+                    # a row without a doc_id counts as a copy, and holds no grams for others
+                    new = known[rows[k]] and x not in seen
+                    if new:
+                        seen.add(x)
                     sizes.append(len(own))
                     digests.append(((x >> 64) - (1 << 63), (x & ((1 << 64) - 1)) - (1 << 63)))
                     pick = order[cut[k] : cut[k + 1]] if new else None

@@ -171,6 +171,15 @@ def test_decontamination(spark, docs):
     assert decontaminate.drop_contaminated(docs, bench).count() == len(rows) - 2
 
 
+def test_null_doc_ids(spark):
+    text = corpus()[13]
+    bench = spark.createDataFrame([("i1", " ".join(text.split()[20:35]))], "item_id string, text string")
+    rows = spark.createDataFrame([(None, text), (1, text)], "doc_id long, text string").coalesce(1)
+    assert [r["contaminated"] for r in decontaminate.report(rows, bench).collect()] == [True, True]
+    _, classes = regions.scan(rows, regions.Spec("word", 50, 5, 5, 2))
+    assert [(r["holder"], r["copies"]) for r in classes.where("doc_id = 1").collect()] == [(1, 2)]
+
+
 def test_bpe_round_trip(spark, docs):
     enc = bpe.encoding(*vocabulary())
     for r in bpe.encode(docs, *vocabulary(), carry=("doc_id", "text"), decode=True).collect():
