@@ -6,31 +6,36 @@ of bytes other than space and 0x09-0x0D, A-Z lower-cased). Two documents link wh
 doc_id that links reach.
 
 Plan. All shingles stand in one global order: rare ones by hash, then the frequent
-ones by hash. Frequent ones are counted over the whole corpus first, and the list is
-kept under a fixed size by raising its threshold; the order changes cost, never the
-result. Linked sets share a shingle among the first n - ceil(0.75 n) + 1 of each, so
-only those prefixes are shuffled.
+ones, the less frequent first. The frequent ones are counted over the whole corpus
+first, in two steps: by the smallest hashes of every set, then by all shingles of the
+sets that had a frequent one among those. The list is kept under a fixed size by
+raising its threshold; the order changes cost, never the result. It is cut into
+fragments, and overlaps are counted fragment by fragment:
+
+* The head of a set is its first n - ceil(0.75 n) + 1 shingles. Linked sets share one
+  there, so only heads are shuffled by shingle. What a pair shares in its heads, and the
+  rest that the order leaves to either set after that, bound its overlap.
+* The rest is cut by hash, into as many fragments as the larger set of a pair needs for
+  about ``FRAGMENT`` shingles each, and one of the frequent ones. The partial overlaps
+  are summed per pair. A long document is thus never one row.
 
 1. Copies: equal sets form a class, and one document stands for it.
-2. Postings: prefix entries whose shingle at least two documents have. Rows of
+2. Postings: head entries whose shingle at least two documents have. Rows of
    frequent shingles are dealt out with a salt.
 3. Stars: every posting is paired with a leader of its shingle only, so a group of m
    near copies gives about m pairs, not m * m / 2. Pairs pass length and position
-   bounds, then are verified.
+   bounds, then are counted in full.
 4. Rest: after stars, shingles whose documents already lie in one component are
-   done. For the others, pairs across components are counted over their prefixes (the
-   first cut of the order): what both still have can't exceed the rest of either, so
-   few pairs are left. They are verified as well, so no link is lost.
-
-Verification is vertical: each set is cut into fragments of the global order, the
-overlap of a pair is counted per fragment and the counts are summed per pair. A long
-document is thus never one row.
+   done. For the others, pairs across components are counted over their heads. The
+   changed words of a near copy are rare and so come first in the order, which makes the
+   position of the first shared shingle tell distant members of two groups apart. What
+   is left is counted in full as well, so no link is lost.
 
 Edge cases: null and wordless texts have empty sets and link with nothing; fewer than
 five words make one shingle; repeated rows give repeated equal result rows; a null
-doc_id has no component; if rows share a doc_id and differ in text, they count as one
-node that has the links of either; empty tables give an empty result; other columns
-are not read.
+doc_id has no links but to a copy of its text, whose component it then has; if rows
+share a doc_id and differ in text, they count as one node that has the links of either
+(texts are never mixed); empty tables give an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,14 +45,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .shared import connected_components, discard, materialize, sized
+from .shared import connected_components, discard, hand_over, materialize, scope, sized, sweep
 
 SHINGLE = 5
 PERCENT = 75
-FREQUENT = 64  # documents that have a shingle in their prefix
-FREQUENT_LIST = 1 << 20  # most entries in the list that tasks get: 8 MB
+FREQUENT = 64  # documents that have a shingle
+FREQUENT_LIST = 1 << 20  # most entries in the list that tasks get: 12 MB
 SALTS = 64
-FRAGMENTS = 4  # of rare shingles, by hash; frequent ones are one more
+FRAGMENT = 1 << 12  # rare shingles of one fragment, about
 
 
 def prefix_size(n: int) -> int:
@@ -83,10 +88,12 @@ def _summaries(batches):
     seen = set()
     for batch in batches:
         out = {"doc_id": batch.column("doc_id"), "n": [], "d1": [], "d2": [], "toks": []}
-        for _, tokens in _sets(batch):
+        known = batch.column("doc_id").is_valid().to_pylist()
+        for row, tokens in _sets(batch):
             d1, d2 = _digest(tokens)
-            new = len(tokens) > 0 and (d1, d2) not in seen
-            seen.add((d1, d2))
+            new = known[row] and len(tokens) > 0 and (d1, d2) not in seen
+            if new:
+                seen.add((d1, d2))
             for key, v in (("n", len(tokens)), ("d1", d1), ("d2", d2)):
                 out[key].append(v)
             out["toks"].append(tokens[: index_size(len(tokens))].view(np.int64) if new else None)
@@ -96,11 +103,37 @@ def _summaries(batches):
         )
 
 
-def _is_frequent(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    if not len(frequent):
-        return np.zeros(len(tokens), bool)
-    at = np.searchsorted(frequent, tokens)
-    return frequent[np.minimum(at, len(frequent) - 1)] == tokens
+def _rank(tokens: np.ndarray, frequent) -> np.ndarray:
+    """Place of each token among the frequent ones from 1 on; 0 for a rare one."""
+    known, rank = frequent
+    if not len(known):
+        return np.zeros(len(tokens), np.int32)
+    at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+    return np.where(known[at] == tokens, rank[at], 0)
+
+
+def _whole_sets(frequent):
+    """All shingles of the sets that have a frequent one among their smallest hashes."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        seen, known = set(), frequent.value
+        for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
+            docs, found = [], []
+            for row, tokens in _sets(batch):
+                if ids[row] is None or not _rank(tokens[: index_size(len(tokens))], known).any():
+                    continue
+                key = _digest(tokens)
+                if key not in seen:
+                    seen.add(key)
+                    docs.append(ids[row])
+                    found.append(tokens.view(np.int64))
+            if docs:
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc", "toks"])
+
+    return run
 
 
 def _postings(frequent):
@@ -117,10 +150,9 @@ def _postings(frequent):
                 if ids[row] is None or not len(tokens) or key in seen:
                     continue
                 seen.add(key)
-                hot = _is_frequent(tokens, known)
-                keep = prefix_size(len(tokens))
-                order = np.argsort(hot, kind="stable")[:keep]
-                parts.append((tokens[order], ids[row], len(tokens), hot[order]))
+                rank = _rank(tokens, known)
+                order = np.argsort(rank, kind="stable")[: prefix_size(len(tokens))]
+                parts.append((tokens[order], ids[row], len(tokens), rank[order] > 0))
                 if len(parts) >= 2000:
                     yield _rows(pa, names, parts)
                     parts = []
@@ -143,37 +175,53 @@ def _rows(pa, names, parts):
 
 
 def _fragments(frequent):
+    """(doc, x, n, cut, frag, toks): sets of documents, cut as ``cuts`` asks; x tells texts of one doc apart."""
+
     def run(batches):
         import pyarrow as pa
 
         known = frequent.value
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            docs, frags, toks = [], [], []
+            ids, cuts = batch.column("doc_id").to_pylist(), batch.column("cuts").to_pylist()
+            rows, toks = [], []
             for row, tokens in _sets(batch):
-                place = np.where(_is_frequent(tokens, known), FRAGMENTS, tokens >> np.uint64(62))
-                for f in np.unique(place):
-                    docs.append(ids[row])
-                    frags.append(int(f))
-                    toks.append(tokens[place == f].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(frags, pa.int32()), pa.array(toks, pa.list_(pa.int64()))],
-                names=["doc", "frag", "toks"],
-            )
+                rare, x = _rank(tokens, known) == 0, _digest(tokens)[0]
+                for cut in cuts[row]:
+                    place = np.where(rare, tokens >> np.uint64(64 - cut) if cut else 0, 1 << cut)
+                    for f in np.unique(place):
+                        rows.append((ids[row], x, len(tokens), cut, int(f)))
+                        toks.append(tokens[place == f].view(np.int64))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(toks, pa.list_(pa.int64()))], names=["doc", "x", "n", "cut", "frag", "toks"])
 
     return run
 
 
-def _frequent(summaries: DataFrame):
-    """Broadcast of the sorted frequent shingles, at most FREQUENT_LIST of them."""
-    spark = summaries.sparkSession
-    counts = summaries.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("c"))
-    counts = materialize(counts.where(F.col("c") > FREQUENT), "frequent")
+def _listed(sets: DataFrame, name: str):
+    """Broadcast of the frequent shingles of sets(toks) and their ranks, at most FREQUENT_LIST of them."""
+    counts = sets.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("c"))
+    counts = materialize(counts.where(F.col("c") > FREQUENT), name)
     least = FREQUENT
     while counts.where(F.col("c") > least).count() > FREQUENT_LIST:
         least *= 4
-    found = counts.where(F.col("c") > least).select("tok").toPandas()["tok"].to_numpy(np.int64)
-    return spark.sparkContext.broadcast(np.sort(found.view(np.uint64)))
+    found = counts.where(F.col("c") > least).toPandas()
+    known, c = found["tok"].to_numpy(np.int64).view(np.uint64), found["c"].to_numpy(np.int64)
+    discard(counts)
+    rank = np.empty(len(known), np.int32)
+    rank[np.lexsort((known, c))] = np.arange(1, len(known) + 1)
+    order = np.argsort(known)
+    return sets.sparkSession.sparkContext.broadcast((known[order], rank[order]))
+
+
+def _frequent(docs: DataFrame, heads: DataFrame, copies: DataFrame):
+    """The frequent shingles of the corpus, each set counted once; heads have the smallest hashes of each."""
+    one = sized(copies.select("doc"))
+    first = _listed(heads.select(F.col("doc_id").alias("doc"), "toks").join(one, "doc", "left_anti"), "frequent")
+    if not len(first.value[0]):
+        return first
+    whole = docs.mapInArrow(_whole_sets(first), "doc long, toks array<long>")
+    return _listed(whole.join(one, "doc", "left_anti"), "frequent")
 
 
 def _bounds(left: str, right: str):
@@ -222,42 +270,54 @@ def _promising(pairs: DataFrame, heads: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, frequent) -> DataFrame:
     """The pairs (a, b) that link: overlaps counted per fragment, summed per pair."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.join(sized(materialize(ids, "ids")), "doc_id", "left_semi")
-    parts = texts.mapInArrow(_fragments(frequent), "doc long, frag int, toks array<long>")
+    need = F.greatest("na", "nb").cast("double") / FRAGMENT
+    pairs = pairs.withColumn("cut", F.greatest(F.ceil(F.log2(need)), F.lit(0)).cast("int"))
+    side = lambda k: pairs.select(F.col(k).alias("doc_id"), "cut")
+    ids = side("a").union(side("b")).groupBy("doc_id").agg(F.sort_array(F.collect_set("cut")).alias("cuts"))
+    ids = materialize(ids, "ids")
+    parts = docs.join(sized(ids), "doc_id").select("doc_id", "text", "cuts")
+    parts = parts.mapInArrow(_fragments(frequent), "doc long, x long, n long, cut int, frag int, toks array<long>")
     parts = materialize(parts, "fragments")
-    left = parts.select(F.col("doc").alias("a"), "frag", F.col("toks").alias("ta"))
-    right = parts.select(F.col("doc").alias("b"), "frag", F.col("toks").alias("tb"))
+    side = lambda k: parts.select(
+        F.col("doc").alias(k), F.col("x").alias(f"x{k}"), F.col("n").cast("int").alias(f"n{k}"), "cut", "frag", F.col("toks").alias(f"t{k}")
+    )
     overlaps = (
-        pairs.join(left, "a").join(right, ["b", "frag"])
-        .select("a", "b", "na", "nb", "frag", F.size(F.array_intersect("ta", "tb")).alias("part"))
-        .groupBy("a", "b", "na", "nb", "frag").agg(F.max("part").alias("part"))  # once for repeated rows
-        .groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
+        pairs.join(side("a"), ["a", "na", "cut"]).join(side("b"), ["b", "nb", "cut", "frag"])
+        .select("a", "b", "na", "nb", "xa", "xb", "frag", F.size(F.array_intersect("ta", "tb")).alias("part"))
+        .groupBy("a", "b", "na", "nb", "xa", "xb", "frag").agg(F.max("part").alias("part"))  # once for repeated rows
+        .groupBy("a", "b", "na", "nb", "xa", "xb").agg(F.sum("part").alias("both"))
     )
     total = F.col("na").cast("long") + F.col("nb")
-    return overlaps.where(100 * F.col("both") >= PERCENT * (total - F.col("both"))).select("a", "b")
+    links = materialize(overlaps.where(100 * F.col("both") >= PERCENT * (total - F.col("both"))).select("a", "b").distinct(), "links")
+    discard(parts, ids)
+    return links
 
 
 def components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+    with scope():
+        return _components(docs.select("doc_id", "text"))
+
+
+def _components(docs: DataFrame) -> DataFrame:
     sums = materialize(
         docs.mapInArrow(_summaries, "doc_id long, n long, d1 long, d2 long, toks array<long>"), "sets"
     )
     classes = sums.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    named = materialize(sums.join(classes, ["d1", "d2", "n"], "left").select("doc_id", "n", "rep"), "classes")
-    frequent = _frequent(sums)
+    named = sums.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left").select("doc_id", "n", "rep")
+    named = hand_over(materialize(named, "classes"))
+    copies = materialize(named.where("doc_id <> rep").select(F.col("doc_id").alias("doc"), "rep").distinct(), "copies")
+    frequent = _frequent(docs, sums.where("toks is not null"), copies)
     discard(sums)
 
     rows = docs.mapInArrow(_postings(frequent), "tok long, doc long, n int, pos int, hot boolean")
     # everything up to the leaders happens in one partitioning, by shingle (and salt)
     salted = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(F.lit(0)))
     several = salted.withColumn("c", F.expr("count(*) over (partition by tok, salt)")).where("c > 1 or hot")
-    copies = materialize(named.where("doc_id <> rep").select(F.col("doc_id").alias("doc"), "rep").distinct(), "copies")
     posts = (
         several.join(sized(copies), "doc", "left")
-        .groupBy("tok", "salt", F.coalesce("rep", "doc").alias("doc"))
-        .agg(F.max("n").alias("n"), F.max("pos").alias("pos"), F.max("hot").alias("hot"))
+        .groupBy("tok", "salt", F.coalesce("rep", "doc").alias("doc"), "n")
+        .agg(F.max("pos").alias("pos"), F.max("hot").alias("hot"))
         .withColumn("c", F.expr("count(*) over (partition by tok, salt)")).where("c > 1 or hot")
         # the leader has the fewest shingles of its own before this one: among near copies
         # that is the original, or the copy with the fewest edits
@@ -265,16 +325,18 @@ def components(docs: DataFrame) -> DataFrame:
         .select("tok", "hot", "doc", "n", "pos", F.struct("l.doc", "l.n", "l.pos").alias("l"))
     )
     posts = materialize(posts, "postings")
+    sweep(docs.sparkSession)
 
-    # leaders of one frequent shingle's salts are tied to one of them
-    chiefs = posts.where("hot").select("tok", "l").distinct()
-    chiefs = chiefs.join(chiefs.groupBy("tok").agg(F.min(F.struct("l.pos", "l.doc", "l.n")).alias("m")), "tok").select("l.*", F.col("m").alias("l"))
-    stars = posts.select("doc", "n", "pos", "l").unionByName(chiefs)
-    stars = stars.select(F.struct("doc", "n", "pos").alias("p"), "l").where((F.col("p.doc") != F.col("l.doc")) & _bounds("p", "l"))
+    # a frequent shingle has one leader for all its salts; FREQUENT_LIST bounds their number
+    chiefs = materialize(posts.where("hot").groupBy("tok").agg(F.min(F.struct("l.pos", "l.doc", "l.n")).alias("m")), "chiefs")
+    chief = F.when(F.col("m").isNotNull(), F.struct("m.doc", "m.n", "m.pos")).otherwise(F.col("l"))
+    led = posts.join(sized(chiefs), "tok", "left").select(F.struct("doc", "n", "pos").alias("p"), chief.alias("l"))
+    stars = led.where((F.col("p.doc") != F.col("l.doc")) & _bounds("p", "l"))
     stars = materialize(stars.select(*_pair("p", "l")).distinct(), "stars")
     heads = _heads(posts)
-    links = materialize(_verified(_promising(stars, heads), docs, frequent), "links")
-    joined = materialize(connected_components(links), "components")
+    links = _verified(_promising(stars, heads), docs, frequent)
+    joined = _joined(links)
+    sweep(docs.sparkSession)
 
     placed = posts.join(sized(joined).withColumnRenamed("node", "doc"), "doc", "left").select(
         "tok", "doc", "n", "pos", F.coalesce("component", "doc").alias("comp")
@@ -296,17 +358,25 @@ def components(docs: DataFrame) -> DataFrame:
     across = materialize(across.join(stars, ["a", "b"], "left_anti"), "across")
     across = _promising(across, heads)
     if not across.isEmpty():
-        more = materialize(_verified(across, docs, frequent), "links")
+        more = _verified(across, docs, frequent)
         if not more.isEmpty():
-            joined = materialize(connected_components(links.union(more)), "components")
+            joined = _joined(links.union(more))
+    sweep(docs.sparkSession)
 
-    found = joined.select(F.col("node").alias("rep"), "component")
+    found = hand_over(joined).select(F.col("node").alias("rep"), "component")
     return named.join(found, "rep", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id")
     )
 
 
+def _joined(links: DataFrame) -> DataFrame:
+    with scope():
+        return hand_over(materialize(connected_components(links), "components"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs whose document is the first of its component."""
-    gone = components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(sized(materialize(gone, "gone")), "doc_id", "left_anti").select(*docs.columns)
+    with scope():
+        gone = components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+        gone = hand_over(materialize(gone, "gone"))
+    return docs.join(sized(gone), docs["doc_id"] == gone["gone"], "left_anti")

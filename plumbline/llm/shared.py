@@ -3,18 +3,57 @@ that every executor sees, connected components, and a session default."""
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one where it is unset (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or "file://" + os.path.join(tempfile.gettempdir(), "plumbline-shared")
+    """The folder named by spark.checkpoint.dir. Where it is unset, one of this machine's
+    temporary folders in local mode (tests), and an error on a cluster, whose machines
+    would not see each other's files."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "plumbline-shared")
+
+
+class _Scopes(threading.local):
+    def __init__(self):
+        self.open: list[list[DataFrame]] = []
+
+
+#: tables written and not yet discarded, by open scope, innermost last; of each thread
+_scopes = _Scopes()
+
+
+@contextmanager
+def scope(keep: bool = False) -> Iterator[list[DataFrame]]:
+    """Collects the tables that materialize() writes inside, and discards them at the end.
+
+    With keep they stay, and an outer scope gets them; a single one is kept by
+    hand_over(): what a result reads lazily has to stay until it has been written."""
+    tables: list[DataFrame] = []
+    _scopes.open.append(tables)
+    try:
+        yield tables
+    finally:
+        _scopes.open.pop()
+        if keep:
+            for outer in _scopes.open[-1:]:
+                outer.extend(tables)
+        else:
+            discard(*tables)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -28,16 +67,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
+    for tables in _scopes.open[-1:]:
+        tables.append(out)
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes a table made by materialize() that nothing reads any more."""
-    path = getattr(df, "_shared_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by materialize() that nothing reads any more."""
+    for df in tables:
+        path, df._shared_path = getattr(df, "_shared_path", None), None
+        if path:
+            jvm = df.sparkSession._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def hand_over(df: DataFrame) -> DataFrame:
+    """df, which the open scope no longer discards; an outer one may."""
+    if _scopes.open:
+        _scopes.open[-1][:] = [t for t in _scopes.open[-1] if t is not df]
+        for outer in _scopes.open[-2:-1]:
+            outer.append(df)
+    return df
+
+
+def sweep(spark: SparkSession) -> None:
+    """Collects garbage on the driver: Spark deletes the shuffle files of finished
+    jobs only then, and its driver may not collect any for half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 #: a side is broadcast only if it has been counted and has no more rows than this
