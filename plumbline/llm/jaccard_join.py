@@ -7,8 +7,8 @@ doc_id that links reach.
 
 Plan. All shingles stand in one global order: rare ones by hash, then the frequent
 ones, the less frequent first. The frequent ones are counted over the whole corpus
-first, in two steps: by the smallest hashes of every set, then by all shingles of the
-sets that had a frequent one among those. The list is kept under a fixed size by
+first, in two steps: among the smallest hashes of every set, then, for sets that have a
+frequent one there, as far as their head may reach once such ones stand last. The list is kept under a fixed size by
 raising its threshold; the order changes cost, never the result. It is cut into
 fragments, and overlaps are counted fragment by fragment:
 
@@ -112,8 +112,16 @@ def _rank(tokens: np.ndarray, frequent) -> np.ndarray:
     return np.where(known[at] == tokens, rank[at], 0)
 
 
-def _whole_sets(frequent):
-    """All shingles of the sets that have a frequent one among their smallest hashes."""
+def _reach(tokens: np.ndarray, known) -> int:
+    """How far in hash order the head of a set may go, once its frequent shingles stand
+    last; 0 if none is among its smallest hashes. Their share there is taken for all."""
+    n = len(tokens)
+    share = (_rank(tokens[: index_size(n)], known) > 0).mean() if n else 0.0
+    return min(n, int(1.25 * prefix_size(n) / (1 - share)) + 8) if 0 < share < 1 else n if share else 0
+
+
+def _longer_heads(frequent):
+    """What the head of a set may reach, for sets that have a frequent shingle among their smallest hashes."""
 
     def run(batches):
         import pyarrow as pa
@@ -123,13 +131,14 @@ def _whole_sets(frequent):
             ids = batch.column("doc_id").to_pylist()
             docs, found = [], []
             for row, tokens in _sets(batch):
-                if ids[row] is None or not _rank(tokens[: index_size(len(tokens))], known).any():
+                reach = 0 if ids[row] is None else _reach(tokens, known)
+                if not reach:
                     continue
                 key = _digest(tokens)
                 if key not in seen:
                     seen.add(key)
                     docs.append(ids[row])
-                    found.append(tokens.view(np.int64))
+                    found.append(tokens[:reach].view(np.int64))
             if docs:
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc", "toks"])
 
@@ -220,8 +229,8 @@ def _frequent(docs: DataFrame, heads: DataFrame, copies: DataFrame):
     first = _listed(heads.select(F.col("doc_id").alias("doc"), "toks").join(one, "doc", "left_anti"), "frequent")
     if not len(first.value[0]):
         return first
-    whole = docs.mapInArrow(_whole_sets(first), "doc long, toks array<long>")
-    return _listed(whole.join(one, "doc", "left_anti"), "frequent")
+    longer = docs.mapInArrow(_longer_heads(first), "doc long, toks array<long>")
+    return _listed(longer.join(one, "doc", "left_anti"), "frequent")
 
 
 def _bounds(left: str, right: str):
