@@ -22,9 +22,10 @@ Only words inside such windows go; texts without one stay as they are, byte for
 
 Edge cases: a null text has no words and stays null; a text under ``LENGTH`` words
 stays; repeated rows are equal documents with one id, and stay, as the row that is
-kept cannot be told apart; a null doc_id is never removed from; spans of rows that
-share a doc_id hold for each of them; empty tables give empty results; further
-columns are returned by ``drop_repeats`` and not read otherwise.
+kept cannot be told apart; rows with a null doc_id come after all others; rows that share
+a doc_id and differ in text are places of their own; empty tables give empty results;
+further columns, whatever their names, are returned by ``drop_repeats`` and not read
+otherwise.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import regions, wordhash
-from .shared import connected_components, discard, materialize, sized
+from .shared import connected_components, discard, hand_over, materialize, scope, sized, sweep
 
 LENGTH = 50
 SHINGLE = 5
@@ -154,12 +155,13 @@ def _links(codes, o, rows, grp):
     return first
 
 
-_FOUND = "doc long, pos long, first int, last int, to_doc long, to_start long"
+_FOUND = "doc long, key long, pos long, first int, last int, to_doc long, to_key long, to_start long"
 
 
 def _later(spec: regions.Spec, parts: bool = False):
-    """Runs of offsets at which a context's first place repeats an earlier one; and links
-    (doc, pos, to_doc, to_start) from the start of a window to that of a near copy.
+    """Runs of offsets at which a context's first place repeats an earlier window of its
+    gram, equal or near; and links (doc, key, pos, to_doc, to_key, to_start) from the
+    start of each near copy to that of the earliest of its component.
 
     A window stands for all equal ones. With parts, groups are parts of a gram's
     contexts, so equal windows are linked as well if they have a near copy."""
@@ -167,8 +169,12 @@ def _later(spec: regions.Spec, parts: bool = False):
     def run(batches):
         import pyarrow as pa
 
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-        schema = pa.schema(list(zip([c.split()[0] for c in _FOUND.split(", ")], kinds, strict=True)))
+        names = [c.split()[0] for c in _FOUND.split(", ")]
+        kinds = [pa.int32() if c in ("first", "last") else pa.int64() for c in names]
+        schema = pa.schema(list(zip(names, kinds, strict=True)))
+        rows_of = lambda n, given: pa.RecordBatch.from_arrays(
+            [pa.array(given[c], t) if c in given else pa.nulls(n, t) for c, t in zip(names, kinds, strict=True)], schema=schema
+        )
         for frame in regions.grouped_batches(batches):
             g = frame["g"].to_numpy()
             group = np.cumsum(np.concatenate(([True], g[1:] != g[:-1])))
@@ -176,9 +182,9 @@ def _later(spec: regions.Spec, parts: bool = False):
             if not len(pick):
                 continue
             part, grp = frame.iloc[pick], group[pick]
-            lo, hi, doc, pos = (part[c].to_numpy(np.int64) for c in ("lo", "hi", "doc", "pos"))
+            lo, hi, doc, key, pos = (part[c].to_numpy(np.int64) for c in ("lo", "hi", "doc", "key", "pos"))
             rank = np.empty(len(part), np.int64)
-            rank[np.lexsort((pos, doc))] = np.arange(len(part))
+            rank[np.lexsort((pos, key, doc))] = np.arange(len(part))
             after = regions.matrix(part["after"].tolist(), 8, spec.length, False)
             before = regions.matrix(part["before"].tolist(), 8, spec.length, True)
             codes, possible = _aligned(before, after, grp, lo, hi)
@@ -203,16 +209,13 @@ def _later(spec: regions.Spec, parts: bool = False):
                     copies = later & tied[of]
                     firsts, root = np.append(firsts, rows[copies]), np.append(root, of[copies])
                 a, b = firsts[root != firsts], root[root != firsts]
+                flags[a, o - base] = True
                 if len(a):
-                    none = pa.nulls(len(a), pa.int32())
-                    links = [pa.array(doc[a]), pa.array(pos[a] - o), none, none, pa.array(doc[b]), pa.array(pos[b] - o)]
-                    yield pa.RecordBatch.from_arrays(links, schema=schema)
+                    yield rows_of(len(a), {"doc": doc[a], "key": key[a], "pos": pos[a] - o, "to_doc": doc[b], "to_key": key[b], "to_start": pos[b] - o})
             out = [(k, a, b) for k in np.flatnonzero(flags.any(1)) for a, b in regions.runs(flags[k], base)]
             if out:
                 where = [x[0] for x in out]
-                none = pa.nulls(len(out), pa.int64())
-                columns = [pa.array(doc[where]), pa.array(pos[where]), *(pa.array([x[j] for x in out], pa.int32()) for j in (1, 2))]
-                yield pa.RecordBatch.from_arrays([*columns, none, none], schema=schema)
+                yield rows_of(len(out), {"doc": doc[where], "key": key[where], "pos": pos[where], "first": [x[1] for x in out], "last": [x[2] for x in out]})
 
     return run
 
@@ -254,45 +257,63 @@ def _crowd_parts(crowded: DataFrame, crowd: int) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     part = F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other"))
     rows = crowded.join(rows.select("g", "c1", "c2", part.alias("part")), ["g", "c1", "c2"])
-    rows = rows.select(F.col("part").alias("g"), "doc", "pos", "lo", "hi", "before", "after")
+    rows = rows.select(F.col("part").alias("g"), "doc", "key", "pos", "lo", "hi", "before", "after")
     parts = int(crowded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, "g").sortWithinPartitions("g")
 
 
+def _beaten(found: DataFrame) -> DataFrame:
+    """(doc, key, a, b): windows that are the earliest of a component of one gram, but
+    belong to an earlier window by way of another gram, band or part.
+
+    Links lead to the earliest window of a gram's own component, so components of
+    components are tied where a window has links to several such ones, or is one itself."""
+    place = lambda *names: F.struct(*[F.col(n).alias(c) for n, c in zip(names, ("doc", "key", "start"), strict=True)])
+    links = found.where("to_doc is not null").select(place("doc", "key", "pos").alias("w"), place("to_doc", "to_key", "to_start").alias("to"))
+    none = F.lit(None).cast(links.schema["to"].dataType)
+    both = links.union(links.select(F.col("to").alias("w"), none))
+    tied = both.groupBy("w").agg(F.collect_set("to").alias("to"), F.count_if(F.col("to").isNull()).alias("heads"))
+    tied = tied.withColumn("all", F.when(F.col("heads") > 0, F.array_append("to", F.col("w"))).otherwise(F.col("to"))).where("size(all) > 1")
+    edges = tied.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a <> b").distinct()
+    parts = connected_components(edges).where("node <> component")
+    return parts.select("node.doc", "node.key", F.col("node.start").alias("a"), (F.col("node.start") + LENGTH).alias("b"))
+
+
 def repeated_spans(docs: DataFrame, crowd: int = regions.CROWD) -> DataFrame:
-    """(doc_id, whole, spans): documents that lose words; whole ones, or word spans."""
+    """(doc, key, whole, spans) of regions.nodes that lose words; whole ones, or word spans."""
     spec = regions.Spec("word", LENGTH, SHINGLE, SHINGLE, BANDS)
-    grams, classes = regions.scan(docs, spec)
-    rows = regions.contexts(docs, regions.repeated(grams), spec)
-    unique = regions.unique_contexts(rows)
-    few, crowded = regions.split_crowds(regions.open_contexts(docs, unique, spec, near=True), crowd)
-    found = few.mapInArrow(_later(spec), _FOUND)
-    if not crowded.isEmpty():
-        found = found.union(_crowd_parts(crowded, crowd).mapInArrow(_later(spec, True), _FOUND))
-    found = materialize(found, "found")
-    place = lambda doc, start: F.struct(F.col(doc).alias("doc"), F.col(start).alias("start"))
-    tied = connected_components(found.where("to_doc is not null").select(place("doc", "pos").alias("a"), place("to_doc", "to_start").alias("b")))
-    near = tied.where("node <> component").select("node.doc", F.col("node.start").alias("a"), (F.col("node.start") + LENGTH).alias("b"))
-    windows = regions.crowd_windows(crowded, spec)
-    earliest = windows.groupBy("g", "o", "w").agg(F.min(F.struct("doc", "pos")).alias("e"))
-    counted = (
-        windows.join(earliest, ["g", "o", "w"]).where("e.doc < doc or (e.doc = doc and e.pos < pos)")
-        .select("doc", "pos", F.col("o").alias("first"), F.col("o").alias("last"))
-    )
-    # what holds for a context's earliest place holds for all; the others repeat it as a whole
-    firsts = found.where("to_doc is null").select("doc", "pos", "first", "last").union(counted)
-    early = unique.where("n > 1").select("g", "c1", "c2", "e")
-    others = (
-        rows.select("g", "c1", "c2", "doc", "pos", "lo", "hi").join(early, ["g", "c1", "c2"])
-        .where("e.doc <> doc or e.pos <> pos").select("doc", "pos", F.col("lo").alias("first"), F.col("hi").alias("last"))
-    )
-    span = ["doc", (F.col("pos") - F.col("last")).alias("a"), (F.col("pos") - F.col("first") + LENGTH).alias("b")]
-    spans = regions.merged_spans(firsts.union(others).select(*span).union(near))
-    copies = classes.where((F.col("doc_id") != F.col("rep")) & (F.col("size") >= LENGTH)).select("doc_id").distinct()
-    whole = copies.select("doc_id", F.lit(True).alias("whole"), F.lit(None).cast("array<struct<a:long,b:long>>").alias("spans"))
-    gone = whole.union(spans.select("doc_id", F.lit(False).alias("whole"), "spans"))
-    gone = gone.groupBy("doc_id").agg(F.max("whole").alias("whole"), F.flatten(F.collect_list("spans")).alias("spans"))
-    return materialize(gone, "spans")
+    with scope():
+        docs = regions.nodes(docs)
+        grams, classes = regions.scan(docs, spec)
+        rows = regions.contexts(docs, regions.repeated(grams), spec)
+        sweep(docs.sparkSession)
+        unique = regions.unique_contexts(rows)
+        few, crowded = regions.split_crowds(regions.open_contexts(docs, unique, spec, near=True), crowd)
+        found = few.mapInArrow(_later(spec), _FOUND)
+        if not crowded.isEmpty():
+            found = found.union(_crowd_parts(crowded, crowd).mapInArrow(_later(spec, True), _FOUND))
+        found = materialize(found, "found")
+        sweep(docs.sparkSession)
+        windows = regions.crowd_windows(crowded, spec)
+        earliest = windows.groupBy("g", "o", "w").agg(F.min(F.struct("doc", "key", "pos")).alias("e"))
+        counted = (
+            windows.join(earliest, ["g", "o", "w"]).where(F.col("e") < F.struct("doc", "key", "pos"))
+            .select("doc", "key", "pos", F.col("o").alias("first"), F.col("o").alias("last"))
+        )
+        # what holds for a context's earliest place holds for all; the others repeat it as a whole
+        firsts = found.where("to_doc is null").select("doc", "key", "pos", "first", "last").union(counted)
+        early = unique.where("n > 1").select("g", "c1", "c2", "e")
+        others = (
+            rows.select("g", "c1", "c2", "doc", "key", "pos", "lo", "hi").join(early, ["g", "c1", "c2"])
+            .where(F.col("e") != F.struct("doc", "key", "pos")).select("doc", "key", "pos", F.col("lo").alias("first"), F.col("hi").alias("last"))
+        )
+        span = ["doc", "key", (F.col("pos") - F.col("last")).alias("a"), (F.col("pos") - F.col("first") + LENGTH).alias("b")]
+        spans = regions.listed_spans(firsts.union(others).select(*span).union(_beaten(found)))
+        copies = classes.where((F.struct("doc", "key") != F.col("rep")) & (F.col("size") >= LENGTH)).select("doc", "key").distinct()
+        whole = copies.select("doc", "key", F.lit(True).alias("whole"), F.lit(None).cast("array<struct<a:long,b:long>>").alias("spans"))
+        gone = whole.union(spans.select("doc", "key", F.lit(False).alias("whole"), "spans"))
+        gone = gone.groupBy("doc", "key").agg(F.max("whole").alias("whole"), F.flatten(F.collect_list("spans")).alias("spans"))
+        return hand_over(materialize(gone, "spans"))
 
 
 def _cut(text: bytes, whole: bool, spans) -> tuple[int, int, int, bytes]:
@@ -316,33 +337,34 @@ def _cut(text: bytes, whole: bool, spans) -> tuple[int, int, int, bytes]:
     return n, int((ends - starts).sum()), len(starts), kept
 
 
-def _remover(columns: list[str]):
-    """The columns of docs with the text cut, and three counts."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            texts = wordhash.utf8(batch.column("text"))
-            whole, spans = batch.column("_whole").to_pylist(), batch.column("_spans").to_pylist()
-            cut = [_cut(t, w, s) for t, w, s in zip(texts, whole, spans, strict=True)]
-            null = batch.column("text").is_null().to_pylist()
-            out = [batch.column(k) for k in range(len(columns))]
-            out[columns.index("text")] = pa.array([None if z else c[3].decode() for z, c in zip(null, cut, strict=True)], pa.string())
-            out += [pa.array([c[j] for c in cut], pa.int64()) for j in range(3)]
-            yield pa.RecordBatch.from_arrays(out, names=[*columns, "_words", "_removed", "_cuts"])
+def _remover(batches):
+    """key, text without the repeated words, and three counts."""
+    import pyarrow as pa
 
-    return run
+    for batch in batches:
+        rows = batch.column("row")
+        texts, null = wordhash.utf8(rows.field("text")), rows.field("text").is_null().to_pylist()
+        cut = [_cut(t, w, s) for t, w, s in zip(texts, batch.column("whole").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+        kept = pa.array([None if z else c[3].decode() for z, c in zip(null, cut, strict=True)], pa.string())
+        counts = [pa.array([c[j] for c in cut], pa.int64()) for j in range(3)]
+        yield pa.RecordBatch.from_arrays([rows, kept, *counts], names=["row", "text", "n_words", "n_removed", "n_spans"])
 
 
 def cut_repeats(docs: DataFrame, **options) -> DataFrame:
-    """docs with cut texts, and _words, _removed, _cuts."""
+    """(row, text, n_words, n_removed, n_spans): each row of docs as a struct, and its cut text."""
     rows = regions.with_spans(docs, repeated_spans(docs, **options))
-    fields = [f"`{c}` {t}" for c, t in docs.dtypes] + ["_words long", "_removed long", "_cuts long"]
-    return rows.mapInArrow(_remover(docs.columns), ", ".join(fields))
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(_remover, f"row {kind}, text string, n_words long, n_removed long, n_spans long")
 
 
 def drop_repeats(docs: DataFrame, **options) -> DataFrame:
-    """docs with repeated passages cut out; documents of which nothing is left go."""
-    out = cut_repeats(docs, **options)
-    return out.where("_removed = 0 or _removed < _words").select(*docs.columns)
+    """docs with repeated passages cut out; documents of which nothing is left go.
+
+    If docs has n_chars, it is the length of the text that is left where words were cut."""
+    out = cut_repeats(docs, **options).where("n_removed = 0 or n_removed < n_words")
+    own = F.col("row")
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col("n_removed") > 0, length).otherwise(own["n_chars"])
+    return out.select(*[new.get(c, own[c]).alias(c) for c in docs.columns])

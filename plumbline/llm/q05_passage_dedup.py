@@ -13,10 +13,4 @@ SQL = None  # MinHash candidates are beyond SQL; tests compare with brute force
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = passage_dedup.cut_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return out.select(
-        "doc_id",
-        F.col("_words").alias("n_words"),
-        F.col("_removed").alias("n_removed"),
-        F.col("_cuts").alias("n_spans"),
-        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
-    )
+    return out.select("row.doc_id", "n_words", "n_removed", "n_spans", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

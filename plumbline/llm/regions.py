@@ -20,6 +20,9 @@ The callers decide which windows of a context count and get spans per document b
 A gram with more than ``crowd`` distinct contexts is not gathered into a task: its
 windows are counted as rows of an aggregation instead, with the same result for equal
 windows; ``passage_dedup`` finds near ones of such grams in parts.
+
+A document is known by (doc, key), see ``nodes``: rows that share a doc_id or have none
+keep their own spans.
 """
 
 from __future__ import annotations
@@ -39,6 +42,19 @@ PIECE = 1 << 19
 CROWD = 20_000
 
 
+#: stands for a null doc_id, after all others
+LAST = (1 << 63) - 1
+
+
+def _node() -> tuple:
+    return F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text", "doc_id").alias("key")
+
+
+def nodes(docs: DataFrame) -> DataFrame:
+    """(doc, key, text): doc is doc_id or LAST; key tells texts of one doc apart."""
+    return docs.select(*_node(), "text")
+
+
 @dataclass(frozen=True)
 class Spec:
     unit: str  # "byte" or "word"
@@ -130,11 +146,11 @@ def _scanner(spec: Spec):
         seen = set()
         lists = [("g", pa.int64()), ("pos", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]
         schema = pa.schema(
-            [("doc_id", pa.int64()), ("size", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())]
+            [(n, pa.int64()) for n in ("doc", "key", "size", "d1", "d2")]
             + [(n, pa.list_(t)) for n, t in lists]
         )
         for batch in batches:
-            texts, known = wordhash.utf8(batch.column("text")), batch.column("doc_id").is_valid().to_pylist()
+            texts = wordhash.utf8(batch.column("text"))
             sizes, digests, grams = [], [], []
             for rows, elements, bounds in _elements(texts, spec):
                 found = [np.concatenate(x) for x in zip(*_pieces(elements, bounds, spec), strict=True)] or [np.zeros(0, np.int64)] * 5
@@ -143,15 +159,14 @@ def _scanner(spec: Spec):
                 for k in range(len(rows)):
                     own = elements[bounds[k] : bounds[k + 1]]
                     x = xxhash.xxh3_128_intdigest(own.tobytes())
-                    # a row without a doc_id counts as a copy, and holds no grams for others
-                    new = known[rows[k]] and x not in seen
+                    new = x not in seen
                     if new:
                         seen.add(x)
                     sizes.append(len(own))
                     digests.append(((x >> 64) - (1 << 63), (x & ((1 << 64) - 1)) - (1 << 63)))
                     pick = order[cut[k] : cut[k + 1]] if new else None
                     grams.append(None if pick is None else (found[0][pick].view(np.int64), found[2][pick], found[3][pick].astype(np.int32), found[4][pick].astype(np.int32)))
-            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64())]
+            columns = [batch.column("doc"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64())]
             columns += [pa.array([None if g is None else g[j] for g in grams], pa.list_(t)) for j, (_, t) in enumerate(lists)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
@@ -159,34 +174,36 @@ def _scanner(spec: Spec):
 
 
 def scan(docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
-    """(grams, classes): the selected grams of one document of each class of equal ones,
-    and classes(doc_id, size, rep, copies) with one row per document."""
-    table = docs.select("doc_id", "text").mapInArrow(
-        _scanner(spec), "doc_id long, size long, d1 long, d2 long, g array<long>, pos array<long>, lo array<int>, hi array<int>"
+    """(grams, classes) of nodes: the selected grams of one document of each class of equal
+    ones, and classes(doc, key, size, rep, copies) with one row per document."""
+    table = docs.mapInArrow(
+        _scanner(spec), "doc long, key long, size long, d1 long, d2 long, g array<long>, pos array<long>, lo array<int>, hi array<int>"
     )
     table = materialize(table, "scan")
-    same = table.where("doc_id is not null or g is null").groupBy("d1", "d2", "size").agg(
-        F.min("doc_id").alias("rep"),
+    own = F.struct("doc", "key")
+    same = table.groupBy("d1", "d2", "size").agg(
+        F.min(own).alias("rep"),
         F.count(F.lit(1)).alias("copies"),
-        F.min(F.when(F.col("g").isNotNull(), F.col("doc_id"))).alias("holder"),
-    )
-    classes = materialize(table.select("doc_id", "size", "d1", "d2").join(same, ["d1", "d2", "size"]), "classes")
-    holders = classes.where("doc_id = holder").select("doc_id", "rep").distinct()
-    grams = table.where("g is not null").join(holders, "doc_id").select(
-        F.col("rep").alias("doc_id"), F.arrays_zip("g", "pos", "lo", "hi").alias("at")
+        F.min(F.when(F.col("g").isNotNull(), own)).alias("holder"),
     )
+    classes = materialize(table.select("doc", "key", "size", "d1", "d2").join(same, ["d1", "d2", "size"]), "classes")
+    holders = classes.where(own == F.col("holder")).select("doc", "key", "rep").distinct()
+    grams = table.where("g is not null").join(holders, ["doc", "key"]).select("rep.doc", "rep.key", F.arrays_zip("g", "pos", "lo", "hi").alias("at"))
     grams = materialize(grams, "grams")
     discard(table)
     return grams, classes
 
 
 def repeated(grams: DataFrame) -> DataFrame:
-    """(doc_id, at): the grams of each document that occur twice or more in all."""
-    rows = grams.select("doc_id", F.explode("at").alias("a")).select("doc_id", "a.*")
-    twice = rows.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g")
-    found = rows.join(twice, "g").groupBy("doc_id").agg(F.collect_list(F.struct("g", "pos", "lo", "hi")).alias("at"))
+    """(doc, key, at): the grams of each document that occur twice or more in all.
+
+    Their list is written first, so that a gram of very many documents joins as a
+    broadcast, or as a side that is split where it is skewed."""
+    rows = grams.select("doc", "key", F.explode("at").alias("a")).select("doc", "key", "a.*")
+    twice = materialize(rows.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g"), "twice")
+    found = rows.join(sized(twice), "g").groupBy("doc", "key").agg(F.collect_list(F.struct("g", "pos", "lo", "hi")).alias("at"))
     found = materialize(found, "repeated")
-    discard(grams)
+    discard(grams, twice)
     return found
 
 
@@ -197,7 +214,7 @@ def _digest(data: bytes) -> tuple[int, int]:
     return (x >> 64) - (1 << 63), (x & ((1 << 64) - 1)) - (1 << 63)
 
 
-_PLACE = [("g", "long"), ("doc", "long"), ("pos", "long"), ("lo", "int"), ("hi", "int"), ("c1", "long"), ("c2", "long")]
+_PLACE = [("g", "long"), ("doc", "long"), ("key", "long"), ("pos", "long"), ("lo", "int"), ("hi", "int"), ("c1", "long"), ("c2", "long")]
 _NEAR = [("l", "long"), ("r", "long")]
 _WHOLE = [("n", "long"), ("before", "binary"), ("after", "binary")]
 
@@ -216,7 +233,8 @@ def _cutter(spec: Spec, whole: bool):
         schema = pa.schema([(name, kinds[kind]) for name, kind in fields])
         near = lambda data: xxhash.xxh3_64_intdigest(data) - (1 << 63)
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), wordhash.utf8(batch.column("text"))
+            ids = list(zip(batch.column("doc").to_pylist(), batch.column("key").to_pylist(), strict=True))
+            texts = wordhash.utf8(batch.column("text"))
             rows: list[tuple] = []
             for k, at in enumerate(batch.column("at").to_pylist()):
                 data = texts[k] if spec.unit == "byte" else wordhash.words(texts[k].lower())[0].tobytes()
@@ -227,7 +245,7 @@ def _cutter(spec: Spec, whole: bool):
                     c1, c2 = _digest(b"%d,%d;" % (lo, hi) + before + after)
                     l = near(data[pos - side : pos + core]) if pos >= side else None
                     r = near(data[pos : pos + core + side]) if pos + core + side <= len(data) else None
-                    row = (a["g"], ids[k], a["pos"], lo, hi, c1, c2, l, r)
+                    row = (a["g"], *ids[k], a["pos"], lo, hi, c1, c2, l, r)
                     rows.append((*row, a["n"], before, after) if whole else row)
                 if len(rows) >= 4000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
@@ -239,9 +257,8 @@ def _cutter(spec: Spec, whole: bool):
 
 
 def _at_places(docs: DataFrame, places: DataFrame, spec: Spec, whole: bool) -> DataFrame:
-    """Contexts at places(doc_id, at); only documents that have any are read on."""
-    ids = sized(places.select("doc_id"))
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").join(places, "doc_id")
+    """Contexts at places(doc, key, at); only documents that have any are read on."""
+    texts = docs.join(sized(places.select("doc", "key")), ["doc", "key"], "left_semi").join(places, ["doc", "key"])
     fields = [*_PLACE, *_NEAR, *(_WHOLE if whole else [])]
     return texts.mapInArrow(_cutter(spec, whole), ", ".join(f"{name} {kind}" for name, kind in fields))
 
@@ -256,7 +273,7 @@ def contexts(docs: DataFrame, places: DataFrame, spec: Spec) -> DataFrame:
 def unique_contexts(rows: DataFrame) -> DataFrame:
     """One row per distinct context of a gram: its number and earliest place."""
     slim = rows.groupBy("g", "c1", "c2").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "pos")).alias("e"),
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "key", "pos")).alias("e"),
         F.min("lo").alias("lo"), F.min("hi").alias("hi"), F.min("l").alias("l"), F.min("r").alias("r"),
     )
     return materialize(slim, "unique")
@@ -268,18 +285,20 @@ def open_contexts(docs: DataFrame, unique: DataFrame, spec: Spec, near: bool = F
     A window around a gram holds the gram and ``side`` elements more before it or after
     it, so a context that shares neither with another context shares no window. With
     near, windows need not be equal, and all contexts of grams with several ones stay."""
-    slim = unique.select("g", "c1", "c2", "n", "e.doc", "e.pos", "lo", "hi", "l", "r")
+    slim = unique.select("g", "c1", "c2", "n", "e.doc", "e.key", "e.pos", "lo", "hi", "l", "r")
     sides = unique.select("g", F.explode(F.array(F.struct(F.lit(0).alias("s"), F.col("l").alias("k")), F.struct(F.lit(1).alias("s"), F.col("r").alias("k")))).alias("x"))
     shared = sides.where("x.k is not null").groupBy("g", "x.s", "x.k").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     left = shared.where("s = 0").select("g", F.col("k").alias("l"), F.lit(True).alias("in_l"))
     right = shared.where("s = 1").select("g", F.col("k").alias("r"), F.lit(True).alias("in_r"))
     if near:
-        several = unique.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g")
-        some = slim.join(several, "g")
+        several = materialize(unique.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g"), "several")
+        some = slim.join(sized(several), "g")
     else:
         some = slim.join(left, ["g", "l"], "left").join(right, ["g", "r"], "left").where("in_l or in_r")
-    places = some.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("g", "pos", "lo", "hi", "n")).alias("at"))
-    return materialize(_at_places(docs, materialize(places, "places"), spec, True), "open")
+    places = materialize(some.groupBy("doc", "key").agg(F.collect_list(F.struct("g", "pos", "lo", "hi", "n")).alias("at")), "places")
+    found = materialize(_at_places(docs, places, spec, True), "open")
+    discard(places)
+    return found
 
 
 def grouped_batches(batches, column: str = "g", rows: int = 4096):
@@ -368,37 +387,24 @@ def split_crowds(unique: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
 
 
 def crowd_windows(crowded: DataFrame, spec: Spec) -> DataFrame:
-    """(g, c1, c2, o, w, n, doc, pos): each window of a crowded gram by its digest w."""
+    """(g, c1, c2, o, w, n, doc, key, pos): each window of a crowded gram by its digest w."""
     whole = F.concat("before", "after")
     at = ((F.col("hi") - F.col("o")) * spec.width + 1).cast("int")
     rows = crowded.withColumn("o", F.explode(F.sequence("lo", "hi")))
     window = F.substring(whole, at, F.lit(spec.length * spec.width))
-    return rows.select("g", "c1", "c2", "o", F.md5(window).alias("w"), "n", "doc", "pos")
-
-
-def merged_spans(spans: DataFrame) -> DataFrame:
-    """(doc_id, spans): unions of the (doc, a, b) rows of each document, sorted."""
-    each = F.sort_array(F.collect_list(F.struct("a", "b")))
-    rows = spans.groupBy(F.col("doc").alias("doc_id")).agg(each.alias("all"))
-    last = lambda done: F.element_at(done, -1)
-    joined = F.aggregate(
-        F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(1))),
-        F.slice("all", 1, 1),
-        lambda done, x: F.when(x["a"] > last(done)["b"], F.concat(done, F.array(x))).otherwise(
-            F.concat(
-                F.slice(done, F.lit(1), F.size(done) - 1),
-                F.array(F.struct(last(done)["a"].alias("a"), F.greatest(last(done)["b"], x["b"]).alias("b"))),
-            )
-        ),
-    )
-    return rows.select("doc_id", joined.alias("spans"))
+    return rows.select("g", "c1", "c2", "o", F.md5(window).alias("w"), "n", "doc", "key", "pos")
+
+
+def listed_spans(spans: DataFrame) -> DataFrame:
+    """(doc, key, spans): the (a, b) rows of each document, each once; merge() joins them."""
+    return spans.groupBy("doc", "key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with _whole and _spans of their doc_id; spans is a written table."""
+    """(row, whole, spans): each row of docs as a struct with its node's spans; spans is a written table."""
     weight = F.lit(1) + F.coalesce(F.size("spans"), F.lit(0))
-    side = sized(spans, weight=weight).withColumnsRenamed({"doc_id": "_doc", "whole": "_whole", "spans": "_spans"})
-    return docs.join(side, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *_node())
+    return rows.join(sized(spans, weight=weight), ["doc", "key"], "left").select("row", "whole", "spans")
 
 
 def merge(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -12,9 +12,9 @@ depth, then blind tries (insertion by branching characters only, one comparison
 whole strings each) order the groups with longer common prefixes.
 
 Edge cases: a null text is empty; a text under ``LENGTH`` bytes keeps all; repeated
-rows are two places of one string, so both lose it; a null doc_id takes part as an
-exact copy only; spans of rows that share a doc_id hold for each of them, clipped to
-its size; empty tables give empty results; other columns are not read.
+rows are two places of one string, so both lose it; rows with a null doc_id, or with one
+that other texts have too, take part like any other; empty tables give empty results;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import regions, wordhash
-from .shared import materialize
+from .shared import hand_over, materialize, scope, sweep
 
 LENGTH = 400
 GRAM = 200
@@ -146,26 +146,29 @@ def _covered(spec: regions.Spec):
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = regions.CROWD) -> DataFrame:
-    """(doc_id, whole, spans): documents that lose bytes; whole ones, or byte spans."""
+    """(doc, key, whole, spans) of regions.nodes that lose bytes; whole ones, or byte spans."""
     spec = regions.Spec("byte", length, gram, (length - gram) // 2)
-    grams, classes = regions.scan(docs, spec)
-    rows = regions.contexts(docs, regions.repeated(grams), spec)
-    unique = regions.unique_contexts(rows)
-    few, crowded = regions.split_crowds(regions.open_contexts(docs, unique, spec), crowd)
-    found = few.mapInArrow(_covered(spec), "g long, c1 long, c2 long, first int, last int")
-    windows = regions.crowd_windows(crowded, spec)
-    twice = windows.groupBy("g", "o", "w").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select("g", "o", "w")
-    counted = windows.join(twice, ["g", "o", "w"]).select(
-        "g", "c1", "c2", F.col("o").alias("first"), F.col("o").alias("last")
-    )
-    # a context that occurs twice covers all its windows; others as found
-    twice = unique.where("n > 1").select("g", "c1", "c2", F.col("lo").alias("first"), F.col("hi").alias("last"))
-    span = ["doc", (F.col("pos") - F.col("last")).alias("a"), (F.col("pos") - F.col("first") + length).alias("b")]
-    spans = rows.select("g", "c1", "c2", "doc", "pos").join(found.union(counted).union(twice), ["g", "c1", "c2"]).select(*span)
-    copies = classes.where((F.col("copies") > 1) & (F.col("size") >= length)).select("doc_id").distinct()
-    whole = copies.select("doc_id", F.lit(True).alias("whole"), F.lit(None).cast("array<struct<a:long,b:long>>").alias("spans"))
-    part = regions.merged_spans(spans).join(copies, "doc_id", "left_anti").select("doc_id", F.lit(False).alias("whole"), "spans")
-    return materialize(whole.union(part), "spans")
+    with scope():
+        docs = regions.nodes(docs)
+        grams, classes = regions.scan(docs, spec)
+        rows = regions.contexts(docs, regions.repeated(grams), spec)
+        sweep(docs.sparkSession)
+        unique = regions.unique_contexts(rows)
+        few, crowded = regions.split_crowds(regions.open_contexts(docs, unique, spec), crowd)
+        found = few.mapInArrow(_covered(spec), "g long, c1 long, c2 long, first int, last int")
+        windows = regions.crowd_windows(crowded, spec)
+        twice = windows.groupBy("g", "o", "w").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select("g", "o", "w")
+        counted = windows.join(twice, ["g", "o", "w"]).select(
+            "g", "c1", "c2", F.col("o").alias("first"), F.col("o").alias("last")
+        )
+        # a context that occurs twice covers all its windows; others as found
+        twice = unique.where("n > 1").select("g", "c1", "c2", F.col("lo").alias("first"), F.col("hi").alias("last"))
+        span = ["doc", "key", (F.col("pos") - F.col("last")).alias("a"), (F.col("pos") - F.col("first") + length).alias("b")]
+        spans = rows.select("g", "c1", "c2", "doc", "key", "pos").join(found.union(counted).union(twice), ["g", "c1", "c2"]).select(*span)
+        copies = classes.where((F.col("copies") > 1) & (F.col("size") >= length)).select("doc", "key").distinct()
+        whole = copies.select("doc", "key", F.lit(True).alias("whole"), F.lit(None).cast("array<struct<a:long,b:long>>").alias("spans"))
+        part = regions.listed_spans(spans).join(copies, ["doc", "key"], "left_anti").select("doc", "key", F.lit(False).alias("whole"), "spans")
+        return hand_over(materialize(whole.union(part), "spans"))
 
 
 def _remover(batches):
@@ -174,7 +177,7 @@ def _remover(batches):
     for batch in batches:
         texts = wordhash.utf8(batch.column("text"))
         removed, counts, kept = [], [], []
-        for text, whole, spans in zip(texts, batch.column("_whole").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+        for text, whole, spans in zip(texts, batch.column("whole").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             starts, ends = np.zeros(0, np.int64), np.zeros(0, np.int64)
             if whole:
                 starts, ends = np.array([0]), np.array([len(text)])
@@ -196,5 +199,5 @@ def _remover(batches):
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): kept holds the remaining bytes."""
     spans = repeated_spans(docs, **options)
-    rows = regions.with_spans(docs.select("doc_id", "text"), spans)
+    rows = regions.with_spans(docs.select("doc_id", "text"), spans).select("row.*", "whole", "spans")
     return rows.mapInArrow(_remover, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

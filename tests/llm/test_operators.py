@@ -75,10 +75,12 @@ def test_jaccard_equals_brute_force(spark, docs):
 
 
 def test_passages_go_once(spark, docs):
-    out = {r["doc_id"]: r for r in passage_dedup.cut_repeats(docs.select("doc_id", "text")).collect()}
+    out = {r["row"]["doc_id"]: r["n_removed"] for r in passage_dedup.cut_repeats(docs).collect()}
     assert len(out) == len(corpus())
-    assert out[4]["_removed"] >= 100 and out[3]["_removed"] == 0  # the first place stays
-    assert out[13]["_removed"] == 0 and out[9]["_removed"] == 0
+    assert out[4] >= 100 and out[3] == 0  # the first place stays
+    assert out[13] == 0 and out[9] == 0
+    left = {r["doc_id"]: r for r in passage_dedup.drop_repeats(docs).collect()}
+    assert left[4]["n_chars"] == len(left[4]["text"]) < len(corpus()[4]) and left[6]["text"] is None and left[0].asDict() == docs.where("doc_id = 0").first().asDict()
 
 
 def near_removed(texts):
@@ -132,7 +134,7 @@ def near_texts(seed):
 
 def removed(spark, texts, **options):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = {r["doc_id"]: r["_removed"] for r in passage_dedup.cut_repeats(rows, **options).collect()}
+    out = {r["row"]["doc_id"]: r["n_removed"] for r in passage_dedup.cut_repeats(rows, **options).collect()}
     return [out[k] for k in range(len(texts))]
 
 
@@ -176,8 +178,28 @@ def test_null_doc_ids(spark):
     bench = spark.createDataFrame([("i1", " ".join(text.split()[20:35]))], "item_id string, text string")
     rows = spark.createDataFrame([(None, text), (1, text)], "doc_id long, text string").coalesce(1)
     assert [r["contaminated"] for r in decontaminate.report(rows, bench).collect()] == [True, True]
-    _, classes = regions.scan(rows, regions.Spec("word", 50, 5, 5, 2))
-    assert [(r["holder"], r["copies"]) for r in classes.where("doc_id = 1").collect()] == [(1, 2)]
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+@pytest.mark.parametrize("backwards", [False, True])
+def test_null_and_repeated_ids_in_suffix_dedup(spark, parts, backwards):
+    rng = random.Random(9)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    t = say(1000)
+    rows = [(None, t), (5, t), (6, say(50) + t[:800] + say(60)), (7, say(900)), (8, u := say(900)), (8, say(700)), (8, t[100:800])]
+    rows = rows[::-1] if backwards else rows
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts) if parts > 1 else spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    out = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in suffix_dedup.deduplicate(frame).collect())
+    assert out == sorted([(0, 1000, 1000), (5, 1000, 1000), (6, 910, 800), (7, 900, 0), (8, len(u), 0), (8, 700, 0), (8, 700, 700)])
+
+
+def test_null_and_repeated_ids_in_passage_dedup(spark):
+    rng = random.Random(5)
+    say = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    t, u = say(120), say(90)
+    rows = spark.createDataFrame([(None, t), (1, t), (1, u), (1, u), (2, say(30) + " " + t[:-20] + " " + say(30))], "doc_id long, text string")
+    out = sorted((r["row"]["doc_id"] or 0, r["n_words"], r["n_removed"] > 0) for r in passage_dedup.cut_repeats(rows).collect())
+    assert [(d, gone) for d, _, gone in out] == [(0, True), (1, False), (1, False), (1, False), (2, True)]
 
 
 def test_bpe_round_trip(spark, docs):
