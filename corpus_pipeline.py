@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import bpe, decontaminate, jaccard_join, passage_dedup, quality
 from plumbline.llm.q08_bpe import vocabulary
-from plumbline.llm.shared import materialize
+from plumbline.llm.shared import discard, materialize, scope
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,20 +44,39 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", checked.alias("ids"))
 
 
+#: tables that the last stage called for a folder has left for its lazy result
+_left: dict[str, list[DataFrame]] = {}
+
+
+def _stage(work):
+    """work, whose intermediate tables go when the next stage for the same folder begins:
+    by then its result has been written."""
+
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(*_left.pop(sf_dir, []))
+        with scope(keep=True) as tables:
+            out = work(spark, docs, sf_dir)
+        _left[sf_dir] = [*tables]
+        return out
+
+    return stage
+
+
 STAGES = [
-    ("quality rules", quality_rules),
-    ("n-gram Jaccard join", near_duplicates),
-    ("substring dedup", substring_dedup),
-    ("benchmark decontamination", decontamination),
-    ("byte-level BPE", encoding),
+    ("quality rules", _stage(quality_rules)),
+    ("n-gram Jaccard join", _stage(near_duplicates)),
+    ("substring dedup", _stage(substring_dedup)),
+    ("benchmark decontamination", _stage(decontamination)),
+    ("byte-level BPE", _stage(encoding)),
 ]
 
-#: MinHash candidates and token merges are beyond SQL; tests compare with brute force
+#: near copies of passages and token merges are beyond SQL; tests/llm/test_pipeline.py compares with plain Python
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{k}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{k}")
+        discard(before, *_left.pop(sf_dir, []))
     return docs

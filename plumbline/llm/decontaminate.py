@@ -13,10 +13,11 @@ the first join (the benchmark's fingerprints are written first, so the planner k
 their size and broadcasts them only under its threshold). The second scan reads
 candidate documents alone. A document's rows are its hits, never all of its windows.
 
-Edge cases: null or wordless texts have no words, no windows and no hits; a null
-item_id is ignored; rows are told apart by doc_id and text, so repeated rows get the
-same result each; empty tables give empty results or documents without hits; other
-columns, of any name, are not read.
+Edge cases: null or wordless texts have no words, no windows and no hits; items with a
+null item_id count for hits, and as one item without a name in the list of names; rows are
+told apart by doc_id (null or not) and text, so repeated rows get the same result each;
+empty tables give empty results or documents without hits; other columns, of any name, are
+returned by ``drop_contaminated`` and not read otherwise.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import hand_over, materialize, scope
 
 WINDOW = 10
 GRAM = 5
@@ -78,7 +79,7 @@ def _windows(df: DataFrame, keys: list[str], length: int) -> DataFrame:
 
 
 def item_table(benchmark: DataFrame) -> DataFrame:
-    items = benchmark.where("item_id is not null").select("item_id", words(F.col("text")).alias("_words"))
+    items = benchmark.select("item_id", words(F.col("text")).alias("_words"))
     return materialize(items.where(F.size("_words") > 0), "items")
 
 
@@ -113,7 +114,7 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, _key, n_hit, items): documents with hits; items as sorted strings."""
+    """(doc_id, _key, n_hit, n_items, items): documents with hits; items as sorted strings."""
     found = hits(docs, item_table(benchmark))
     # word positions are merged from sorted starts: each adds what the previous ones leave
     spans = found.groupBy("doc_id", "_key", "pos").agg(F.max("length").alias("length"))
@@ -130,7 +131,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     names = (
         found.select("doc_id", "_key", F.col("item_id").cast("string").alias("item")).distinct()
-        .groupBy("doc_id", "_key").agg(F.sort_array(F.collect_list("item")).alias("items"))
+        .groupBy("doc_id", "_key").agg(F.sort_array(F.collect_list("item")).alias("items"), F.count(F.lit(1)).alias("n_items"))
     )
     counted = per_doc.select("doc_id", "_key", merged["n"].alias("n_hit"))
     return _null_safe(counted, names, "inner").drop("_id2", "_key2")
@@ -144,7 +145,8 @@ def _null_safe(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for every document, hit or not."""
-    found = materialize(contamination(docs, benchmark), "contaminated")
+    with scope():
+        found = hand_over(materialize(contamination(docs, benchmark), "contaminated"))
     n_words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), _ANY_CASE), lambda w: w != ""))
     rows = docs.select("doc_id", F.xxhash64("text").alias("_key"), n_words.cast("long").alias("n_words"))
     joined = _null_safe(rows, found, "left")
@@ -153,7 +155,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(listed, 256).alias("items_sha256"),
         F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
     )
@@ -165,7 +167,8 @@ _ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without any hit, with the columns of docs."""
-    found = materialize(hits(docs, item_table(benchmark)).select("doc_id", "_key").distinct(), "contaminated")
-    found = found.select(F.struct("doc_id", "_key").alias("_hit"))
-    rows = docs.withColumn("_row", F.struct("doc_id", F.xxhash64("text").alias("_key")))
-    return rows.join(found, F.col("_row") == F.col("_hit"), "left_anti").select(*docs.columns)
+    with scope():
+        found = hits(docs, item_table(benchmark)).select("doc_id", "_key").distinct()
+        found = hand_over(materialize(found, "contaminated"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("_key"))
+    return _null_safe(rows, found, "left_anti").select("row.*")

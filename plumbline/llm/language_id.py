@@ -1,6 +1,6 @@
 """Language identification by unigram pieces, summed over all segmentations.
 
-A word (a run of letters, lower-cased, with the vocabulary's word mark before it) can
+A word (a run of letters, Unicode category L, lower-cased, with the vocabulary's word mark before it) can
 be cut into pieces of a fixed public vocabulary in many ways. Its probability in a
 language is the sum over all cuts of the product of the pieces' probabilities there,
 computed by a forward pass; a text's log-probability adds up its words. The prediction
@@ -17,16 +17,17 @@ task keeps the scores of words it has seen in a table that is emptied when full.
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; with no
 labelled rows all texts are; characters outside the vocabulary have one small
 probability in every language; a null doc_id is not held out and not learned from;
-repeated rows are predicted alike; empty tables give empty results; other columns
+a run of over ``LONGEST`` letters counts as several
+words, so that no lattice grows with a text; repeated rows are predicted alike; empty tables give empty results; other columns
 (lang and source included) are not read when predicting.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,8 @@ UNKNOWN = -18.0  # log-probability of a character that no piece has
 MARK = "▁"
 WORDS = 400_000  # scores that a task keeps
 _U = np.uint64
-_LETTERS = re.compile(r"[^\W\d_]+")
+LONGEST = 256  # letters of a word; longer runs are several words
+_LETTERS = regex.compile(r"\p{L}{1,%d}" % LONGEST)
 _BASE = _U(0x9E3779B97F4A7C15)
 
 

@@ -21,7 +21,7 @@ WITH dw AS (
          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
 ), iw AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE item_id IS NOT NULL
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
 ), win AS (
   SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS win
   FROM (SELECT item_id, ws, least(len(ws), 10) AS n, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS i

@@ -9,8 +9,8 @@ document has to pass the milder rules too. A clean document always stays.
 
 Edge cases: a null text has no words and fails the base rules; a null source is no
 host and is never rejected; repeated rows are judged alike and all returned; an
-empty table gives an empty result; further columns are carried or dropped as asked,
-whatever their names, since own columns are only added at the end of the plan.
+empty table gives an empty result; further columns, whatever their names, are carried
+inside one struct.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import hand_over, materialize, scope
 
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOL = r"[#*$%&|<>]"
@@ -32,14 +32,15 @@ SALTS = 32
 
 
 def quality_counts(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """carry plus a struct column ``q`` with the counts of every text.
+    """(row, source, q): the columns named in carry as a struct, and the counts of every text.
 
     Windows are compared by 64-bit hashes within one text.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(*carry, text.alias("_t")) if "_t" not in carry else docs.withColumn("_t", text)
+    kept = [F.struct(*carry).alias("row"), F.col("source")]
+    base = docs.select(*kept, F.coalesce("text", F.lit("")).alias("_t"))
+    kept = ["row", "source"]
     step = base.select(
-        *carry,
+        *kept,
         (F.char_length("_t") - F.regexp_count("_t", F.lit(SPACE))).cast("long").alias("_chars"),
         F.regexp_count("_t", F.lit(SYMBOL)).cast("long").alias("_sym"),
         F.filter(F.split("_t", r"\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
@@ -91,7 +92,7 @@ def quality_counts(docs: DataFrame, carry: list[str]) -> DataFrame:
         lambda a, x: a + x,
     )
     return step.select(
-        *carry,
+        *kept,
         F.struct(
             F.col("_n").cast("long").alias("n_words"),
             F.col("_chars").alias("word_chars"),
@@ -148,19 +149,20 @@ def host_verdicts(judged: DataFrame, host_limit: float = HOST_LIMIT) -> DataFram
 
 
 def judge(docs: DataFrame, carry: list[str], host_limit: float = HOST_LIMIT) -> DataFrame:
-    """carry, q, base_failed, host_rejected and kept for every row of docs."""
-    cols = carry if "source" in carry else [*carry, "source"]
-    judged = materialize(quality_counts(docs, cols), "quality")
-    bad = host_verdicts(judged, host_limit).where("rejected").select(
-        F.col("source").alias("_host"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-    )
+    """(row, q, base_failed, host_rejected, kept) for every row of docs(text, source, ..)."""
+    with scope():
+        judged = hand_over(materialize(quality_counts(docs, carry), "quality"))
+        hosts = host_verdicts(judged, host_limit).where("rejected").select(
+            F.col("source").alias("_host"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+        )
+        bad = hand_over(materialize(hosts, "rejected"))
     row_salt = F.pmod(F.xxhash64("q.word_chars", "q.n_words", "q.n_symbols"), F.lit(SALTS)).cast("int")
     out = judged.withColumn("_s", row_salt).join(
         bad, (F.col("source") == F.col("_host")) & (F.col("_s") == F.col("_salt")), "left"
     )
     rejected = F.col("_host").isNotNull()
     return out.select(
-        *carry,
+        "row",
         "q",
         base_failed().alias("base_failed"),
         rejected.alias("host_rejected"),
@@ -170,4 +172,4 @@ def judge(docs: DataFrame, carry: list[str], host_limit: float = HOST_LIMIT) ->
 
 def filter_quality(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     """The rows of docs that are kept, with the columns of docs."""
-    return judge(docs, docs.columns, host_limit).where("kept").select(*docs.columns)
+    return judge(docs, docs.columns, host_limit).where("kept").select("row.*")

@@ -83,8 +83,8 @@ def test_passages_go_once(spark, docs):
     assert left[4]["n_chars"] == len(left[4]["text"]) < len(corpus()[4]) and left[6]["text"] is None and left[0].asDict() == docs.where("doc_id = 0").first().asDict()
 
 
-def near_removed(texts):
-    """Words that go, by brute force: all pairs of windows with the same gram at the same offset."""
+def near_removed(texts, flags=False):
+    """Words that go (their number, or a flag for each), by brute force: all pairs of windows with the same gram at the same offset."""
     spec = regions.Spec("word", passage_dedup.LENGTH, passage_dedup.SHINGLE, passage_dedup.SHINGLE, passage_dedup.BANDS)
     meet, sets = {}, {}
     for d, t in enumerate(texts):
@@ -114,7 +114,7 @@ def near_removed(texts):
     for d, s in root:
         if top((d, s)) != (d, s):
             gone[d][s : s + 50] = True
-    return [int(x.sum()) for x in gone]
+    return gone if flags else [int(x.sum()) for x in gone]
 
 
 def near_texts(seed):
@@ -175,9 +175,11 @@ def test_decontamination(spark, docs):
 
 def test_null_doc_ids(spark):
     text = corpus()[13]
-    bench = spark.createDataFrame([("i1", " ".join(text.split()[20:35]))], "item_id string, text string")
+    item = " ".join(text.split()[20:35])
+    bench = spark.createDataFrame([("i1", item), (None, item)], "item_id string, text string")
     rows = spark.createDataFrame([(None, text), (1, text)], "doc_id long, text string").coalesce(1)
-    assert [r["contaminated"] for r in decontaminate.report(rows, bench).collect()] == [True, True]
+    assert [(r["n_hit"], r["n_items"], r["contaminated"]) for r in decontaminate.report(rows, bench).collect()] == [(15, 2, True)] * 2
+    assert decontaminate.drop_contaminated(rows, bench).count() == 0
 
 
 @pytest.mark.parametrize("parts", [1, 3])
@@ -240,12 +242,33 @@ def test_url_rules(spark):
 
 
 def test_quality_on_edge_cases(spark, docs):
-    out = {r["doc_id"]: r for r in quality.judge(docs, ["doc_id", "source"]).collect()}
+    out = {r["row"]["doc_id"]: r for r in quality.judge(docs, ["doc_id", "source"]).collect()}
     assert len(out) == len(corpus())
     assert out[6]["q"]["n_words"] == 0 and out[6]["base_failed"] and not out[6]["kept"]
     assert out[0]["q"]["n_words"] == 200 and not out[0]["base_failed"]
 
 
+def test_a_host_with_many_failures_is_rejected(spark):
+    rng = random.Random(2)
+    good = lambda: " ".join(rng.choice(WORDS) for _ in range(80))
+    symbols = lambda: good() + " #$%&*|<>" * 60
+    texts = [("bad", symbols()) for _ in range(30)] + [("bad", good()) for _ in range(3)] + [(f"h{k % 9}", good()) for k in range(200)] + [("h1", symbols()), (None, symbols())]
+    rows = spark.createDataFrame([(k, t, s) for k, (s, t) in enumerate(texts)], "doc_id long, text string, source string")
+    out = {r["row"]["doc_id"]: r for r in quality.judge(rows, ["doc_id"]).collect()}
+    assert [out[k]["kept"] for k in range(30)] == [False] * 30 and all(out[k]["host_rejected"] for k in range(33))
+    # clean documents of the host stay, and so do milder failures elsewhere
+    assert all(out[k]["kept"] for k in range(30, len(texts))) and not any(r["base_failed"] for r in out.values())
+
+
+def test_clashing_column_names(spark, docs):
+    odd = docs.withColumns({c: docs["n"] for c in ("q", "_w", "_n", "_t", "row", "_row", "_key", "_words", "key", "doc", "spans", "whole", "gone", "toks", "kept")})
+    bench = spark.createDataFrame([("i1", "one two")], "item_id string, text string")
+    for work in (quality.filter_quality, passage_dedup.drop_repeats, jaccard_join.keep_one, lambda d: decontaminate.drop_contaminated(d, bench)):
+        out = work(odd)
+        assert out.columns == odd.columns
+        assert {tuple(r[c] for c in odd.columns[8:]) for r in out.collect()} == {(1,) * 15}
+
+
 def test_language_accuracy_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     path = public_tokenizers.path("piece_bpe_32k.model")
@@ -254,6 +277,33 @@ def test_language_accuracy_on_held_out_documents(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) >= 0.9
 
 
+def test_forward_pass_sums_all_cuts():
+    pieces = language_id.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = {model.id_to_piece(k): k for k in range(len(model)) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k))}
+    rng = np.random.default_rng(3)
+    logp = np.log(rng.dirichlet(np.ones(pieces.size), 2)).T
+
+    def cuts(text):
+        if not text:
+            return [[]]
+        return [[text[:k], *rest] for k in range(1, len(text) + 1) if text[:k] in texts or k == 1 for rest in cuts(text[k:])]
+
+    words = ["the", "thing", "straße", "ab", "☃"]
+    for pick, n, spans in pieces.lattices(words):
+        out = language_id._forward(n, spans, logp)[n]
+        for row, k in enumerate(pick):
+            each = [sum((logp[texts[p]] if p in texts else np.full(2, language_id.UNKNOWN)) for p in cut) for cut in cuts(language_id.MARK + words[k])]
+            assert np.allclose(out[row], np.logaddexp.reduce(each))
+
+
+def test_letters_and_long_runs():
+    assert language_id.words_of("½ ² ① 12 _") == [] and language_id.words_of("Straße é1b") == ["straße", "é", "b"]
+    assert [len(w) for w in language_id.words_of("x" * 600)] == [256, 256, 88]
+
+
 def test_license_classifier(spark):
     docs = frame(spark, [*corpus(), "plain line\nLicensed under the Apache License, Version 2.0.", "Released under the MIT License.", "the permission to speak was given late"])
     scanner, held = license_scan.train(docs)
@@ -275,9 +325,40 @@ def test_short_license_forms_are_confirmed(spark):
 
 def test_empty_tables(spark):
     none = frame(spark, [])
+    items = spark.createDataFrame([], "item_id string, text string")
     assert suffix_dedup.deduplicate(none).count() == 0
     assert jaccard_join.components(none).count() == 0
     assert passage_dedup.drop_repeats(none).count() == 0
     assert bpe.encode(none, *vocabulary()).count() == 0
     assert quality.filter_quality(none).count() == 0
+    assert decontaminate.report(none, items).count() == 0 and decontaminate.drop_contaminated(frame(spark, corpus()), items).count() == len(corpus())
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), [("allow", "com/")]).count() == 0
     assert token_file.read(*token_file.write(none, public_tokenizers.path("byte_bpe_50k.json"))).count() == 0
+
+
+def test_two_large_groups_with_a_shared_passage(spark):
+    rng = random.Random(8)
+    say = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    passage, texts = say(40), []
+    for _ in range(2):
+        base = passage + say(50)
+        for _ in range(110):
+            own = list(base)
+            for _ in range(rng.randrange(5)):
+                own[rng.randrange(len(own))] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    comp = list(range(len(sets)))
+
+    def top(k):
+        while comp[k] != k:
+            k = comp[k]
+        return k
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                comp[y] = x
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.components(rows).collect()} == {k: top(k) for k in range(len(texts))}
