@@ -304,23 +304,44 @@ def test_letters_and_long_runs():
     assert [len(w) for w in language_id.words_of("x" * 600)] == [256, 256, 88]
 
 
-def test_license_classifier(spark):
-    docs = frame(spark, [*corpus(), "plain line\nLicensed under the Apache License, Version 2.0.", "Released under the MIT License.", "the permission to speak was given late"])
-    scanner, held = license_scan.train(docs)
-    truth = held.withColumnRenamed("family", "truth").where("truth <> 'unknown'")
-    rows = scanner.classify(truth).collect()
-    assert np.mean([r["truth"] == r["family"] for r in rows]) >= 0.8
-    out = {r["doc_id"]: r["licenses"] for r in license_scan.scan(docs, scanner).collect()}
+@pytest.fixture(scope="module")
+def scanner(spark):
+    return license_scan.train(frame(spark, [*corpus(), "plain line\nLicensed under the Apache License, Version 2.0.", "the permission to speak was given late"]))
+
+
+def test_license_classifier(spark, scanner):
+    scanner, held = scanner
+    rows = scanner.classify(held.withColumnRenamed("family", "truth")).collect()
+    notices = [r for r in rows if r["truth"] != "unknown"]
+    assert np.mean([r["truth"] == r["family"] for r in notices]) >= 0.9
+    # of what gets a family, nearly all is right
+    named = [r for r in rows if r["family"] != "unknown"]
+    assert np.mean([r["truth"] == r["family"] for r in named]) >= 0.97
+    assert scanner.gate_recall >= 0.97 and 0.5 <= scanner.limit < 0.99
+
+
+LICENCES = {
+    "All rights reserved.": "proprietary", "The MIT License": "MIT", "GNU General Public License": "GPL", "GNU GPL v3": "GPL", "CC BY-SA 4.0": "CC-BY-SA",
+    "// SPDX-License-Identifier: MIT": "MIT", "# SPDX-License-Identifier: BSD-3-Clause": "BSD", "Licensed under the ISC License.": "ISC",
+    "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND,\nEXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY": "MIT",
+    "This program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.": "GPL",
+    " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:": "BSD",
+    # families that nothing was learned of, and plain sentences
+    "Licensed under the Academic Free License version 3.0.": "", "This file is released under the Microsoft Public License.": "", "Distributed under the terms of the CeCILL license.": "",
+    "the rights of all were reserved for later": "", "The permission to speak was given late.": "", "A free copy of the program was sent to the public library.": "",
+}
+
+
+def test_license_lines(spark, scanner):
+    docs = frame(spark, [*corpus(), *(f"some words before\n\n{x}\n\nand after" for x in LICENCES)])
+    found = license_scan.scan(docs.union(docs.where("doc_id >= 14")), scanner[0]).collect()
+    out = {r["doc_id"]: r for r in found}
     n = len(corpus())
-    assert out[n] == "Apache-2.0" and out[n + 1] == "MIT" and out[n + 2] == "" and out[6] == ""
-
-
-def test_short_license_forms_are_confirmed(spark):
-    lines = {"All rights reserved.": "proprietary", "The MIT License": "MIT", "GNU General Public License": "GPL", "the rights of all were reserved for later": ""}
-    docs = frame(spark, [*corpus(), *lines])
-    scanner, _ = license_scan.train(docs)
-    out = {r["doc_id"]: r["licenses"] for r in license_scan.scan(docs, scanner).collect()}
-    assert [out[len(corpus()) + k] for k in range(len(lines))] == list(lines.values())
+    assert {x: out[n + k]["licenses"] for k, x in enumerate(LICENCES)} == LICENCES
+    assert len(found) == 2 * len(LICENCES) + n and all(r["n_confirmed"] <= 1 for r in found)
+    assert out[6]["n_paragraphs"] == 0 and out[n]["n_paragraphs"] == 3 and out[n + 9]["n_paragraphs"] == 3
+    assert license_scan.scan(frame(spark, []), scanner[0]).count() == 0
 
 
 def test_empty_tables(spark):
