@@ -1,6 +1,8 @@
 """Per-item scoring rules as column expressions (R-01 to R-18); no shuffle, no UDF.
 
-Scores of the transformed versions come as one array column with nulls left out.
+Scores of the transformed versions come as a list of columns, of which some may be null,
+or as one array column with nulls left out. Lists give plain arithmetic, which stays in
+generated code; arrays need higher-order functions, which are interpreted.
 """
 
 from __future__ import annotations
@@ -53,58 +55,90 @@ def softmax(logits: Column, place: int) -> Column:
     return F.exp(F.element_at(logits, place) - top) / total
 
 
-def array_sum(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+Scores = Column | Sequence[Column]
 
 
-def array_mean(a: Column) -> Column:
+def joined(clean: Column, versions: Scores) -> Scores:
+    """The clean score before the others, in their form."""
+    return F.concat(F.array(clean), versions) if isinstance(versions, Column) else [clean, *versions]
+
+
+def size(a: Scores) -> Column:
+    if isinstance(a, Column):
+        return F.size(a)
+    return sum((x.isNotNull().cast("int") for x in a), F.lit(0))
+
+
+def array_sum(a: Scores) -> Column:
+    if isinstance(a, Column):
+        return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    return sum((F.coalesce(x, F.lit(0.0)) for x in a), F.lit(0.0))
+
+
+def array_mean(a: Scores) -> Column:
     """Null for an empty array."""
-    return F.try_divide(array_sum(a), F.size(a).cast("double"))
+    return F.try_divide(array_sum(a), size(a).cast("double"))
 
 
-def array_std(a: Column) -> Column:
+def array_std(a: Scores) -> Column:
     """Population standard deviation in two passes."""
-    squares = lambda mean: F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean))
-    return F.sqrt(F.try_divide(let(array_mean(a), squares), F.size(a).cast("double")))
+    if isinstance(a, Column):
+        squares = let(array_mean(a), lambda mean: F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)))
+    else:
+        mean = array_mean(a)
+        squares = array_sum([(x - mean) * (x - mean) for x in a])
+    return F.sqrt(F.try_divide(squares, size(a).cast("double")))
+
+
+def spread(a: Scores) -> Column:
+    """Highest less lowest."""
+    if isinstance(a, Column):
+        return F.array_max(a) - F.array_min(a)
+    return F.greatest(*a) - F.least(*a) if len(a) > 1 else a[0] - a[0]
+
+
+def share_above(a: Scores, threshold: float) -> tuple[Column, Column]:
+    """(how many reach the threshold, how many there are)."""
+    if isinstance(a, Column):
+        return F.size(F.filter(a, lambda x: x >= threshold)), F.size(a)
+    return sum((F.when(x >= threshold, 1).otherwise(0) for x in a), F.lit(0)), size(a)
 
 
 def weighted(values: Sequence[Column], weights: Sequence[float]) -> Column:
     """R-04: missing terms drop out and the other weights are scaled up to 1."""
-    def fused(v: Column) -> Column:
-        total, mass = F.lit(0.0), F.lit(0.0)
-        for k, w in enumerate(weights):
-            total = total + F.coalesce(F.get(v, k) * w, F.lit(0.0))
-            mass = mass + F.when(F.get(v, k).isNotNull(), F.lit(float(w))).otherwise(F.lit(0.0))
-        return F.try_divide(total, mass)
-
     if len(values) != len(weights):
         raise ValueError("one weight per value")
-    return let(F.array(*values), fused)
+    total, mass = F.lit(0.0), F.lit(0.0)
+    for v, w in zip(values, weights, strict=True):
+        total = total + F.coalesce(v * w, F.lit(0.0))
+        mass = mass + F.when(v.isNotNull(), F.lit(float(w))).otherwise(F.lit(0.0))
+    return F.try_divide(total, mass)
 
 
 def unit(x: Column | None) -> Column:
     """A value in [0, 1]; null stays null."""
-    return F.lit(None).cast("double") if x is None else let(x, lambda v: F.when(v.isNotNull(), clip(v)))
+    return F.lit(None).cast("double") if x is None else F.when(x.isNotNull(), clip(x))
 
 
-def rgb_transform(clean: Column, versions: Column, weights: Sequence[float] = RGB) -> Column:
+def rgb_transform(clean: Column, versions: Scores, weights: Sequence[float] = RGB) -> Column:
     """R-03: clean and the mean of the transformed versions; clean alone without any."""
     return weighted([clip(clean), unit(array_mean(versions))], weights)
 
 
-def whole_patch_transform(clean: Column, patch: Column, versions: Column, weights: Sequence[float] = WHOLE_PATCH) -> Column:
+def whole_patch_transform(clean: Column, patch: Column, versions: Scores, weights: Sequence[float] = WHOLE_PATCH) -> Column:
     """R-04."""
     return weighted([clip(clean), unit(patch), unit(array_mean(versions))], weights)
 
 
-def frequency_fusion(clean: Column, versions: Column, frequency: Column, consistency: Column, weights: Sequence[float] = FREQUENCY) -> Column:
+def frequency_fusion(clean: Column, versions: Scores, frequency: Column, consistency: Column, weights: Sequence[float] = FREQUENCY) -> Column:
     """R-05: R-03's result, frequency and inconsistency; R-03 alone where a term is missing."""
     missing = frequency.isNull() | consistency.isNull()
     more = lambda base: (base * weights[0] + clip(frequency) * weights[1] + (1.0 - clip(consistency)) * weights[2]) / sum(weights)
-    return let(rgb_transform(clean, versions), lambda base: F.when(missing, base).otherwise(clip(more(base))))
+    base = rgb_transform(clean, versions)
+    return F.when(missing, base).otherwise(clip(more(base)))
 
 
-def variants(clean: Column, versions: Column, patch: Column) -> dict[str, Column]:
+def variants(clean: Column, versions: Scores, patch: Column) -> dict[str, Column]:
     """R-06: four systems from one set of cached scores; null where a term is missing."""
     mean = array_mean(versions)
     return {
@@ -115,10 +149,10 @@ def variants(clean: Column, versions: Column, patch: Column) -> dict[str, Column
     }
 
 
-def consistency(scores: Column, w_std: float = 0.5, w_range: float = 0.5) -> Column:
+def consistency(scores: Scores, w_std: float = 0.5, w_range: float = 0.5) -> Column:
     """R-07: 1 for a single value."""
-    spread = array_std(scores) / STD_REFERENCE * w_std + (F.array_max(scores) - F.array_min(scores)) / RANGE_REFERENCE * w_range
-    return F.when(F.size(scores) <= 1, F.lit(1.0)).otherwise(clip(1.0 - spread / (w_std + w_range)))
+    found = array_std(scores) / STD_REFERENCE * w_std + spread(scores) / RANGE_REFERENCE * w_range
+    return F.when(size(scores) <= 1, F.lit(1.0)).otherwise(clip(1.0 - found / (w_std + w_range)))
 
 
 def severity(score: Column) -> Column:
@@ -126,11 +160,12 @@ def severity(score: Column) -> Column:
     return F.when(score >= LOW_SEVERITY, "low").when(score >= MEDIUM_SEVERITY, "medium").otherwise("high")
 
 
-def agreement(scores: Column, reference: Column, threshold: float) -> Column:
+def agreement(scores: Scores, reference: Column, threshold: float) -> Column:
     """A-22: share of scores on the reference's side; the caller says which reference it is."""
     side = reference >= threshold
-    same = F.aggregate(scores, F.lit(0.0), lambda s, x: s + F.when((x >= threshold) == side, 1.0).otherwise(0.0))
-    return F.try_divide(same, F.size(scores).cast("double"))
+    one = lambda x: F.when((x >= threshold) == side, 1.0).otherwise(0.0)
+    same = F.aggregate(scores, F.lit(0.0), lambda s, x: s + one(x)) if isinstance(scores, Column) else sum(map(one, scores), F.lit(0.0))
+    return F.try_divide(same, size(scores).cast("double"))
 
 
 def three_way(score: Column, authentic_max: float = 0.40, ai_min: float = 0.60) -> Column:
@@ -198,11 +233,9 @@ class AbstentionRules:
         if unknown:
             raise ValueError(f"unknown rules: {sorted(unknown)}")
 
-    def flags(self, threshold: float, fused: Column, clean: Column, versions: Column, consistency_: Column, agreement_: Column,
+    def flags(self, threshold: float, fused: Column, clean: Column, versions: Scores, consistency_: Column, agreement_: Column,
               coverage: Column | None = None, errors: Column | None = None) -> dict[str, Column]:
-        every = F.concat(F.array(clean), versions)
-        above = F.size(F.filter(every, lambda x: x >= threshold))
-        n = F.size(every)
+        above, n = share_above(joined(clean, versions), threshold)
         minority = F.try_divide(F.least(above, n - above).cast("double"), n.cast("double"))
         flags = {
             "borderline": F.abs(fused - threshold) < self.margin,
@@ -223,7 +256,7 @@ class AbstentionRules:
         return (F.size(fired) > 0) & F.lit(self.enabled), fired
 
 
-def degradation_flip(clean: Column, versions: Column, threshold: float, max_drift: float) -> Column:
+def degradation_flip(clean: Column, versions: Scores, threshold: float, max_drift: float) -> Column:
     """R-14."""
     mean = array_mean(versions)
     return (clean >= threshold) & (mean < threshold) & (clean - mean > max_drift)

@@ -23,11 +23,11 @@ GRIDS = (
 GAIN, FPR_RISE = 0.01, 0.05
 
 
-def features(items: DataFrame, threshold: float, fused: Column, clean: Column, versions: Column, label: str = "binary_label") -> DataFrame:
+def features(items: DataFrame, threshold: float, fused: Column, clean: Column, versions: rules.Scores, label: str = "binary_label") -> DataFrame:
     """I-10: what every candidate limit is compared with, once per item."""
-    every = F.concat(F.array(clean), versions)
-    above = F.size(F.filter(every, lambda x: x >= threshold))
-    minority = F.least(above, F.size(every) - above) / F.size(every).cast("double")
+    every = rules.joined(clean, versions)
+    above, n = rules.share_above(every, threshold)
+    minority = F.least(above, n - above) / n.cast("double")
     return items.select(
         "*", fused.alias("fused"), F.abs(fused - threshold).alias("distance"),
         (clean - rules.array_mean(versions)).alias("drop"), (clean >= threshold).alias("looked_positive"),
@@ -56,25 +56,51 @@ def evaluate(rows: DataFrame, abstains: Column, keys: Sequence[str] = ()) -> Dat
         F.count(F.lit(1)).alias("count"), F.count_if("_a").alias("abstained"), F.coalesce(F.sum("_w"), F.lit(0)).alias("errors"),
         F.coalesce(F.sum(F.when(F.col("_a"), F.col("_w"))), F.lit(0)).alias("errors_abstained"),
     )
+    return with_rates(out)
+
+
+def with_rates(counts: DataFrame) -> DataFrame:
+    """counts(count, abstained, errors, errors_abstained) with the rates of A-24."""
     answered = F.col("count") - F.col("abstained")
     base, away = metrics.ratio(F.col("errors"), F.col("count")), metrics.ratio(F.col("errors_abstained"), F.col("abstained"))
     left = metrics.ratio(F.col("errors") - F.col("errors_abstained"), answered)
-    return out.withColumns({
+    return counts.withColumns({
         "rate": metrics.ratio(F.col("abstained"), F.col("count")), "error_rate": base, "error_abstained": away, "error_answered": left,
         "accuracy_answered": F.when(answered > 0, 1.0 - left).otherwise(0.0), "enrichment": metrics.ratio(away, base),
     })
 
 
+#: rules that fire more often as their limit gets lower
+FALLING = ("drift", "crossing")
+
+
 def sweep(rows: DataFrame, grids: Sequence = GRIDS, accepted: Column | None = None) -> DataFrame:
-    """Every limit of every rule in one scan: rows are summed per (rule, limit) by conditional aggregates."""
-    kinds = [(rule, k, limit) for rule, grid in grids for k, limit in enumerate(grid)]
+    """Every limit of every rule in one scan: rule, step, limit, counts and rates.
+
+    A rule that fires at a limit fires at all laxer ones. So each row finds the first
+    limit that it reaches, rows are counted by those (one row per limit and task), and
+    running sums over a rule's limits do the rest."""
+    ordered = {rule: sorted(enumerate(grid), key=lambda kv: -kv[1] if rule in FALLING else kv[1]) for rule, grid in grids}
     before = F.lit(False) if accepted is None else accepted
-    tests = F.array(*[
-        F.struct(F.lit(r).alias("rule"), F.lit(k).alias("step"), F.lit(float(v)).alias("limit"), (before | fires(r, v)).alias("hit")) for r, k, v in kinds
-    ])
-    # partial aggregation keeps one row per limit and task
-    long = rows.select("correct", F.explode(tests).alias("t")).select("correct", "t.*")
-    return evaluate(long, F.col("hit"), ["rule", "step", "limit"])
+    first = {}
+    for rule, limits in ordered.items():
+        reached = F.when(before, 0)
+        for place, (_, limit) in enumerate(limits):
+            reached = reached.when(fires(rule, float(limit)), place)
+        first[rule] = reached.otherwise(len(limits))
+    wide = rows.select("correct", *[x.alias(r) for r, x in first.items()])
+    bins = wide.unpivot(["correct"], [*first], "rule", "place").groupBy("rule", "place").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("correct")).alias("w")
+    )
+    steps = [(r, k, float(v), place) for r, limits in ordered.items() for place, (k, v) in enumerate(limits)]
+    table = rows.sparkSession.createDataFrame(steps, "rule string, step int, limit double, upto int")
+    both = bins.join(F.broadcast(table), "rule")
+    within = F.col("place") <= F.col("upto")
+    counts = both.groupBy("rule", "step", "limit").agg(
+        F.sum("n").alias("count"), F.sum(F.when(within, F.col("n")).otherwise(0)).alias("abstained"),
+        F.sum("w").alias("errors"), F.sum(F.when(within, F.col("w")).otherwise(0)).alias("errors_abstained"),
+    )
+    return with_rates(counts)
 
 
 def select(rows: DataFrame, grids: Sequence = GRIDS) -> list[tuple[str, float]]:

@@ -90,6 +90,36 @@ def near_pairs(left: DataFrame, right: DataFrame, distance: int, bits: int = 64)
     return pairs.where((apart <= distance) & (F.col("h1") != F.col("h2")) & first).select("h1", "h2", apart.cast("int").alias("distance"))
 
 
+def near_members(records: DataFrame) -> DataFrame:
+    """C-06: records(id, content, h, ..) → id, content_id, class_id: the smallest id with that content, and with that fingerprint."""
+    contents = records.groupBy("h", "content").agg(F.min("id").alias("content_id"))
+    classes = records.groupBy("h").agg(F.min("id").alias("class_id"))
+    return records.select("id", "h", "content").join(contents, ["h", "content"]).join(classes, "h").select("id", "content_id", "class_id")
+
+
+def near_report(records: DataFrame, distance: int, train: str = "train") -> DataFrame:
+    """C-06: pairs of class representatives within a Hamming distance: id1, id2, distance,
+    cross_split (training rows on one side and others on the other), labels_differ.
+
+    records: (id, content, h, split, label). Classes are fingerprints; distance 0 ties every
+    other content of a class to its first one. ``near_members`` has who belongs to what."""
+    about = [F.bool_or(F.col("split") == train).alias("t"), F.bool_or(F.col("split") != train).alias("o"), F.min("label").alias("lo"), F.max("label").alias("hi")]
+    contents = records.groupBy("h", "content").agg(F.min("id").alias("id"), *about)
+    classes = contents.groupBy("h").agg(
+        F.min("id").alias("id"), F.bool_or("t").alias("t"), F.bool_or("o").alias("o"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        F.min_by(F.struct("t", "o", "lo", "hi"), "id").alias("first"),
+    )
+    side = lambda k: classes.select(F.col("h").alias(f"h{k}"), F.struct("id", "t", "o", "lo", "hi").alias(f"c{k}"))
+    pairs = near_pairs(classes, classes, distance).where("h1 < h2").join(side(1), "h1").join(side(2), "h2")
+    head = classes.select("h", F.struct("id", "first.t", "first.o", "first.lo", "first.hi").alias("c1"))
+    zero = contents.join(head, "h").where(F.col("id") != F.col("c1.id")).select("c1", F.struct("id", "t", "o", "lo", "hi").alias("c2"), F.lit(0).alias("distance"))
+    both = pairs.select("c1", "c2", "distance").union(zero)
+    cross = (F.col("c1.t") & F.col("c2.o")) | (F.col("c1.o") & F.col("c2.t"))
+    same = (F.col("c1.lo") == F.col("c1.hi")) & (F.col("c2.lo") == F.col("c2.hi")) & (F.col("c1.lo") == F.col("c2.lo"))
+    ids = F.least("c1.id", "c2.id").alias("id1"), F.greatest("c1.id", "c2.id").alias("id2")
+    return both.select(*ids, "distance", cross.alias("cross_split"), (~same).alias("labels_differ"))
+
+
 def bucketed(x: Column, edges: Sequence[float]) -> Column:
     """C-11: `<=edge` labels, upper bounds inclusive."""
     out = F.when(x.isNull(), F.lit(None).cast("string"))

@@ -201,7 +201,7 @@ def chain_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(robustness.score_drift(adapters.version_scores(spark, sf_dir)), "drift", "drift_positive", "drift_negative", "confidence_drift")
 
 
-DRIFT_SQL = f"""{V}, mv AS (SELECT v.*, c.clean AS base FROM vs v JOIN items c USING (item_id) WHERE condition <> 'clean'),
+DRIFT_SQL = f"""{V}, mv AS (SELECT *, own AS base FROM vs WHERE condition <> 'clean'),
   drf AS (SELECT condition, ordinal, avg(score - base) AS drift, avg(score - base) FILTER (binary_label = 1) AS drift_positive,
     avg(score - base) FILTER (binary_label = 0) AS drift_negative, avg(abs(score - 0.5::DOUBLE) - abs(base - 0.5::DOUBLE)) AS confidence_drift FROM mv GROUP BY 1, 2)"""
 _add(chain_drift, f"WITH {DRIFT_SQL} SELECT condition, ordinal, {rnd('drift', 'drift_positive', 'drift_negative', 'confidence_drift')} FROM drf")
@@ -317,8 +317,8 @@ _add(temperature_fit)
 
 def _modes(spark, sf_dir) -> DataFrame:
     """Three patch modes of one score, as a carrier."""
-    items = adapters.scored_items(spark, sf_dir).withColumns({"off": F.col("clean"), "coarse": F.coalesce("patch", "clean"), "full": F.col("jpeg")})
-    rows = adapters.to_long(items, ("off", "coarse", "full"), ("item_id", "binary_label", "patch")).withColumnRenamed("condition", "mode")
+    items = adapters.scored_items(spark, sf_dir).withColumns({"off": F.col("clean"), "coarse": F.coalesce("patch", "clean"), "full": F.col("jpeg"), "own": F.col("clean")})
+    rows = adapters.to_long(items, ("off", "coarse", "full"), ("item_id", "binary_label", "patch", "own")).withColumnRenamed("condition", "mode")
     passes = F.when(F.col("mode") == "off", 0).when(F.col("mode") == "coarse", 4).otherwise(12)
     return rows.withColumns({
         "passes": passes, "seconds": passes * 0.5, "coverage": F.when(F.col("mode") != "off", passes / 16.0),

@@ -102,21 +102,46 @@ def chain_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add(chain_steps)
 
 
-def pixel_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E-01, E-03, X-02: embeddings as 8x8 grey tiles through the transforms that need no codec."""
-    tiles = adapters.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("pixels"))
-    out = pixels.transform(tiles, 8, 8, pixels.DEFAULT_SPECS, seed=1234)
+def _tiles(spark, sf_dir) -> DataFrame:
+    """Embeddings as 8x8 grey tiles: a carrier, as the tables hold no images."""
+    rows = adapters.table(spark, sf_dir, "embeddings")
+    return rows.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: 0.5 + 0.2 * v.cast("double")).alias("pixels"))
+
+
+def _summed(rows: DataFrame) -> DataFrame:
     mean = F.aggregate("pixels", F.lit(0.0), lambda s, x: s + x) / F.size("pixels")
-    return out.select("id", "condition", "ordinal", "error", F.round(mean, 6).alias("mean"))
+    return rows.select("id", "condition", "ordinal", "height", "width", "error", F.round(mean, 6).alias("mean"))
+
+
+def pixel_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E-01, E-03, X-02: the fourteen transforms of every tile; tests compare with plain loops."""
+    return _summed(pixels.transform(_tiles(spark, sf_dir), 8, 8, seed=1234))
 
 
 _add(pixel_transforms)
 
 
+def pixel_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E-04: the named and drawn chains of every tile; tests compare with plain loops."""
+    return _summed(pixels.transform_chains(_tiles(spark, sf_dir), 8, 8, seed=1234))
+
+
+_add(pixel_chains)
+
+
+def pixel_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C-02: classes of tiles with equal pixels."""
+    rows = _tiles(spark, sf_dir).select("id", pixels.pixel_hash(F.col("pixels"), 8, 8).alias("hash"))
+    return rows.groupBy("hash").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first_id"))
+
+
+_add(pixel_hashes, """WITH t AS (SELECT vec_id AS id, array_to_string(list_transform(embedding, lambda v: floor(least(greatest(0.5::DOUBLE + 0.2::DOUBLE * v::DOUBLE, 0), 1) * 255.0::DOUBLE + 0.5::DOUBLE)::INT), ',') AS p FROM embeddings)
+  SELECT sha256('8x8:' || p) AS hash, count(*) AS copies, min(id) AS first_id FROM t GROUP BY 1""")
+
+
 def frequency_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E-10."""
-    tiles = adapters.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("pixels"))
-    return pixels.frequency(tiles, 8, 8)
+    """E-10; tests compare with plain loops."""
+    return pixels.frequency(_tiles(spark, sf_dir), 8, 8)
 
 
 _add(frequency_features)

@@ -175,15 +175,38 @@ _add(mixture_plan, """WITH s AS (SELECT lang, count(*) AS available FROM documen
   SELECT *, taken::DOUBLE / (taken + base) AS fraction FROM t""")
 
 
-def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C-03, C-06, J-05: sign bits of embeddings within 18 bits; 19 narrow bands suit these small data, the default is 2 bits and 3 bands."""
-    rows = adapters.table(spark, sf_dir, "embeddings").select(audit.sign_bits(F.col("embedding"), 64).alias("h"))
-    return audit.near_pairs(rows, rows, 18).where("h1 < h2")
+def _vectors(spark, sf_dir) -> DataFrame:
+    """Embeddings as records: 64 sign bits as fingerprint, the vector as content, a split by id.
+
+    Four vectors of five keep their first 12 signs only, as near copies and equal fingerprints are rare here."""
+    rows = adapters.table(spark, sf_dir, "embeddings")
+    split = F.when(F.col("vec_id") % 5 == 0, "test").when(F.col("vec_id") % 5 == 1, "validation").otherwise("train")
+    few = F.transform("embedding", lambda v, k: F.when(k < 12, v).otherwise(F.lit(1.0)))
+    seen = F.when(F.col("vec_id") % 5 < 4, few).otherwise(F.col("embedding"))
+    return rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("content"), audit.sign_bits(seen, 64).alias("h"), split.alias("split"), "label")
 
 
-_add(near_duplicates, """WITH e AS (SELECT vec_id, string_agg(CASE WHEN v > 0 THEN '1' ELSE '0' END, '' ORDER BY i) AS b FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1),
-  x AS (SELECT DISTINCT CASE WHEN substr(b, 1, 1) = '1' THEN (('0b' || substr(b, 2))::BIGINT - 9223372036854775807 - 1)::BIGINT ELSE ('0b' || substr(b, 2))::BIGINT END AS h FROM e)
-  SELECT a.h AS h1, b.h AS h2, bit_count(xor(a.h, b.h))::INT AS distance FROM x a JOIN x b ON a.h < b.h WHERE bit_count(xor(a.h, b.h)) <= 18""")
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C-03, C-06, J-05: fingerprints within two bits, by three bands."""
+    return audit.near_report(_vectors(spark, sf_dir), 2)
+
+
+def near_duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C-06: the content and the class of every vector."""
+    return audit.near_members(_vectors(spark, sf_dir))
+
+
+VECTORS_SQL = """e AS (SELECT vec_id AS id, embedding AS content, label, CASE vec_id % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split,
+    string_agg(CASE WHEN (vec_id % 5 < 4 AND i > 12) OR v > 0 THEN '1' ELSE '0' END, '' ORDER BY i) AS h
+    FROM (SELECT vec_id, embedding, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2, 3),
+  k AS (SELECT h, content, min(id) AS id, bool_or(split = 'train') AS t, bool_or(split <> 'train') AS o, min(label) AS lo, max(label) AS hi FROM e GROUP BY 1, 2),
+  c AS (SELECT h, min(id) AS id, bool_or(t) AS t, bool_or(o) AS o, min(lo) AS lo, max(hi) AS hi FROM k GROUP BY 1)"""
+_add(near_duplicates, f"""WITH {VECTORS_SQL}, p AS (
+    SELECT a.id AS i, b.id AS j, hamming(a.h, b.h) AS distance, (a.t AND b.o) OR (a.o AND b.t) AS cross_split, NOT (a.lo = a.hi AND b.lo = b.hi AND a.lo = b.lo) AS labels_differ
+    FROM c a JOIN c b ON a.h < b.h WHERE hamming(a.h, b.h) <= 2
+    UNION ALL SELECT f.id, k.id, 0, (f.t AND k.o) OR (f.o AND k.t), NOT (f.lo = f.hi AND k.lo = k.hi AND f.lo = k.lo) FROM k JOIN c USING (h) JOIN k f ON f.id = c.id WHERE k.id <> c.id)
+  SELECT least(i, j) AS id1, greatest(i, j) AS id2, distance::INT AS distance, cross_split, labels_differ FROM p""")
+_add(near_duplicate_members, f"WITH {VECTORS_SQL} SELECT e.id, k.id AS content_id, c.id AS class_id FROM e JOIN k ON e.h = k.h AND e.content = k.content JOIN c ON e.h = c.h")
 
 
 def _pages(spark, sf_dir) -> DataFrame:

@@ -30,7 +30,7 @@ def _items(spark, sf_dir) -> DataFrame:
     clean, versions = F.col("clean"), adapters.transformed()
     items = items.withColumns({
         "fused": F.round(rules.rgb_transform(clean, versions), 6),
-        "consistency": F.round(rules.consistency(F.concat(F.array(clean), versions)), 6),
+        "consistency": F.round(rules.consistency(rules.joined(clean, versions)), 6),
         "agreement": rules.agreement(versions, clean, T),
     })
     items = items.withColumn("label", rules.three_way(F.col("fused")))
@@ -63,11 +63,11 @@ _add(frequency_fusion, f"""WITH {F_SQL} SELECT item_id, round(CASE WHEN patch IS
 
 def consistency_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R-07 to R-09, A-22 (a)."""
-    every = F.concat(F.array("clean"), adapters.transformed())
+    every = rules.joined(F.col("clean"), adapters.transformed())
     items = _items(spark, sf_dir)
     return items.select(
         "item_id", F.round(rules.array_mean(every), 6).alias("mean"), F.round(rules.array_std(every), 6).alias("std"),
-        F.round(F.array_max(every) - F.array_min(every), 6).alias("range_"), "consistency", "agreement", rules.severity(F.col("consistency")).alias("severity"),
+        F.round(rules.spread(every), 6).alias("range_"), "consistency", "agreement", rules.severity(F.col("consistency")).alias("severity"),
     )
 
 

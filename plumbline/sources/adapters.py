@@ -67,17 +67,19 @@ def to_long(items: DataFrame, conditions: tuple[str, ...] = CONDITIONS, keep: tu
 
 
 def version_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return to_long(scored_items(spark, sf_dir))
+    """As to_long, with the clean score of the item's row as ``own``."""
+    items = scored_items(spark, sf_dir).withColumn("own", F.col("clean"))
+    return to_long(items, keep=("item_id", "source_label", "binary_label", "own"))
 
 
 VERSIONS_SQL = ITEMS_SQL + ", vs AS (" + " UNION ALL ".join(
-    f"SELECT item_id, source_label, binary_label, '{c}' AS condition, {k} AS ordinal, {c} AS score FROM items" for k, c in enumerate(CONDITIONS)
+    f"SELECT item_id, source_label, binary_label, '{c}' AS condition, {k} AS ordinal, {c} AS score, clean AS own FROM items" for k, c in enumerate(CONDITIONS)
 ) + ")"
 
 
-def transformed(*names: str) -> Column:
-    """The transformed scores of a wide row, nulls left out."""
-    return F.array_compact(F.array(*[F.col(c) for c in (names or TRANSFORMED)]))
+def transformed(*names: str) -> list[Column]:
+    """The transformed scores of a wide row."""
+    return [F.col(c) for c in (names or TRANSFORMED)]
 
 
 def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

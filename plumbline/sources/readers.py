@@ -7,9 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Folder names that tell a label, file extensions, limits of an image
-NEGATIVE_FOLDERS = ("real", "authentic", "human", "nature", "0_real")
-POSITIVE_FOLDERS = ("fake", "ai", "synthetic", "generated", "ai_edited", "1_fake")
-EXTENSIONS = ("jpg", "jpeg", "png", "webp", "bmp")
+NEGATIVE_FOLDERS = ("real", "authentic", "camera", "genuine", "0", "negative")
+POSITIVE_FOLDERS = ("ai", "fake", "synthetic", "generated", "ai_generated", "full_synthetic", "tampered", "edited", "ai_edited", "1", "positive")
+EXTENSIONS = ("jpg", "jpeg", "png", "webp")
 MIN_SIDE, MAX_SIDE, MAX_PIXELS, MAX_BYTES = 32, 20_000, 50_000_000, 64 * 2**20
 
 
@@ -50,18 +50,29 @@ def capped(rows: DataFrame, per_class: int | None = None, limit: int | None = No
 
 
 def images(spark: SparkSession, folder: str, content: bool = False) -> DataFrame:
-    """S-06 to S-08: path, relative folders and size of image files; hidden ones are left out. Bytes are read only if asked."""
+    """S-06 to S-08: path, label by the folders below ``folder``, subgroup and size of image files; hidden ones are left out.
+    Bytes are read only if asked."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     rows = rows.where(F.lower(F.element_at(F.split(name, r"\."), -1)).isin(*EXTENSIONS) & ~name.startswith("."))
-    columns = ["path", F.col("length").alias("bytes"), folder_label(F.col("path")).alias("label"), F.element_at(F.split("path", "/"), -2).alias("subgroup")]
+    columns = ["path", F.col("length").alias("bytes"), folder_label(F.col("path"), folder).alias("label"), F.element_at(F.split("path", "/"), -2).alias("subgroup")]
     return rows.select(*columns, *(["content"] if content else []))
 
 
-def folder_label(path: Column) -> Column:
-    """S-10: by the nearest ancestor with a known name; null without one."""
-    folders = F.reverse(F.slice(F.split(F.lower(path), "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0))))
-    near = F.get(F.filter(folders, lambda f: f.isin(*NEGATIVE_FOLDERS, *POSITIVE_FOLDERS)), 0)
+def below(path: Column, root: str) -> Column:
+    """The folders between a root and a file, the nearest first; null if the file is elsewhere.
+
+    Paths and root may have a scheme or not."""
+    plain = lambda x: F.regexp_replace(x, "^[a-z][a-z0-9+.-]*:/*", "/")
+    top = F.rtrim(plain(F.lit(root)), F.lit("/"))
+    rest = F.substring(plain(path), F.length(top) + 2, F.length(path))
+    folders = F.split(rest, "/")
+    return F.when(F.startswith(plain(path), F.concat(top, F.lit("/"))), F.reverse(F.slice(folders, 1, F.size(folders) - 1)))
+
+
+def folder_label(path: Column, root: str = "/") -> Column:
+    """S-10: by the nearest folder below ``root`` with a known name; null without one."""
+    near = F.get(F.filter(F.transform(below(path, root), F.lower), lambda f: f.isin(*NEGATIVE_FOLDERS, *POSITIVE_FOLDERS)), 0)
     return F.when(near.isin(*NEGATIVE_FOLDERS), 0).when(near.isin(*POSITIVE_FOLDERS), 1)
 
 
@@ -82,11 +93,15 @@ def score_cache(spark: SparkSession, path: str, scores: str = "chain_scores", la
 
 
 def score_log(spark: SparkSession, path: str, schema: str, key: str = "image_path") -> DataFrame:
-    """S-12: JSON lines with a ``seq``; broken lines are skipped, the last row of each key wins."""
-    rows = spark.read.schema(f"{schema}, seq long, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
-    rows = rows.where(F.col("_bad").isNull() & F.col(key).isNotNull()).drop("_bad")
-    rest = [c for c in rows.columns if c != key]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "seq").alias("s")).select(key, "s.*")
+    """S-12: JSON lines; blank and broken ones are skipped, the last line of each key wins.
+
+    Lines are ordered by file, by the place of their part in it, and inside the part."""
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    parsed = F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    rows = lines.where(F.trim("value") != "").select(parsed.alias("r"), F.struct("file_path", "file_block_start", "line").alias("at"))
+    rows = rows.where(F.col("r._bad").isNull() & F.col("r").getField(key).isNotNull())
+    last = rows.groupBy(F.col("r").getField(key).alias("key")).agg(F.max_by("r", "at").alias("r"))
+    return last.select(*[F.col("r").getField(c).alias(c) for c in rows.schema["r"].dataType.names if c != "_bad"])
 
 
 def checked_cache(spark: SparkSession, path: str, expected: dict[str, str]) -> DataFrame:

@@ -17,20 +17,28 @@ def test_shards_and_caps(spark, tmp_path):
 
 
 def test_image_listing_and_labels(spark, tmp_path):
-    for name in ("real/a.JPG", "fake/x/b.png", "fake/.hidden.png", "other/c.txt", "other/d.png"):
-        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
-        (tmp_path / name).write_bytes(b"1")
-    found = {r["path"].split("/")[-1]: r["label"] for r in readers.images(spark, str(tmp_path)).collect()}
-    assert found == {"a.JPG": 0, "b.png": 1, "d.png": None}
+    root = tmp_path / "real" / "set"  # folders above the root tell nothing
+    for name in ("Camera/a.JPG", "fake/x/b.png", "fake/.hidden.png", "other/c.txt", "other/d.png", "positive/genuine/e.webp", "1/f.jpeg", "other/real.png", "fake/g.bmp"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"1")
+    found = {r["path"].split("/")[-1]: r["label"] for r in readers.images(spark, str(root)).collect()}
+    assert found == {"a.JPG": 0, "b.png": 1, "d.png": None, "e.webp": 0, "f.jpeg": 1, "real.png": None}
 
 
 def test_score_cache_and_log(spark, tmp_path):
     doc = {"records": [{"img_id": "i", "binary_label": 1, "chain_scores": {"clean": 0.5, "x": 0.25}}]}
     (tmp_path / "c.json").write_text(json.dumps(doc, indent=2))
     assert {(r["condition"], r["score"]) for r in readers.score_cache(spark, str(tmp_path / "c.json")).collect()} == {("clean", 0.5), ("x", 0.25)}
-    (tmp_path / "l.jsonl").write_text('{"image_path": "a", "pred": 0.1, "seq": 1}\n\n{"image_path": "a", "pred": 0.9, "seq": 2}\n{"image_pa')
-    rows = readers.score_log(spark, str(tmp_path / "l.jsonl"), "image_path string, pred double").collect()
-    assert [(r["image_path"], r["pred"]) for r in rows] == [("a", 0.9)]
+    lines = [json.dumps({"image_path": f"p{k % 300}", "pred": k / 7000}) for k in range(7000)] + ["", '{"image_path": "p5", "pred": 0.125}', '{"image_path": "p6", "pr']
+    (tmp_path / "l.jsonl").write_text("\n".join(lines))
+    expected = {f"p{k % 300}": k / 7000 for k in range(7000)} | {"p5": 0.125}
+    for size in ("128m", "20k"):  # in one part, and in several
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = readers.score_log(spark, str(tmp_path / "l.jsonl"), "image_path string, pred double").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert {r["image_path"]: r["pred"] for r in rows} == expected and rows[0].asDict().keys() == {"image_path", "pred"}
 
 
 def test_cache_provenance(spark, tmp_path):
