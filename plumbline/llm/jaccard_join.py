@@ -86,7 +86,7 @@ def _summaries(batches):
     import pyarrow as pa
 
     seen = set()
-    for batch in batches:
+    for batch in wordhash.small(batches):
         out = {"doc_id": batch.column("doc_id"), "n": [], "d1": [], "d2": [], "toks": []}
         known = batch.column("doc_id").is_valid().to_pylist()
         for row, tokens in _sets(batch):
@@ -127,7 +127,7 @@ def _longer_heads(frequent):
         import pyarrow as pa
 
         seen, known = set(), frequent.value
-        for batch in batches:
+        for batch in wordhash.small(batches):
             ids = batch.column("doc_id").to_pylist()
             docs, found = [], []
             for row, tokens in _sets(batch):
@@ -151,7 +151,7 @@ def _postings(frequent):
 
         seen, known = set(), frequent.value
         names = ["tok", "doc", "n", "pos", "hot"]
-        for batch in batches:
+        for batch in wordhash.small(batches):
             ids = batch.column("doc_id").to_pylist()
             parts = []
             for row, tokens in _sets(batch):
@@ -190,7 +190,7 @@ def _fragments(frequent):
         import pyarrow as pa
 
         known = frequent.value
-        for batch in batches:
+        for batch in wordhash.small(batches):
             ids, cuts = batch.column("doc_id").to_pylist(), batch.column("cuts").to_pylist()
             rows, toks = [], []
             for row, tokens in _sets(batch):

@@ -212,10 +212,9 @@ def _later(spec: regions.Spec, parts: bool = False):
                 flags[a, o - base] = True
                 if len(a):
                     yield rows_of(len(a), {"doc": doc[a], "key": key[a], "pos": pos[a] - o, "to_doc": doc[b], "to_key": key[b], "to_start": pos[b] - o})
-            out = [(k, a, b) for k in np.flatnonzero(flags.any(1)) for a, b in regions.runs(flags[k], base)]
-            if out:
-                where = [x[0] for x in out]
-                yield rows_of(len(out), {"doc": doc[where], "key": key[where], "pos": pos[where], "first": [x[1] for x in out], "last": [x[2] for x in out]})
+            where, first, last = regions.runs(flags, base)
+            if len(where):
+                yield rows_of(len(where), {"doc": doc[where], "key": key[where], "pos": pos[where], "first": first, "last": last})
 
     return run
 
@@ -268,14 +267,14 @@ def _beaten(found: DataFrame) -> DataFrame:
 
     Links lead to the earliest window of a gram's own component, so components of
     components are tied where a window has links to several such ones, or is one itself."""
+    links = found.where("to_doc is not null").withColumns({"w": F.xxhash64("doc", "key", "pos"), "t": F.xxhash64("to_doc", "to_key", "to_start")})
+    # few windows are of that kind: they are found by hashes, and tied by their places
+    both = links.select("w", "t", F.lit(0).alias("head")).union(links.select("t", F.lit(None).cast("long"), F.lit(1)))
+    tied = both.groupBy("w").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.max("head").alias("head"))
+    tied = materialize(tied.where("low is not null and (low <> high or head = 1)").select("w"), "tied")
     place = lambda *names: F.struct(*[F.col(n).alias(c) for n, c in zip(names, ("doc", "key", "start"), strict=True)])
-    links = found.where("to_doc is not null").select(place("doc", "key", "pos").alias("w"), place("to_doc", "to_key", "to_start").alias("to"))
-    none = F.lit(None).cast(links.schema["to"].dataType)
-    both = links.union(links.select(F.col("to").alias("w"), none))
-    tied = both.groupBy("w").agg(F.collect_set("to").alias("to"), F.count_if(F.col("to").isNull()).alias("heads"))
-    tied = tied.withColumn("all", F.when(F.col("heads") > 0, F.array_append("to", F.col("w"))).otherwise(F.col("to"))).where("size(all) > 1")
-    edges = tied.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a <> b").distinct()
-    parts = connected_components(edges).where("node <> component")
+    some = links.join(sized(tied), "w", "left_semi").select(place("doc", "key", "pos").alias("a"), place("to_doc", "to_key", "to_start").alias("b"))
+    parts = connected_components(some).where("node <> component")
     return parts.select("node.doc", "node.key", F.col("node.start").alias("a"), (F.col("node.start") + LENGTH).alias("b"))
 
 
@@ -288,7 +287,7 @@ def repeated_spans(docs: DataFrame, crowd: int = regions.CROWD) -> DataFrame:
         rows = regions.contexts(docs, regions.repeated(grams), spec)
         sweep(docs.sparkSession)
         unique = regions.unique_contexts(rows)
-        few, crowded = regions.split_crowds(regions.open_contexts(docs, unique, spec, near=True), crowd)
+        few, crowded = regions.open_contexts(docs, unique, spec, crowd, near=True)
         found = few.mapInArrow(_later(spec), _FOUND)
         if not crowded.isEmpty():
             found = found.union(_crowd_parts(crowded, crowd).mapInArrow(_later(spec, True), _FOUND))
@@ -341,7 +340,7 @@ def _remover(batches):
     """key, text without the repeated words, and three counts."""
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in wordhash.small(batches):
         rows = batch.column("row")
         texts, null = wordhash.utf8(rows.field("text")), rows.field("text").is_null().to_pylist()
         cut = [_cut(t, w, s) for t, w, s in zip(texts, batch.column("whole").to_pylist(), batch.column("spans").to_pylist(), strict=True)]

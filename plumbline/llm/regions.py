@@ -14,7 +14,8 @@ The tables made here, in order:
 * ``contexts``: those grams with a digest of the elements that their windows touch.
 * ``unique``: distinct contexts of a gram with their number; a gram inside a passage
   that a third of all documents share has one row here.
-* ``open``: contexts of grams with several ones, with their elements.
+* ``open``: contexts of grams with several ones, with their elements; they go from the
+  documents straight to the tasks of their grams.
 
 The callers decide which windows of a context count and get spans per document back.
 A gram with more than ``crowd`` distinct contexts is not gathered into a task: its
@@ -31,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import wordhash
@@ -149,7 +151,7 @@ def _scanner(spec: Spec):
             [(n, pa.int64()) for n in ("doc", "key", "size", "d1", "d2")]
             + [(n, pa.list_(t)) for n, t in lists]
         )
-        for batch in batches:
+        for batch in wordhash.small(batches):
             texts = wordhash.utf8(batch.column("text"))
             sizes, digests, grams = [], [], []
             for rows, elements, bounds in _elements(texts, spec):
@@ -207,18 +209,30 @@ def repeated(grams: DataFrame) -> DataFrame:
     return found
 
 
-def _digest(data: bytes) -> tuple[int, int]:
-    import xxhash
-
-    x = xxhash.xxh3_128_intdigest(data)
-    return (x >> 64) - (1 << 63), (x & ((1 << 64) - 1)) - (1 << 63)
-
-
 _PLACE = [("g", "long"), ("doc", "long"), ("key", "long"), ("pos", "long"), ("lo", "int"), ("hi", "int"), ("c1", "long"), ("c2", "long")]
 _NEAR = [("l", "long"), ("r", "long")]
 _WHOLE = [("n", "long"), ("before", "binary"), ("after", "binary")]
 
 
+def _range_digests(values: np.ndarray):
+    """A function of arrays (from, to): 64-bit digests of those ranges of values."""
+    power, inverse = wordhash._up_to(len(values) + 1)
+    sums = np.zeros(len(values) + 1, _U)
+    np.cumsum(values * power[: len(values)], out=sums[1:])
+    return lambda a, b: wordhash.mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(_U))
+
+
+def _slices(values: np.ndarray, a: np.ndarray, b: np.ndarray):
+    """Arrow binaries of the ranges a[k]:b[k] of values."""
+    import pyarrow as pa
+
+    w, size = values.itemsize, b - a
+    ends = np.cumsum(size)
+    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(a - (ends - size), size)
+    offsets = np.concatenate(([0], ends * w)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(offsets), pa.py_buffer(values[at])])
+
+
 def _cutter(spec: Spec, whole: bool):
     """Rows of contexts: the elements that a gram's windows touch, before and from it
     on, as a digest or whole; and digests of the gram with ``side`` elements before or
@@ -226,32 +240,41 @@ def _cutter(spec: Spec, whole: bool):
 
     def run(batches):
         import pyarrow as pa
-        import xxhash
 
         fields = [*_PLACE, *_NEAR, *(_WHOLE if whole else [])]
         kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
         schema = pa.schema([(name, kinds[kind]) for name, kind in fields])
-        near = lambda data: xxhash.xxh3_64_intdigest(data) - (1 << 63)
-        for batch in batches:
-            ids = list(zip(batch.column("doc").to_pylist(), batch.column("key").to_pylist(), strict=True))
+        for batch in wordhash.small(batches):
+            ids = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "key")]
+            listed = batch.column("at")
+            flat, cut = listed.flatten(), np.concatenate(([0], np.cumsum(listed.value_lengths().to_numpy(zero_copy_only=False))))
+            every = {flat.type.field(k).name: flat.field(k).to_numpy(zero_copy_only=False) for k in range(flat.type.num_fields)}
             texts = wordhash.utf8(batch.column("text"))
-            rows: list[tuple] = []
-            for k, at in enumerate(batch.column("at").to_pylist()):
-                data = texts[k] if spec.unit == "byte" else wordhash.words(texts[k].lower())[0].tobytes()
-                w, side, core = spec.width, spec.side * spec.width, spec.gram * spec.width
-                for a in at:
-                    pos, lo, hi = a["pos"] * w, a["lo"], a["hi"]
-                    before, after = data[pos - hi * w : pos], data[pos : pos + (spec.length - lo) * w]
-                    c1, c2 = _digest(b"%d,%d;" % (lo, hi) + before + after)
-                    l = near(data[pos - side : pos + core]) if pos >= side else None
-                    r = near(data[pos : pos + core + side]) if pos + core + side <= len(data) else None
-                    row = (a["g"], *ids[k], a["pos"], lo, hi, c1, c2, l, r)
-                    rows.append((*row, a["n"], before, after) if whole else row)
-                if len(rows) >= 4000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+            for rows, elements, bounds in _elements(texts, spec):
+                first, last = cut[rows[0]], cut[rows[-1] + 1]
+                at = {c: v[first:last] for c, v in every.items()}
+                own = np.repeat(np.arange(len(rows)), np.diff(cut[rows[0] : rows[-1] + 2]))
+                begin, end, lo, hi = bounds[own], bounds[own + 1], at["lo"].astype(np.int64), at["hi"].astype(np.int64)
+                values = wordhash._BYTES[elements] if spec.unit == "byte" else elements
+                one, two = _range_digests(values), _range_digests(wordhash.mix(values ^ _U(0x5851F42D4C957F2D)))
+                for k in range(0, len(own), 1 << 14):
+                    p = slice(k, k + (1 << 14))
+                    pos = begin[p] + at["pos"][p]
+                    a, b = pos - hi[p], pos + spec.length - lo[p]
+                    form = wordhash.mix((lo[p] * spec.length + hi[p]).astype(_U))
+                    before, after = pos - spec.side, pos + spec.gram + spec.side
+                    columns = [
+                        at["g"][p], ids[0][rows[0] + own[p]], ids[1][rows[0] + own[p]], at["pos"][p], at["lo"][p], at["hi"][p],
+                        (one(a, b) ^ form).view(np.int64), (two(a, b) ^ form).view(np.int64),
+                    ]
+                    columns = [pa.array(c, t) for c, t in zip(columns, schema.types, strict=False)]
+                    columns += [
+                        pa.array(one(np.maximum(before, 0), pos + spec.gram).view(np.int64), mask=before < begin[p]),
+                        pa.array(one(pos, np.minimum(after, len(values))).view(np.int64), mask=after > end[p]),
+                    ]
+                    if whole:
+                        columns += [pa.array(at["n"][p], pa.int64()), _slices(elements, a, pos), _slices(elements, pos, b)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
@@ -279,26 +302,34 @@ def unique_contexts(rows: DataFrame) -> DataFrame:
     return materialize(slim, "unique")
 
 
-def open_contexts(docs: DataFrame, unique: DataFrame, spec: Spec, near: bool = False) -> DataFrame:
-    """The contexts, as a whole, of those that may share a window with another one.
+def open_contexts(docs: DataFrame, unique: DataFrame, spec: Spec, crowd: int, near: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(few, crowded): the contexts, as a whole, of those that may share a window with
+    another one; of ordinary grams, dealt out and sorted for grouped_batches, and of
+    grams with more than ``crowd`` of them.
 
     A window around a gram holds the gram and ``side`` elements more before it or after
     it, so a context that shares neither with another context shares no window. With
     near, windows need not be equal, and all contexts of grams with several ones stay."""
     slim = unique.select("g", "c1", "c2", "n", "e.doc", "e.key", "e.pos", "lo", "hi", "l", "r")
-    sides = unique.select("g", F.explode(F.array(F.struct(F.lit(0).alias("s"), F.col("l").alias("k")), F.struct(F.lit(1).alias("s"), F.col("r").alias("k")))).alias("x"))
-    shared = sides.where("x.k is not null").groupBy("g", "x.s", "x.k").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    left = shared.where("s = 0").select("g", F.col("k").alias("l"), F.lit(True).alias("in_l"))
-    right = shared.where("s = 1").select("g", F.col("k").alias("r"), F.lit(True).alias("in_r"))
     if near:
         several = materialize(unique.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("g"), "several")
         some = slim.join(sized(several), "g")
     else:
+        sides = unique.select("g", F.explode(F.array(F.struct(F.lit(0).alias("s"), F.col("l").alias("k")), F.struct(F.lit(1).alias("s"), F.col("r").alias("k")))).alias("x"))
+        shared = sides.where("x.k is not null").groupBy("g", "x.s", "x.k").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        left = shared.where("s = 0").select("g", F.col("k").alias("l"), F.lit(True).alias("in_l"))
+        right = shared.where("s = 1").select("g", F.col("k").alias("r"), F.lit(True).alias("in_r"))
         some = slim.join(left, ["g", "l"], "left").join(right, ["g", "r"], "left").where("in_l or in_r")
-    places = materialize(some.groupBy("doc", "key").agg(F.collect_list(F.struct("g", "pos", "lo", "hi", "n")).alias("at")), "places")
-    found = materialize(_at_places(docs, places, spec, True), "open")
-    discard(places)
-    return found
+    some = materialize(some.select("g", "doc", "key", "pos", "lo", "hi", "n"), "some")
+    many = materialize(some.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > crowd).select("g"), "crowded")
+    listed = lambda rows: materialize(rows.groupBy("doc", "key").agg(F.collect_list(F.struct("g", "pos", "lo", "hi", "n")).alias("at")), "places")
+    parts = int(unique.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = _at_places(docs, listed(some.join(sized(many), "g", "left_anti")), spec, True)
+    few = few.select("g", "c1", "c2", "n", "doc", "key", "pos", "lo", "hi", "before", "after").repartition(parts, "g").sortWithinPartitions("g")
+    columns = ", ".join(f"{name} {kind}" for name, kind in [*_PLACE, *_NEAR, *_WHOLE])
+    if many.isEmpty():
+        return few, unique.sparkSession.createDataFrame([], columns)
+    return few, materialize(_at_places(docs, listed(some.join(sized(many), "g", "left_semi")), spec, True), "open")
 
 
 def grouped_batches(batches, column: str = "g", rows: int = 4096):
@@ -371,19 +402,12 @@ def window_classes(before, after, order_before, order_after, groups, lo, hi, len
         yield o, rows, found
 
 
-def runs(flags: np.ndarray, base: int) -> list[tuple[int, int]]:
-    """Maximal runs of true values as (first, last) from base on."""
-    edge = np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))
-    return list(zip((np.flatnonzero(edge == 1) + base).tolist(), (np.flatnonzero(edge == -1) - 1 + base).tolist(), strict=True))
-
-
-def split_crowds(unique: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
-    """Contexts of ordinary grams, dealt out and sorted for grouped_batches; and of crowded ones."""
-    many = unique.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > crowd).select("g")
-    many = materialize(many, "crowded")
-    parts = int(unique.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    few = unique.join(many, "g", "left_anti").repartition(parts, "g").sortWithinPartitions("g")
-    return few, unique.join(many, "g", "left_semi")
+def runs(flags: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last) of the maximal runs of true values in each row, counted from base."""
+    none = np.zeros((len(flags), 1), np.int8)
+    edge = np.diff(np.concatenate((none, flags.astype(np.int8), none), axis=1), axis=1)
+    row, first = np.nonzero(edge == 1)
+    return row, first + base, np.nonzero(edge == -1)[1] - 1 + base
 
 
 def crowd_windows(crowded: DataFrame, spec: Spec) -> DataFrame:
@@ -396,8 +420,13 @@ def crowd_windows(crowded: DataFrame, spec: Spec) -> DataFrame:
 
 
 def listed_spans(spans: DataFrame) -> DataFrame:
-    """(doc, key, spans): the (a, b) rows of each document, each once; merge() joins them."""
-    return spans.groupBy("doc", "key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    """(doc, key, spans): unions of the (a, b) rows of each document."""
+    before = W.partitionBy("doc", "key").orderBy("a").rowsBetween(W.unboundedPreceding, -1)
+    new = F.coalesce(F.col("a") > F.max("b").over(before), F.lit(True)).cast("int")
+    island = spans.select("doc", "key", "a", "b", new.alias("new"))
+    upto = W.partitionBy("doc", "key").orderBy("a").rowsBetween(W.unboundedPreceding, 0)
+    island = island.withColumn("k", F.sum("new").over(upto)).groupBy("doc", "key", "k").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return island.groupBy("doc", "key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -136,10 +136,9 @@ def _covered(spec: regions.Spec):
                 ):
                     twice = np.bincount(found)[found] > 1
                     flags[pick[rows[twice]], o - base] = True
-            out = [(k, a, b) for k in np.flatnonzero(flags.any(1)) for a, b in regions.runs(flags[k], base)]
-            where = [x[0] for x in out]
+            where, first, last = regions.runs(flags, base)
             columns = [frame[c].to_numpy(np.int64)[where] for c in ("g", "c1", "c2")]
-            columns += [np.array([x[j] for x in out], np.int32) for j in (1, 2)]
+            columns += [first.astype(np.int32), last.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["g", "c1", "c2", "first", "last"])
 
     return run
@@ -154,7 +153,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
         rows = regions.contexts(docs, regions.repeated(grams), spec)
         sweep(docs.sparkSession)
         unique = regions.unique_contexts(rows)
-        few, crowded = regions.split_crowds(regions.open_contexts(docs, unique, spec), crowd)
+        few, crowded = regions.open_contexts(docs, unique, spec, crowd)
         found = few.mapInArrow(_covered(spec), "g long, c1 long, c2 long, first int, last int")
         windows = regions.crowd_windows(crowded, spec)
         twice = windows.groupBy("g", "o", "w").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select("g", "o", "w")
@@ -174,7 +173,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
 def _remover(batches):
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in wordhash.small(batches):
         texts = wordhash.utf8(batch.column("text"))
         removed, counts, kept = [], [], []
         for text, whole, spans in zip(texts, batch.column("whole").to_pylist(), batch.column("spans").to_pylist(), strict=True):

@@ -119,6 +119,15 @@ def shingles(h: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray,
     return out, new
 
 
+def small(batches, size: int = 1 << 22):
+    """Slices of Arrow batches of about ``size`` bytes, a row at least: what Python makes
+    of a batch is several times as large."""
+    for batch in batches:
+        step = max(1, batch.num_rows * size // max(batch.nbytes, 1))
+        for k in range(0, batch.num_rows, step):
+            yield batch.slice(k, step)
+
+
 def utf8(column) -> list[bytes]:
     """The bytes of an Arrow string column; null is empty."""
     import pyarrow as pa
