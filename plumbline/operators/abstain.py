@@ -153,6 +153,13 @@ def prefer_variant(auroc_before: float, gap_before: float, auroc_after: float, g
     return auroc_after - auroc_before > gain and gap_after >= gap_before
 
 
+def preferred(report: DataFrame, first: str, gain: float = GAIN) -> DataFrame:
+    """I-07 for all variants of a confidence_report(variant, auroc, gap) against the first one."""
+    base = report.where(F.col("variant") == first).select(F.col("auroc").alias("_a"), F.col("gap").alias("_g"))
+    rows = report.where(F.col("variant") != first).join(F.broadcast(base))
+    return rows.select("variant", ((F.col("auroc") - F.col("_a") > gain) & (F.col("gap") >= F.col("_g"))).alias("preferred"))
+
+
 def patch_verdict(table: DataFrame, baseline: str = "off", gain: float = 0.005) -> DataFrame:
     """I-06: whether any mode helps without more false positives."""
     better = ((F.col("delta_f1") > gain) | (F.col("delta_recall") > gain)) & (F.col("delta_fpr") <= 0)
@@ -166,8 +173,8 @@ def retain(table: DataFrame) -> DataFrame:
     return table.groupBy("condition").agg(d("recall").alias("recall_gain"), d("f1").alias("f1_gain"), d("fpr").alias("fpr_rise"), keep.alias("retained"))
 
 
-def best_loss(table: DataFrame) -> DataFrame:
+def best_loss(table: DataFrame, fpr_rise: float = FPR_RISE) -> DataFrame:
     """I-09: rows(loss, ordinal, recall_gain, f1_gain, fpr_rise) → the loss with the best gain under the same bars."""
     gain = F.greatest("recall_gain", "f1_gain")
-    good = (gain >= GAIN) & (F.col("fpr_rise") <= FPR_RISE)
+    good = (gain >= GAIN) & (F.col("fpr_rise") <= fpr_rise)
     return table.agg(F.max_by("loss", F.when(good, F.struct(gain.alias("g"), -F.col("ordinal")))).alias("loss"))

@@ -174,6 +174,27 @@ def operating_points(curve: DataFrame, keys: Sequence[str] = (), target_fpr: flo
     )
 
 
+def frozen_threshold(validation: DataFrame, label: str = "binary_label", score: str = "score", ident: str = "doc_id", target_fpr: float = 0.05) -> DataFrame:
+    """I-04: operating points of the validation rows' clean scores, to be used unchanged elsewhere.
+
+    An error if one class is missing, or, with its id, if a row has no such score (P-11)."""
+    found = validation.agg(
+        F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n"), F.min(F.when(F.col(score).isNull(), F.col(ident))).alias("lacking"),
+    ).first()
+    if found["lacking"] is not None:
+        raise ValueError(f"{found['lacking']} has no score {score!r}")
+    if not found["p"] or not found["n"]:
+        raise ValueError("a threshold needs validation rows of both classes")
+    return operating_points(threshold_curve(validation, label=label, score=score), target_fpr=target_fpr)
+
+
+def metrics_or_null(df: DataFrame, keys: Sequence[str], threshold: float, **names: str) -> DataFrame:
+    """P-13: binary_metrics, with every rate null where a group lacks a class."""
+    out = binary_metrics(df, keys, threshold, **names)
+    both = (F.col("tp") + F.col("fn") > 0) & (F.col("fp") + F.col("tn") > 0)
+    return out.withColumns({c: F.when(both, F.col(c)) for c in ("auc", *rates())})
+
+
 def training_metrics(df: DataFrame, keys: Sequence[str], threshold: float, label: str = "binary_label", score: str = "score") -> DataFrame:
     """A-05: the training-side set, where FPR without negatives is 0."""
     out = binary_metrics(df, keys, threshold, label, score)

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SUFFIX = r"(?i)([_-](edited|edit|real|fake|original|source|v?\d+))+$"
+# Fixed value: the ending that marks a version of an original
+SUFFIX = r"(?i)(?:[_-](?:ai[_-]?)?edited|[_-](?:authentic|real)|[_-]v\d+)$"
 
 
 def seeded_hash(seed: str | int, *parts: Column) -> Column:

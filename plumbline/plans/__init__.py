@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("evaluation", "scoring", "preparation", "extras")
+MODULES = ("evaluation", "scoring", "preparation", "extras", "decisions")
 
 
 def _modules():

@@ -259,15 +259,6 @@ _add(abstention_sweep, f"WITH {F_SQL}, h AS (" + " UNION ALL ".join(
 ) + f"), {_eval_sql('h', 'rule, step, \"limit\", ')} SELECT * REPLACE ({rnd(*EVAL)}) FROM ef")
 
 
-def abstention_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """I-05: sequential by nature; tests compare it with a plain loop."""
-    chosen = abstain.select(_features(spark, sf_dir))
-    return spark.createDataFrame([(k, r, float(v)) for k, (r, v) in enumerate(chosen)], "step int, rule string, limit double")
-
-
-_add(abstention_selection)
-
-
 def degradation_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R-14."""
     items = adapters.scored_items(spark, sf_dir)
