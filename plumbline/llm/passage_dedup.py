@@ -18,7 +18,9 @@ Contexts of a gram with more than ``crowd`` of them meet in parts, any two in on
 (after those go that share too few shingles with others), so work on near copies of a
 passage beyond that number grows with its square over ``crowd``. Equal
 documents of at least ``LENGTH`` words are one component: the smallest doc_id stays.
-Only words inside such windows go; texts without one stay as they are, byte for byte.
+Only words inside such windows go, all of them: where windows overlap, as in a text that
+repeats one word, those before the first repeat stay. Texts without such a window stay as
+they are, byte for byte.
 
 Edge cases: a null text has no words and stays null; a text under ``LENGTH`` words
 stays; repeated rows are equal documents with one id, and stay, as the row that is

@@ -10,12 +10,17 @@ at bytes where the GPT-2 pattern ends a piece whatever stands around:
 * ASCII punctuation after an ASCII or Latin-1 letter, and an ASCII letter after ASCII
   punctuation other than the apostrophe (which begins contractions).
 
+An added token of the tokenizer, written out in a text, is a part of its own, as in the
+library's plain encode(); no cut is made inside one.
+
 Everything is done on arrays over a few hundred kilobytes of text at a time. The table
 has a fixed number of places and is emptied when it fills up.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 from . import wordhash
@@ -69,9 +74,27 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError("added tokens that take in what stands around them are not supported")
+        # the longest first, as they may begin alike
+        names = sorted({t.content.encode() for t in added}, key=lambda n: (-len(n), n))
+        self.added = re.compile(b"|".join(map(re.escape, names))) if names else None
         self.clear()
 
+    def cuts(self, data: bytes, begins: np.ndarray = np.zeros(0, np.int64)) -> np.ndarray:
+        """Whether a part begins at each byte of texts that begin at ``begins``."""
+        out = cuts(np.frombuffer(data, np.uint8))
+        out[begins[begins < len(data)]] = True
+        for m in self.added.finditer(data) if self.added else ():
+            a, b = m.span()
+            if np.searchsorted(begins, a, "right") == np.searchsorted(begins, b, "left"):  # in one text
+                out[a + 1 : b] = False
+                out[a] = True
+                if b < len(data):
+                    out[b] = True
+        return out
+
     def clear(self) -> None:
         self.keys = np.zeros(PLACES, _U)
         self.part = np.full(PLACES, -1, np.int32)
@@ -116,9 +139,7 @@ class Encoder:
     def _piece(self, data: bytes, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of data, and how many stand before each of its bytes begins[k]."""
         raw = np.frombuffer(data, np.uint8)
-        first = cuts(raw)
-        first[begins[begins < len(raw)]] = True
-        start = np.flatnonzero(first)
+        start = np.flatnonzero(self.cuts(data, begins))
         end = np.append(start[1:], len(raw))
         power, inverse = wordhash._up_to(len(raw) + 1)
         sums = np.zeros(len(raw) + 1, _U)
@@ -149,7 +170,7 @@ class Encoder:
                 last += 1
             if size > PIECE:  # one long text, taken piece by piece
                 n = 0
-                for part in _parts(texts[k]):
+                for part in _parts(texts[k], self.cuts):
                     ids, _ = self._piece(part, np.zeros(1, np.int64))
                     out.append(ids)
                     n += len(ids)
@@ -167,17 +188,17 @@ class Encoder:
         return (np.concatenate(out) if out else np.zeros(0, np.uint32)), np.array(bounds)
 
 
-def _parts(text: bytes):
-    """Parts of a long text that begin at safe places, of about PIECE bytes."""
+def _parts(text: bytes, cut):
+    """Parts of a long text that begin where cut() allows it, of about PIECE bytes."""
     at = 0
     while at < len(text):
         end = at + PIECE
         if end < len(text):
-            safe = np.flatnonzero(cuts(np.frombuffer(text[at : end + PIECE], np.uint8)))
+            safe = np.flatnonzero(cut(text[at : end + PIECE]))
             later = safe[safe >= PIECE // 2]
             while not len(later) and end < len(text):  # a run without any safe place
                 end += PIECE * 4
-                safe = np.flatnonzero(cuts(np.frombuffer(text[at : end + PIECE], np.uint8)))
+                safe = np.flatnonzero(cut(text[at : end + PIECE]))
                 later = safe[safe >= PIECE // 2]
             end = at + int(later[min(np.searchsorted(later, PIECE), len(later) - 1)]) if len(later) else len(text)
         yield text[at:end]

@@ -211,14 +211,15 @@ def test_bpe_round_trip(spark, docs):
         assert bytes(r["decoded"]) == (r["text"] or "").encode()
 
 
-def test_token_file_equals_the_library(spark, docs):
+def test_token_file_equals_the_library(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    end = "<|endoftext|>"
+    texts = [*corpus(), end, f"one {end} two", f"x{end}{end}y  {end}  z", "a <|endof", "text|> b", "<|endoftext", (f"word {end}, " * 40_000), "q" * 600_000]
     start = 0
-    found = {r["doc_id"]: r for r in token_file.read(*token_file.write(docs, public_tokenizers.path("byte_bpe_50k.json"))).collect()}
-    for k, text in enumerate(corpus()):
+    found = {r["doc_id"]: r for r in token_file.read(*token_file.write(frame(spark, texts).coalesce(1), public_tokenizers.path("byte_bpe_50k.json"))).collect()}
+    for k, text in enumerate(texts):
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
         assert (found[k]["start"], found[k]["n_tokens"], found[k]["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
@@ -344,6 +345,53 @@ def test_license_lines(spark, scanner):
     assert license_scan.scan(frame(spark, []), scanner[0]).count() == 0
 
 
+def test_recall_of_near_passages(spark):
+    """Share of planted near passages found, against all windows of 50 words on their diagonal."""
+    rng = random.Random(6)
+    words = [f"v{k}" for k in range(3000)]
+    say = lambda n: [rng.choice(words) for _ in range(n)]
+    texts, due = [], []
+    for k in range(80):
+        passage = say(rng.randrange(55, 110))
+        near = [w if rng.random() >= 0.01 * (k % 6) else rng.choice(words) for w in passage]
+        a, b = say(rng.randrange(20, 50)), say(rng.randrange(20, 50))
+        texts += [a + passage + say(25), b + near + say(25)]
+        grams = lambda t, s: {tuple(t[i : i + 5]) for i in range(s, s + 46)}
+        pairs = [(grams(passage, s), grams(near, s)) for s in range(len(passage) - 49)]
+        if any(100 * len(x & y) >= 75 * len(x | y) for x, y in pairs):
+            due.append(2 * k + 1)
+    out = removed(spark, [" ".join(t) for t in texts])
+    assert len(due) > 50 and np.mean([out[k] > 0 for k in due]) >= 0.9
+    assert not any(out[k] for k in range(len(texts)) if k % 2 == 0)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(3)
+    long = " ".join(rng.choice(WORDS) for _ in range(150_000))
+    passage = " ".join(long.split()[70_000:70_200])
+    texts = [long, passage, "x" * 1_000_000, "lorem " * 100_000]
+    docs = frame(spark, texts)
+    out = {r["row"]["doc_id"]: r["q"]["n_words"] for r in quality.judge(docs, ["doc_id"]).collect()}
+    assert out == {0: 150_000, 1: 200, 2: 1, 3: 100_000}
+    bench = spark.createDataFrame([("i", " ".join(passage.split()[:12]))], "item_id string, text string")
+    assert {r["doc_id"]: r["n_hit"] for r in decontaminate.report(docs, bench).collect()} == {0: 12, 1: 12, 2: 0, 3: 0}
+    assert {r["row"]["doc_id"]: r["n_removed"] for r in passage_dedup.cut_repeats(docs).collect()} == {0: 0, 1: 200, 2: 0, 3: 99_999}
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.components(docs).collect()} == {k: k for k in range(4)}
+    pages = spark.createDataFrame([(1, "http://a.net/fr/" + "y" * 200_000), (2, "http://" + "z" * 200_000 + ".net/es/")], "page_id long, url string")
+    rules = [("block", "net/es/"), ("block", "net/fr/")]
+    assert {r["page_id"]: r["rule"] for r in url_filter.judge(pages, rules).collect()} == {1: "net/fr/", 2: "net/es/"}
+
+
+def test_repeated_rows(spark):
+    one = frame(spark, corpus()).where("doc_id in (0, 3, 6, 13)")
+    twice = one.union(one)
+    bench = spark.createDataFrame([("i", " ".join(corpus()[13].split()[:12]))], "item_id string, text string")
+    for work in (lambda d: decontaminate.report(d, bench), jaccard_join.components, lambda d: bpe.encode(d, *vocabulary(), carry=("doc_id",))):
+        key = lambda r: str(r)
+        assert sorted(map(tuple, work(twice).collect()), key=key) == sorted([x for r in work(one).collect() for x in (tuple(r), tuple(r))], key=key)
+    assert passage_dedup.drop_repeats(twice).count() == 8 and all(r["n_removed"] == r["n_bytes"] for r in suffix_dedup.deduplicate(twice).collect() if r["n_bytes"] >= 400)
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     items = spark.createDataFrame([], "item_id string, text string")
