@@ -177,8 +177,8 @@ def format_counts(rows: DataFrame, label: str, ext: Column) -> DataFrame:
     return rows.groupBy(label, ext.alias("extension")).agg(F.count(F.lit(1)).alias("count"))
 
 
-def pair_loss(rows: DataFrame, group: str, value: str, kind: str = "mse") -> DataFrame:
-    """J-06, R-19: mean loss over all pairs i < j of each group.
+def pair_loss(rows: DataFrame, group: str, value: str, kind: str = "mse", same: str | None = None) -> DataFrame:
+    """J-06, R-19: mean loss over all pairs i < j of each group, or of its rows that agree on ``same``.
 
     The squared loss follows from sums, so no pair is made: sum over pairs of (a-b)^2 is
     n * sum(x^2) - sum(x)^2. The symmetric KL of Bernoullis, (a-b) * (logit a - logit b), is
@@ -190,7 +190,8 @@ def pair_loss(rows: DataFrame, group: str, value: str, kind: str = "mse") -> Dat
         a = F.least(F.greatest(x, F.lit(1e-6)), F.lit(1 - 1e-6))
         b = F.ln(a / (1.0 - a))
     n = F.count(x)
-    out = rows.groupBy(group).agg(n.alias("count"), F.covar_pop(a, b).alias("_c")).where(F.col("count") > 1)
+    keys = [group] if same is None else [group, same]
+    out = rows.groupBy(*keys).agg(n.alias("count"), F.covar_pop(a, b).alias("_c")).where(F.col("count") > 1)
     # n * sum(ab) - sum(a) sum(b) = n^2 * covar_pop
     pairs = F.col("count").cast("double") * (F.col("count") - 1) / 2.0
-    return out.select(group, "count", (F.col("count").cast("double") * F.col("count") * F.col("_c") / pairs * F.lit(1.0 if kind == "mse" else 0.5)).alias("loss"))
+    return out.select(*keys, "count", (F.col("count").cast("double") * F.col("count") * F.col("_c") / pairs * F.lit(1.0 if kind == "mse" else 0.5)).alias("loss"))

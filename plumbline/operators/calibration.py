@@ -164,3 +164,43 @@ def fit_temperature(df: DataFrame, label: str = "binary_label", score: str = "sc
         return Calibrator("temperature", scale, 0.0)
     finally:
         hist.unpersist()
+
+
+def fit_groups(df: DataFrame, keys: Sequence[str], label: str = "binary_label", score: str = "score", ridge: float = 1e-6) -> DataFrame:
+    """X-05: a Platt fit for each group: keys, scale, bias; null where a group lacks a class.
+
+    Groups meet as histograms of distinct scores, so a task holds no more rows than those."""
+    keys = [*keys]
+    hist = df.where(F.col(score).isNotNull()).groupBy(*keys, rules.logit(F.col(score)).alias("x")).agg(
+        F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n")
+    )
+    kinds = [f"`{c}` {t}" for c, t in hist.select(*keys).dtypes]
+
+    def fit(group, frame):
+        import numpy as np
+        import pandas as pd
+
+        x, p, n = (frame[c].to_numpy(float) for c in ("x", "p", "n"))
+        w = np.array([1.0, 0.0])
+        if p.sum() and n.sum():
+            a, m = np.stack([x, np.ones(len(x))], 1), p + n
+            aim = (p * (p.sum() + 1) / (p.sum() + 2) + n / (n.sum() + 2)) / m
+            loss = lambda w: float((m * (np.logaddexp(0, a @ w) - aim * (a @ w))).sum() + 0.5 * ridge * w @ w)
+            for _ in range(100):
+                q = 1 / (1 + np.exp(-np.clip(a @ w, -60, 60)))
+                slope = a.T @ (m * (q - aim)) + ridge * w
+                if np.abs(slope).max() < 1e-9:
+                    break
+                step, now = np.linalg.solve((a * (m * q * (1 - q))[:, None]).T @ a + ridge * np.eye(2), slope), loss(w)
+                tries = [w - step / 2.0**k for k in range(40)]
+                after = next((t for t in tries if loss(t) <= now), w)
+                if np.abs(after - w).max() < 1e-12:
+                    break
+                w = after
+        else:
+            w = np.array([np.nan, np.nan])
+        return pd.DataFrame([(*group, *w)], columns=[*keys, "scale", "bias"])
+
+    out = hist.groupBy(*keys).applyInPandas(fit, ", ".join([*kinds, "scale double", "bias double"]))
+    known = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    return out.select(*keys, known("scale"), known("bias"))

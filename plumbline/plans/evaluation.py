@@ -315,6 +315,15 @@ def temperature_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add(temperature_fit)
 
 
+def platt_by_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X-05, I-01: a fit for each condition; tests compare with the fit of one."""
+    out = calibration.fit_groups(adapters.version_scores(spark, sf_dir), ["condition"])
+    return out.select("condition", F.round("scale", 6).alias("scale"), F.round("bias", 6).alias("bias"))
+
+
+_add(platt_by_condition)
+
+
 def _modes(spark, sf_dir) -> DataFrame:
     """Three patch modes of one score, as a carrier."""
     items = adapters.scored_items(spark, sf_dir).withColumns({"off": F.col("clean"), "coarse": F.coalesce("patch", "clean"), "full": F.col("jpeg"), "own": F.col("clean")})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import pixels, rules
+from ..functions import pixels, rules, scorers
 from ..operators import geometry
 from ..sources import adapters
 from ..streaming import windows
@@ -147,6 +147,17 @@ def frequency_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add(frequency_features)
 
 
+def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X-01: a linear model over embeddings, loaded once per worker."""
+    rows = adapters.table(spark, sf_dir, "embeddings")
+    score = scorers.scorer(scorers.linear([(k % 7 - 3) / 10.0 for k in range(64)], 0.1))
+    return rows.select("vec_id", F.round(score(F.col("embedding")), 5).alias("score"))
+
+
+_add(model_scores, """SELECT vec_id, round(1.0::DOUBLE / (1.0::DOUBLE + exp(-(0.1::DOUBLE + z))), 5) AS score
+  FROM (SELECT vec_id, sum(v::DOUBLE * (((i - 1) % 7 - 3) / 10.0::DOUBLE)) AS z FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1)""")
+
+
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EXT Z-05 in batch form: hourly metrics of event scores."""
     return rounded(windows.hourly(windows.event_scores(adapters.table(spark, sf_dir, "events"))), "mean_score")

@@ -22,11 +22,18 @@ def shards(spark: SparkSession, folder: str, split: str | None = None) -> DataFr
     return rows.select("*", F.col("_metadata.file_name").alias("shard"), F.col("_metadata.row_index").alias("row"))
 
 
-def labelled(rows: DataFrame, known: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
-    """S-02, S-04: img_id, content, format, label, shard, row; unknown labels and undecodable cells are left out."""
-    cell = F.col("image.bytes") if dict(rows.dtypes)["image"].startswith("struct") else F.col("image")
+def labelled(rows: DataFrame, known: tuple[int, ...] = (0, 1, 2), files: DataFrame | None = None) -> DataFrame:
+    """S-02, S-04: img_id, content, format, label, shard, row; unknown labels and undecodable cells are left out.
+
+    With files(path, content), a cell without bytes is read from its path there."""
+    nested = dict(rows.dtypes)["image"].startswith("struct")
+    rows = rows.withColumn("_content", F.col("image.bytes") if nested else F.col("image"))
+    if nested and files is not None:
+        there = files.select(F.col("path").alias("_path"), F.col("content").alias("_there"))
+        rows = rows.withColumn("_path", F.when(F.col("_content").isNull(), F.col("image.path"))).join(there, "_path", "left")
+        rows = rows.withColumn("_content", F.coalesce("_content", "_there"))
     out = rows.select(
-        F.coalesce(F.col("img_id"), F.concat_ws(":", "shard", "row")).alias("img_id"), cell.alias("content"), image_format(cell).alias("format"),
+        F.coalesce(F.col("img_id"), F.concat_ws(":", "shard", "row")).alias("img_id"), F.col("_content").alias("content"), image_format(F.col("_content")).alias("format"),
         "label", "shard", "row",
     )
     return out.where(F.col("label").isin(*known) & F.col("format").isNotNull())
@@ -49,14 +56,15 @@ def capped(rows: DataFrame, per_class: int | None = None, limit: int | None = No
     return rows if limit is None else rows.orderBy("shard", "row").limit(limit)
 
 
-def images(spark: SparkSession, folder: str, content: bool = False) -> DataFrame:
+def images(spark: SparkSession, folder: str, content: bool = False, ordered: bool = False) -> DataFrame:
     """S-06 to S-08: path, label by the folders below ``folder``, subgroup and size of image files; hidden ones are left out.
-    Bytes are read only if asked."""
+    Bytes are read, and rows sorted by path, only if asked."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     rows = rows.where(F.lower(F.element_at(F.split(name, r"\."), -1)).isin(*EXTENSIONS) & ~name.startswith("."))
     columns = ["path", F.col("length").alias("bytes"), folder_label(F.col("path"), folder).alias("label"), F.element_at(F.split("path", "/"), -2).alias("subgroup")]
-    return rows.select(*columns, *(["content"] if content else []))
+    rows = rows.select(*columns, *(["content"] if content else []))
+    return rows.orderBy("path") if ordered else rows
 
 
 def below(path: Column, root: str) -> Column:

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import abstain, audit, calibration, metrics, robustness, splits
-from plumbline.functions import rules
+from plumbline.functions import rules, scorers
 
 
 def frame(spark, labels, scores):
@@ -79,6 +79,23 @@ def test_platt_equals_a_row_level_fit(spark):
     assert [fit.scale, fit.bias] == pytest.approx(w.tolist(), abs=1e-6)
 
 
+def test_fits_of_groups_equal_single_fits(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, i, int(y), float(s)) for k in range(3) for i, (y, s) in enumerate((y, np.round(np.clip(0.4 + 0.2 * y + rng.normal(0, 0.2), 0.01, 0.99), 2)) for y in rng.integers(0, 2, 150))]
+    df = spark.createDataFrame([*rows, (9, 0, 1, 0.5)], "k int, item_id int, binary_label int, score double")
+    found = {r["k"]: (r["scale"], r["bias"]) for r in calibration.fit_groups(df, ["k"]).collect()}
+    assert found.pop(9) == (None, None) and len(found) == 3
+    for k, fit in found.items():
+        one = calibration.fit_platt(df.where(F.col("k") == k))
+        assert fit == pytest.approx((one.scale, one.bias), abs=1e-6)
+
+
+def test_scorer_loads_once_and_passes_nulls(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [0.5]), (4, [0.0, 0.0])], "id int, v array<double>").coalesce(1)
+    out = {r["id"]: r["s"] for r in rows.select("id", scorers.scorer(scorers.linear([1.0, -1.0]))(F.col("v")).alias("s")).collect()}
+    assert out[1] == pytest.approx(1 / (1 + np.e)) and out[2] is None and out[3] is None and out[4] == 0.5
+
+
 def test_platt_is_finite_on_separable_scores(spark):
     fit = calibration.fit_platt(frame(spark, [0] * 10 + [1] * 10, [0.01] * 10 + [0.99] * 10))
     assert np.isfinite([fit.scale, fit.bias]).all() and fit.scale > 0
@@ -127,6 +144,18 @@ def test_near_pairs_equal_brute_force(spark):
     assert found == {(x, y) for x in set(a) for y in set(b) if x != y and bin((x ^ y) & (2**64 - 1)).count("1") <= 2}
 
 
+def test_pair_losses_equal_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    data = [(int(g), int(y), float(v)) for g, y, v in zip(rng.integers(0, 4, 60), rng.integers(0, 2, 60), rng.random(60))]
+    rows = spark.createDataFrame(data, "g int, y int, v double")
+    for same in (None, "y"):
+        key = lambda r: r[0] if same is None else r[:2]
+        for r in audit.pair_loss(rows, "g", "v", same=same).collect():
+            own = [x for x in data if key(x) == (r["g"] if same is None else (r["g"], r["y"]))]
+            losses = [(a[2] - b[2]) ** 2 for i, a in enumerate(own) for b in own[:i]]
+            assert r["count"] == len(own) and r["loss"] == pytest.approx(np.mean(losses))
+
+
 def test_isolation(spark):
     rows = spark.createDataFrame([("g1", "train"), ("g2", "train"), ("g3", "validation"), ("g2", "test"), ("g1", "train")], "g string, split string")
     found = splits.collisions(rows, "g", "split", ("train", "validation", "test")).collect()

@@ -16,6 +16,14 @@ def test_shards_and_caps(spark, tmp_path):
     assert readers.capped(out, 1, 1).count() == 1
 
 
+def test_cells_without_bytes_are_read_from_their_path(spark, tmp_path):
+    spark.createDataFrame([("a", (b"\xff\xd8\xff\xe0", "p0")), ("b", (None, "p1")), ("c", (None, "p2"))], "img_id string, image struct<bytes: binary, path: string>").selectExpr("*", "1 AS label").write.parquet(str(tmp_path / "x"))
+    files = spark.createDataFrame([("p0", b"no"), ("p1", b"\x89PNG\r\n\x1a\n")], "path string, content binary")
+    rows = readers.shards(spark, str(tmp_path))
+    assert {r["img_id"]: r["format"] for r in readers.labelled(rows, files=files).collect()} == {"a": "JPEG", "b": "PNG"}
+    assert [r["img_id"] for r in readers.labelled(rows).collect()] == ["a"]
+
+
 def test_image_listing_and_labels(spark, tmp_path):
     root = tmp_path / "real" / "set"  # folders above the root tell nothing
     for name in ("Camera/a.JPG", "fake/x/b.png", "fake/.hidden.png", "other/c.txt", "other/d.png", "positive/genuine/e.webp", "1/f.jpeg", "other/real.png", "fake/g.bmp"):
