@@ -275,9 +275,17 @@ def _beaten(found: DataFrame) -> DataFrame:
     tied = both.groupBy("w").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.max("head").alias("head"))
     tied = materialize(tied.where("low is not null and (low <> high or head = 1)").select("w"), "tied")
     place = lambda *names: F.struct(*[F.col(n).alias(c) for n, c in zip(names, ("doc", "key", "start"), strict=True)])
-    some = links.join(sized(tied), "w", "left_semi").select(place("doc", "key", "pos").alias("a"), place("to_doc", "to_key", "to_start").alias("b"))
-    parts = connected_components(some).where("node <> component")
-    return parts.select("node.doc", "node.key", F.col("node.start").alias("a"), (F.col("node.start") + LENGTH).alias("b"))
+    some = links.join(sized(tied), "w", "left_semi").select("w", "t", place("doc", "key", "pos").alias("a"), place("to_doc", "to_key", "to_start").alias("b"))
+    some = materialize(some, "ties")
+    nodes = materialize(some.select(F.col("w").alias("node"), F.col("a").alias("at")).union(some.select("t", "b")).distinct(), "nodes")
+    if nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        # no two places have one hash, so components of hashes are those of places
+        placed = materialize(nodes.join(connected_components(some.select(F.col("w").alias("a"), F.col("t").alias("b"))), "node"), "placed")
+        first = placed.groupBy("component").agg(F.min("at").alias("first"))
+        beaten = placed.join(first, "component").where(F.col("at") != F.col("first")).select("at")
+    else:
+        beaten = connected_components(some.select("a", "b")).where("node <> component").select(F.col("node").alias("at"))
+    return beaten.select("at.doc", "at.key", F.col("at.start").alias("a"), (F.col("at.start") + LENGTH).alias("b"))
 
 
 def repeated_spans(docs: DataFrame, crowd: int = regions.CROWD) -> DataFrame:
