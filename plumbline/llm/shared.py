@@ -128,20 +128,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not state[0]:
             break
-        both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # every smaller neighbour of u, and u itself, is tied to the smallest of them
-        large = large.distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(low, "u")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(low.select("u", F.col("m").alias("v")))
-            .where("u <> v")
-            .distinct()
-        )
-        new = materialize(small, "edges")
+        new = materialize(_round(pairs, 1 + state[0] // EDGES), "edges")
         now = _state(new)
         discard(pairs)
         pairs, done = new, now == state
@@ -154,6 +141,23 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
+#: edges of one partition, about: a round over fewer needs no shuffle
+EDGES = 1 << 16
+
+
+def _round(pairs: DataFrame, parts: int) -> DataFrame:
+    pairs = pairs.coalesce(parts)
+    way = lambda a, b: F.struct(F.col(a).alias("u"), F.col(b).alias("v"))
+    both = pairs.select(F.inline(F.array(way("u", "v"), way("v", "u"))))
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    # every smaller neighbour of u, and u itself, is tied to the smallest of them
+    large = large.distinct()
+    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+    return small.where("u <> v").coalesce(parts).distinct() if parts == 1 else small.where("u <> v").distinct()
+
+
 def _state(pairs: DataFrame) -> tuple:
     row = pairs.agg(
         F.count(F.lit(1)).alias("n"),

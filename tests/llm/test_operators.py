@@ -8,7 +8,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from plumbline.llm import (  # noqa: E402
-    bpe, decontaminate, huffman, jaccard_join, language_id, license_scan, passage_dedup, quality, regions, suffix_dedup, token_file, url_filter, wordhash,
+    bpe, decontaminate, huffman, jaccard_join, language_id, license_scan, passage_dedup, quality, regions, shared, suffix_dedup, token_file, url_filter, wordhash,
 )
 from plumbline.llm.q08_bpe import vocabulary  # noqa: E402
 
@@ -58,6 +58,27 @@ def test_suffix_dedup_equals_brute_force(spark, docs):
         assert (r["n_removed"], r["n_spans"], bytes(r["kept"])) == (int(g.sum()), spans, kept)
 
 
+@pytest.mark.parametrize("edges", [1 << 16, 40])
+def test_components_equal_a_plain_search(spark, edges, monkeypatch):
+    monkeypatch.setattr(shared, "EDGES", edges)  # in one partition, and over several
+    rng = random.Random(edges)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(1000 + k, 1001 + k) for k in range(60)] + [(2000, k) for k in range(2001, 2050)] + [(None, 1), (7, None)]
+    root = {}
+
+    def top(k):
+        while root.setdefault(k, k) != k:
+            k = root[k]
+        return k
+
+    for a, b in pairs:
+        if a is not None and b is not None and a != b:
+            x, y = sorted((top(a), top(b)))
+            root[y] = x
+    found = shared.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert len(found) == len(root) and {r["node"]: r["component"] for r in found} == {k: top(k) for k in root}
+    assert shared.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_jaccard_equals_brute_force(spark, docs):
     sets = []
     for t in corpus():
