@@ -35,6 +35,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import regions, wordhash
 from .shared import connected_components, discard, hand_over, materialize, scope, sized, sweep
@@ -362,8 +363,8 @@ def _remover(batches):
 def cut_repeats(docs: DataFrame, **options) -> DataFrame:
     """(row, text, n_words, n_removed, n_spans): each row of docs as a struct, and its cut text."""
     rows = regions.with_spans(docs, repeated_spans(docs, **options))
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_remover, f"row {kind}, text string, n_words long, n_removed long, n_spans long")
+    counts = [T.StructField(c, T.LongType()) for c in ("n_words", "n_removed", "n_spans")]
+    return rows.mapInArrow(_remover, T.StructType([rows.schema["row"], T.StructField("text", T.StringType()), *counts]))
 
 
 def drop_repeats(docs: DataFrame, **options) -> DataFrame:

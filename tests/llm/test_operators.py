@@ -283,12 +283,12 @@ def test_a_host_with_many_failures_is_rejected(spark):
 
 
 def test_clashing_column_names(spark, docs):
-    odd = docs.withColumns({c: docs["n"] for c in ("q", "_w", "_n", "_t", "row", "_row", "_key", "_words", "key", "doc", "spans", "whole", "gone", "toks", "kept")})
+    odd = docs.withColumns({c: docs["n"] for c in ("q", "_w", "_n", "_t", "row", "_row", "_key", "_words", "key", "doc", "spans", "whole", "gone", "toks", "a b:c", "kept")})
     bench = spark.createDataFrame([("i1", "one two")], "item_id string, text string")
     for work in (quality.filter_quality, passage_dedup.drop_repeats, jaccard_join.keep_one, lambda d: decontaminate.drop_contaminated(d, bench)):
         out = work(odd)
         assert out.columns == odd.columns
-        assert {tuple(r[c] for c in odd.columns[8:]) for r in out.collect()} == {(1,) * 15}
+        assert {tuple(r[c] for c in odd.columns[8:]) for r in out.collect()} == {(1,) * 16}
 
 
 def test_language_accuracy_on_held_out_documents(spark):
