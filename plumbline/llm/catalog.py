@@ -7,6 +7,7 @@ from importlib import import_module
 MODULES = (
     "q01_suffix_dedup", "q02_decontaminate", "q03_url_filter", "q04_jaccard_join", "q05_passage_dedup",
     "q06_language_id", "q07_token_file", "q08_bpe", "q09_quality", "q10_license_scan",
+    "q11_importance", "q12_toxicity", "q13_divergence",
 )
 
 
