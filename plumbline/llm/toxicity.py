@@ -39,9 +39,9 @@ from . import terms, wordhash
 from .shared import materialize, scope, sized
 
 FOLDS = 5
-SAMPLE = 8192
+SAMPLE = 4096
 LONGEST = 1 << 16
-PARTS = 4096
+PARTS = 2048
 GRAM = 5
 LIKELY = 0.5
 STEPS = 400
@@ -179,23 +179,19 @@ def _sigmoid(z):
     return np.exp(-_softplus(-np.asarray(z, float)))
 
 
-def fit(bags: list[tuple[float, float, int, list[list[int]]]], size: int) -> tuple[np.ndarray, float, float]:
-    """Weights, bias and leak from bags (mean label, weight, blank sentences, part numbers of the others).
+def fit(y: np.ndarray, c: np.ndarray, blank: np.ndarray, bag: np.ndarray, line: np.ndarray, ids: np.ndarray, size: int) -> tuple[np.ndarray, float, float]:
+    """Weights, bias and leak from bags with mean label y, weight c and a number of blank sentences; the
+    other sentences have the bag of each in ``bag``, and part ids[k] is in sentence line[k].
 
     Adam on the penalised likelihood of the document labels; no randomness."""
-    y, c, blank = (np.array([b[k] for b in bags], float) for k in range(3))
-    bag = np.array([k for k, b in enumerate(bags) for _ in b[3]], np.int64)
-    lengths = np.array([len(s) for b in bags for s in b[3]], np.int64)
-    ids = np.array([w for b in bags for s in b[3] for w in s], np.int64)
-    line = np.repeat(np.arange(len(lengths)), lengths)
     mean = float((y * c).sum() / c.sum())
     x = np.zeros(size + 2)
     x[size], x[size + 1] = -5.0, np.log(max(mean, 1e-3) / 4)
     m, v = np.zeros_like(x), np.zeros_like(x)
     for step in range(1, STEPS + 1):
         w, bias, leak = x[:size], x[size], x[size + 1]
-        z = bias + np.bincount(line, w[ids], len(lengths))
-        clean = -_softplus(leak) - blank * _softplus(bias) - np.bincount(bag, _softplus(z), len(bags))
+        z = bias + np.bincount(line, w[ids], len(bag))
+        clean = -_softplus(leak) - blank * _softplus(bias) - np.bincount(bag, _softplus(z), len(y))
         clean = np.minimum(clean, -1e-12)  # log of the probability that nothing is toxic
         slope = c * ((1 - y) - y * np.exp(clean) / -np.expm1(clean))
         on = -slope[bag] * _sigmoid(z)
@@ -216,15 +212,17 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         rows = some.mapInArrow(_bags(number), "digest binary, toxic int, blank long, ids array<int>")
         same = rows.groupBy("digest").agg(
             F.avg(F.col("toxic").cast("double")).alias("y"), F.first("blank").alias("blank"), F.first("ids").alias("ids"),
-        ).orderBy("digest").toPandas()  # the sample, as part numbers
-    if not len(same):
+        ).orderBy("digest").select("y", "blank", "ids").toArrow()  # the sample, as part numbers
+    if not same.num_rows:
         return Model()
-    bags = []
-    for y, blank, ids in zip(same["y"], same["blank"], same["ids"], strict=True):
-        ids = np.asarray(ids, np.int64)
-        lines = [s[s >= 0].tolist() for s in np.split(ids, np.flatnonzero(ids < 0) + 1)]
-        bags.append((y, y * stands.get(1, 1.0) + (1 - y) * stands.get(0, 1.0), blank, [s for s in lines if s]))
-    weights, bias, leak = fit(bags, len(every))
+    y, blank = same.column("y").to_numpy(), same.column("blank").to_numpy().astype(float)
+    listed = same.column("ids").combine_chunks()
+    ids, ends = listed.flatten().to_numpy(), np.cumsum(listed.value_lengths().to_numpy())
+    stop = ids < 0  # after each sentence
+    bag = np.searchsorted(ends, np.flatnonzero(stop), side="right").astype(np.int32)
+    line = (np.cumsum(stop) - stop).astype(np.int32)[~stop]
+    c = y * stands.get(1, 1.0) + (1 - y) * stands.get(0, 1.0)
+    weights, bias, leak = fit(y, c, blank, bag, line, ids[~stop], len(every))
     return Model({p: float(x) for p, x in zip(every, weights, strict=True) if abs(x) > 1e-3}, bias, leak)
 
 
