@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hand_over, materialize, scope
+from .shared import hand_over, materialize, packed, scope
 
 WINDOW = 10
 GRAM = 5
@@ -170,5 +170,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     with scope():
         found = hits(docs, item_table(benchmark)).select("doc_id", "_key").distinct()
         found = hand_over(materialize(found, "contaminated"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64("text").alias("_key"))
+    rows = docs.select(packed(docs.columns), "doc_id", F.xxhash64("text").alias("_key"))
     return _null_safe(rows, found, "left_anti").select("row.*")

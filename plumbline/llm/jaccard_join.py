@@ -34,8 +34,8 @@ fragments, and overlaps are counted fragment by fragment:
 Edge cases: null and wordless texts have empty sets and link with nothing; fewer than
 five words make one shingle; repeated rows give repeated equal result rows; a null
 doc_id has no links but to a copy of its text, whose component it then has; if rows
-share a doc_id and differ in text, they count as one node that has the links of either
-(texts are never mixed); empty tables give an empty result; other columns are not read.
+share a doc_id and differ in text, every text is a class of its own and these classes are
+tied, so the document has the links of either (texts are never mixed); empty tables give an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -52,6 +52,7 @@ PERCENT = 75
 FREQUENT = 64  # documents that have a shingle
 FREQUENT_LIST = 1 << 20  # most entries in the list that tasks get: 12 MB
 SALTS = 64
+SPREAD = 16
 FRAGMENT = 1 << 12  # rare shingles of one fragment, about
 
 
@@ -150,7 +151,7 @@ def _postings(frequent):
         import pyarrow as pa
 
         seen, known = set(), frequent.value
-        names = ["tok", "doc", "n", "pos", "hot"]
+        names = ["tok", "doc", "x", "n", "pos", "hot"]
         for batch in wordhash.small(batches):
             ids = batch.column("doc_id").to_pylist()
             parts = []
@@ -161,7 +162,7 @@ def _postings(frequent):
                 seen.add(key)
                 rank = _rank(tokens, known)
                 order = np.argsort(rank, kind="stable")[: prefix_size(len(tokens))]
-                parts.append((tokens[order], ids[row], len(tokens), rank[order] > 0))
+                parts.append((tokens[order], ids[row], key[0], len(tokens), rank[order] > 0))
                 if len(parts) >= 2000:
                     yield _rows(pa, names, parts)
                     parts = []
@@ -176,9 +177,10 @@ def _rows(pa, names, parts):
     columns = [
         np.concatenate([p[0] for p in parts]).view(np.int64),
         np.repeat(np.array([p[1] for p in parts], np.int64), sizes),
-        np.repeat(np.array([p[2] for p in parts], np.int32), sizes),
+        np.repeat(np.array([p[2] for p in parts], np.int64), sizes),
+        np.repeat(np.array([p[3] for p in parts], np.int32), sizes),
         np.concatenate([np.arange(s, dtype=np.int32) for s in sizes]),
-        np.concatenate([p[3] for p in parts]),
+        np.concatenate([p[4] for p in parts]),
     ]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
@@ -225,7 +227,7 @@ def _listed(sets: DataFrame, name: str):
 
 def _frequent(docs: DataFrame, heads: DataFrame, copies: DataFrame):
     """The frequent shingles of the corpus, each set counted once; heads have the smallest hashes of each."""
-    one = sized(copies.select("doc"))
+    one = sized(copies.select("doc").distinct())  # it sets the order, not the result
     first = _listed(heads.select(F.col("doc_id").alias("doc"), "toks").join(one, "doc", "left_anti"), "frequent")
     if not len(first.value[0]):
         return first
@@ -313,18 +315,23 @@ def _components(docs: DataFrame) -> DataFrame:
         docs.mapInArrow(_summaries, "doc_id long, n long, d1 long, d2 long, toks array<long>"), "sets"
     )
     classes = sums.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    named = sums.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left").select("doc_id", "n", "rep")
+    named = sums.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left").select("doc_id", "n", "d1", "rep")
     named = hand_over(materialize(named, "classes"))
-    copies = materialize(named.where("doc_id <> rep").select(F.col("doc_id").alias("doc"), "rep").distinct(), "copies")
+    # by text (x), as a document may have several
+    copies = materialize(named.where("doc_id <> rep").select(F.col("doc_id").alias("doc"), F.col("d1").alias("x"), "rep").distinct(), "copies")
+    # the classes of one document's texts have the same links
+    several = named.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
+    ties = named.join(sized(materialize(several, "several")), "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    ties = materialize(ties, "ties")
     frequent = _frequent(docs, sums.where("toks is not null"), copies)
     discard(sums)
 
-    rows = docs.mapInArrow(_postings(frequent), "tok long, doc long, n int, pos int, hot boolean")
+    rows = docs.mapInArrow(_postings(frequent), "tok long, doc long, x long, n int, pos int, hot boolean")
     # everything up to the leaders happens in one partitioning, by shingle (and salt)
     salted = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(F.lit(0)))
-    several = salted.withColumn("c", F.expr("count(*) over (partition by tok, salt)")).where("c > 1 or hot")
+    shared = salted.withColumn("c", F.expr("count(*) over (partition by tok, salt)")).where("c > 1 or hot")
     posts = (
-        several.join(sized(copies), "doc", "left")
+        shared.join(sized(copies), ["doc", "x"], "left")
         .groupBy("tok", "salt", F.coalesce("rep", "doc").alias("doc"), "n")
         .agg(F.max("pos").alias("pos"), F.max("hot").alias("hot"))
         .withColumn("c", F.expr("count(*) over (partition by tok, salt)")).where("c > 1 or hot")
@@ -343,21 +350,24 @@ def _components(docs: DataFrame) -> DataFrame:
     stars = led.where((F.col("p.doc") != F.col("l.doc")) & _bounds("p", "l"))
     stars = materialize(stars.select(*_pair("p", "l")).distinct(), "stars")
     heads = _heads(posts)
-    links = _verified(_promising(stars, heads), docs, frequent)
+    links = _verified(_promising(stars, heads), docs, frequent).union(ties)
     joined = _joined(links)
     sweep(docs.sparkSession)
 
     placed = posts.join(sized(joined).withColumnRenamed("node", "doc"), "doc", "left").select(
-        "tok", "doc", "n", "pos", F.coalesce("component", "doc").alias("comp")
+        "tok", "hot", "doc", "n", "pos", F.coalesce("component", "doc").alias("comp")
     )
     open_ = placed.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok")
     left = materialize(placed.join(sized(materialize(open_, "shingles")), "tok"), "open")
+    # rows of a frequent shingle meet in SPREAD tasks; a rare one has at most FREQUENT
+    one_side = left.withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(SPREAD))).otherwise(F.lit(0).cast("long")))
+    other = left.withColumn("part", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))))
     # shared shingles that pass the bounds are the first ones that a pair shares, so the
     # pair's whole overlap is at most their number and the rest after the last of them
     total = F.col("na").cast("long") + F.col("nb")
     rest = F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
     across = (
-        left.alias("p").join(left.alias("q"), "tok")
+        one_side.alias("p").join(other.alias("q"), ["tok", "part"])
         .where((F.col("p.doc") < F.col("q.doc")) & (F.col("p.comp") != F.col("q.comp")) & _bounds("p", "q"))
         .groupBy(F.col("p.doc").alias("a"), F.col("q.doc").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb"))
         .agg(F.count(F.lit(1)).alias("c"), F.max("p.pos").alias("pa"), F.max("q.pos").alias("pb"))

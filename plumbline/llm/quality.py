@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hand_over, materialize, scope
+from .shared import hand_over, materialize, packed, scope
 
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOL = r"[#*$%&|<>]"
@@ -36,7 +36,7 @@ def quality_counts(docs: DataFrame, carry: list[str]) -> DataFrame:
 
     Windows are compared by 64-bit hashes within one text.
     """
-    kept = [F.struct(*carry).alias("row"), F.col("source")]
+    kept = [packed(carry), F.col("source")]
     base = docs.select(*kept, F.coalesce("text", F.lit("")).alias("_t"))
     kept = ["row", "source"]
     step = base.select(

@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .shared import discard, materialize, sized
+from .shared import discard, materialize, packed, sized
 
 _U = np.uint64
 _MASK = _U((1 << 20) - 1)
@@ -432,7 +432,7 @@ def listed_spans(spans: DataFrame) -> DataFrame:
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(row, whole, spans): each row of docs as a struct with its node's spans; spans is a written table."""
     weight = F.lit(1) + F.coalesce(F.size("spans"), F.lit(0))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), *_node())
+    rows = docs.select(packed(docs.columns), *_node())
     return rows.join(sized(spans, weight=weight), ["doc", "key"], "left").select("row", "whole", "spans")
 
 

@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -82,6 +82,12 @@ def discard(*tables: DataFrame) -> None:
             target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def packed(names: list[str]) -> Column:
+    """Columns of any name as one struct ``row``."""
+    quoted = ["`" + c.replace("`", "``") + "`" for c in names]
+    return F.struct(*[F.col(q).alias(c) for q, c in zip(quoted, names, strict=True)]).alias("row")
+
+
 def hand_over(df: DataFrame) -> DataFrame:
     """df, which the open scope no longer discards; an outer one may."""
     if _scopes.open:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import huffman, units, wordhash
 from .bpe import slices
-from .shared import materialize
+from .shared import discard, materialize
 
 END = 0
 BLOCK = 1 << 16  # ids from which a block is full
@@ -135,7 +135,9 @@ def write(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
         _blocks(spark.sparkContext.broadcast(lengths)),
         "part int, first long, doc_ids array<long>, sizes array<long>, marks binary, bits binary",
     )
-    return materialize(codes.coalesce(1), "codes"), materialize(blocks, "blocks")
+    out = materialize(codes.coalesce(1), "codes"), materialize(blocks, "blocks")
+    discard(ids)  # the whole corpus as plain ids, which nothing reads from now on
+    return out
 
 
 def _decoded(lengths, before, full: bool):
