@@ -1,8 +1,8 @@
 """Exact binary-classification metrics as aggregates (A-01 to A-06, A-35, I-03).
 
 Everything starts from a histogram: positives and negatives per (keys, score). It is a
-partial aggregate, so a hot score costs one row per task. Scores of six decimals give
-at most 1,000,001 rows per key, whatever the input; running sums go over those only.
+partial aggregate, so a hot score costs one row per task. Running sums over it go digit by
+digit (``radix``), so scores need not be rounded and no task holds a whole key.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import radix
+
 COUNTS = ("tp", "fp", "tn", "fn")
 
 
@@ -63,13 +65,14 @@ def histogram(df: DataFrame, keys: Sequence[str], label: str = "binary_label", s
     )
 
 
+def _auc() -> Column:
+    """Null with a single class."""
+    return F.try_divide(F.col("won"), F.col("p").cast("double") * F.col("n").cast("double"))
+
+
 def roc_auc(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
     """A-03: keys, auc; tied ranks averaged, null with a single class. W-01 by running sums."""
-    below = W.partitionBy(*keys).orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    part = hist.withColumn("under", F.coalesce(F.sum("n").over(below), F.lit(0)))
-    won = F.sum(F.col("p").cast("double") * (F.col("under") + F.col("n") / 2.0))
-    pairs = F.sum("p").cast("double") * F.sum("n").cast("double")
-    return part.groupBy(*keys).agg(F.try_divide(won, pairs).alias("auc"))
+    return radix.auc_fold(hist, keys).select(*keys, _auc().alias("auc"))
 
 
 def binary_metrics(df: DataFrame, keys: Sequence[str], threshold: float, label: str = "binary_label", score: str = "score") -> DataFrame:
@@ -79,50 +82,59 @@ def binary_metrics(df: DataFrame, keys: Sequence[str], threshold: float, label:
 
 def from_histogram(hist: DataFrame, keys: Sequence[str], threshold: float, moments: bool = False) -> DataFrame:
     """The same from (keys, score, p, n); with ``moments`` also count, mean_score and std_score (A-08)."""
-    below = W.partitionBy(*keys).orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    part = hist.withColumn("under", F.coalesce(F.sum("n").over(below), F.lit(0)))
     yes = F.col("score") >= threshold
     count = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0))
-    won = F.sum(F.col("p").cast("double") * (F.col("under") + F.col("n") / 2.0))
-    pairs = F.sum("p").cast("double") * F.sum("n").cast("double")
-    more = []
+    sums = {"tp": count("p", yes), "fp": count("n", yes), "tn": count("n", ~yes), "fn": count("p", ~yes)}
     if moments:
         m, x = F.col("p") + F.col("n"), F.col("score")
-        mean = F.sum(x * m) / F.sum(m)
-        more = [F.sum(m).alias("count"), mean.alias("mean_score"), F.sqrt(F.greatest(F.sum(x * x * m) / F.sum(m) - mean * mean, F.lit(0.0))).alias("std_score")]
-    out = part.groupBy(*keys).agg(
-        count("p", yes).alias("tp"), count("n", yes).alias("fp"), count("n", ~yes).alias("tn"), count("p", ~yes).alias("fn"),
-        F.try_divide(won, pairs).alias("auc"), *more,
-    )
-    return with_rates(out)
+        sums |= {"_m": F.sum(m), "_x": F.sum(x * m), "_xx": F.sum(x * x * m)}
+    out = radix.auc_fold(hist, keys, sums)
+    more = []
+    if moments:
+        mean = F.col("_x") / F.col("_m")
+        more = [F.col("_m").alias("count"), mean.alias("mean_score"), F.sqrt(F.greatest(F.col("_xx") / F.col("_m") - mean * mean, F.lit(0.0))).alias("std_score")]
+    return with_rates(out.select(*keys, *COUNTS, _auc().alias("auc"), *more))
+
+
+#: rows of a tie of positives whose precisions are summed from the histogram
+FEW = 32
 
 
 def average_precision(df: DataFrame, keys: Sequence[str], ident: str, label: str = "binary_label", score: str = "score") -> DataFrame:
     """A-04: mean precision at the positives in descending score order, ties by md5(ident).
 
-    Rank and positives so far come in three parts, so that no task holds a whole key or
-    a whole tie: above the score (from the histogram), before the row's bucket among its
-    tie (256 buckets), and inside the bucket.
+    Ties of one class, and single rows, follow from the histogram. Rows of other ties have
+    rank and positives so far in three parts, so that no task holds a whole key or a whole
+    tie: above the score (from the histogram), before the row's bucket among its tie (256
+    buckets), and inside the bucket. A key without rows of a known score has no row, one
+    without positives has null.
     """
+    keys = list(keys)
+    hist = histogram(df, keys, label, score).withColumn("m", F.col("p") + F.col("n"))
+    hist = radix.running(hist, keys, "score", ["m", "p"], descending=True)
+    plain = (F.col("p") == 0) | ((F.col("n") == 0) & (F.col("m") <= FEW))
+    steps = F.when(plain & (F.col("p") > 0), F.sequence(F.lit(1), F.col("p").cast("int")))
+    each = F.aggregate(steps, F.lit(0.0), lambda s, j: s + (F.col("before_p") + j) / (F.col("before_m") + j))
+    known = hist.groupBy(*keys).agg(F.sum(each).alias("_a"), F.sum("p").alias("_p"))
+
     # the first 60 bits of md5, as a number that sorts fast
-    digest = F.conv(F.substring(F.md5(F.col(ident).cast("string")), 1, 15), 16, 10).cast("long")
-    rows = df.where(F.col(score).isNotNull()).select(
-        *keys, F.col(score).alias("score"), digest.alias("h"), F.col(label).cast("int").alias("y")
-    ).withColumn("b", F.shiftright("h", 52))
-    tied = rows.groupBy(*keys, "score", "b").agg(F.count(F.lit(1)).alias("m"), F.sum("y").alias("p"))
-    before = W.partitionBy(*keys, "score").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    tied = tied.select(
-        *keys, "score", "b", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("m1"), F.coalesce(F.sum("p").over(before), F.lit(0)).alias("p1")
-    )
-    above = W.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, -1)
-    scores = histogram(df, keys, label, score).select(
-        *keys, "score", F.coalesce(F.sum(F.col("p") + F.col("n")).over(above), F.lit(0)).alias("m0"), F.coalesce(F.sum("p").over(above), F.lit(0)).alias("p0")
-    )
-    inside = W.partitionBy(*keys, "score", "b").orderBy("h").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("m2", F.row_number().over(inside)).withColumn("p2", F.sum("y").over(inside))
-    rows = rows.join(tied.join(scores, [*keys, "score"]), [*keys, "score", "b"])
+    digest = F.conv(F.substring(F.md5(F.col("_id").cast("string")), 1, 15), 16, 10).cast("long")
+    mixed = hist.where(~plain).select(*keys, "score", F.col("before_m").alias("m0"), F.col("before_p").alias("p0"))
+    rows = df.where(F.col(score).isNotNull()).select(*keys, F.col(score).alias("score"), F.col(ident).alias("_id"), F.col(label).cast("int").alias("y"))
+    at = [*keys, "score"]
+    rows = rows.alias("r").join(mixed.alias("t"), radix.same(at, "r", "t")).select("r.*", "t.m0", "t.p0")
+    rows = rows.withColumn("h", digest).withColumn("b", F.shiftright("h", 52))
+    tied = rows.groupBy(*at, "b").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("y") == 1).alias("p"))
+    before = W.partitionBy(*at).orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    tied = tied.select(*at, "b", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("m1"), F.coalesce(F.sum("p").over(before), F.lit(0)).alias("p1"))
+    inside = W.partitionBy(*at, "b").orderBy("h").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("m2", F.row_number().over(inside)).withColumn("p2", F.count_if(F.col("y") == 1).over(inside))
+    both = rows.alias("r").join(tied.alias("t"), radix.same([*at, "b"], "r", "t")).select("r.*", "t.m1", "t.p1")
     precision = (F.col("p0") + F.col("p1") + F.col("p2")) / (F.col("m0") + F.col("m1") + F.col("m2"))
-    return rows.groupBy(*keys).agg(F.avg(F.when(F.col("y") == 1, precision)).alias("average_precision"))
+    more = both.groupBy(*keys).agg(F.sum(F.when(F.col("y") == 1, precision)).alias("_b"))
+    out = known.alias("k").join(more.alias("m"), radix.same(keys, "k", "m"), "left")
+    total = F.coalesce("_a", F.lit(0.0)) + F.coalesce("_b", F.lit(0.0))
+    return out.select(*[F.col(f"k.{k}") for k in keys], F.try_divide(total, F.col("_p").cast("double")).alias("average_precision"))
 
 
 def sweep(df: DataFrame, keys: Sequence[str], first: int, last: int, label: str = "binary_label", score: str = "score") -> DataFrame:

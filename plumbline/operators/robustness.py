@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from . import metrics
+from . import metrics, radix
 
 SUMMARY_METRICS = ("accuracy", "precision_", "recall", "f1", "auc")
 
@@ -82,31 +82,31 @@ def class_breakdown(versions: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def quantiles(x: Column | str) -> list[Column]:
-    """A-14: exact and interpolated; the buffer holds distinct values, so round scores first."""
-    return [F.percentile(x, 0.5).alias("median"), F.percentile(x, 0.05).alias("p05"), F.percentile(x, 0.95).alias("p95")]
+def _with_quantiles(table: DataFrame, rows: DataFrame, keys: Sequence[str], value: str, **shares: float) -> DataFrame:
+    """table, one row per key, with quantiles of the rows' values: null for a key without any."""
+    found = radix.quantiles(rows, keys, value, shares)
+    out = table.alias("a").join(found.alias("q"), radix.same(keys, "a", "q"), "left")
+    return out.select("a.*", *[F.col(f"q.{n}") for n in shares])
 
 
 def distributions(versions: DataFrame, keys: Sequence[str] = ("condition", "source_label")) -> DataFrame:
-    """A-14."""
-    return versions.groupBy(*keys).agg(
-        F.count("score").alias("count"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), *quantiles("score")
-    )
+    """A-14: quantiles are exact and interpolated; scores need not be rounded."""
+    table = versions.groupBy(*keys).agg(F.count("score").alias("count"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"))
+    return _with_quantiles(table, versions, keys, "score", median=0.5, p05=0.05, p95=0.95)
 
 
 def consistency_distribution(items: DataFrame, value: str = "consistency") -> DataFrame:
     """A-15, A-17."""
-    return items.agg(
-        F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.min(value).alias("min"), F.percentile(value, 0.05).alias("p05")
-    )
+    return _with_quantiles(items.agg(F.avg(value).alias("mean"), F.min(value).alias("min")), items, [], value, median=0.5, p05=0.05)
 
 
 def runtime(items: DataFrame, seconds: str, patches: str) -> DataFrame:
     """A-16: the mean number of patches is truncated."""
-    return items.agg(
-        F.avg(seconds).alias("mean"), F.percentile(seconds, 0.5).alias("median"), F.min(seconds).alias("min"),
-        F.max(seconds).alias("max"), F.sum(seconds).alias("total"), F.avg(patches).cast("int").alias("mean_patches"),
+    table = items.agg(
+        F.avg(seconds).alias("mean"), F.min(seconds).alias("min"), F.max(seconds).alias("max"), F.sum(seconds).alias("total"),
+        F.avg(patches).cast("int").alias("mean_patches"),
     )
+    return _with_quantiles(table, items, [], seconds, median=0.5)
 
 
 def score_drift(versions: DataFrame, baseline: str = "clean") -> DataFrame:

@@ -13,6 +13,8 @@ def session(app: str = "plumbline", **conf: str) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # the JVM never compiles a method over 8,000 bytes: such a stage is faster without code of its own
+        "spark.sql.codegen.hugeMethodLimit": "8000",
     }
     for k, v in (base | conf).items():
         builder = builder.config(k, v)
