@@ -102,7 +102,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Mapping[st
 
     Selection in three counting passes: over first digits, over second digits inside those
     that hold a wanted rank, over values inside those. What a task holds is counts of digits;
-    values are never gathered. A key without values has no row."""
+    values are never gathered. A key without values has no row; without keys there is one row."""
     keys = list(keys)
     rows = digits(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x")), "_x")
     wanted = F.array(*[F.struct(F.lit(f"{name}:{side}").alias("t"), F.lit(q).alias("q"), F.lit(side).alias("side")) for name, q in shares.items() for side in (0, 1)])
