@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("evaluation", "scoring", "preparation", "extras", "decisions", "exact", "containers", "patching")
+MODULES = ("evaluation", "scoring", "preparation", "extras", "decisions", "exact", "containers", "patching", "sessions")
 
 
 def _modules():

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from ..functions.rules import clip
 
 
-def event_scores(events: DataFrame) -> DataFrame:
-    """event_id, at, label, score; null values have no score and are left out."""
+def event_scores(events: DataFrame, *more: str) -> DataFrame:
+    """event_id, at, label, score and further columns; null values have no score and are left out."""
     rows = events.where(F.col("value").isNotNull())
     return rows.select(
-        "event_id", F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type") == "error", 1).otherwise(0).alias("label"), clip(F.col("value") / 100).alias("score")
+        "event_id", F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_type") == "error", 1).otherwise(0).alias("label"), clip(F.col("value") / 100).alias("score"), *more
     )
 
 
