@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from . import lineage, radix
 
 # Upper edges of ten equal bins as doubles
 EDGES = (0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9)
@@ -166,41 +167,77 @@ def fit_temperature(df: DataFrame, label: str = "binary_label", score: str = "sc
         hist.unpersist()
 
 
-def fit_groups(df: DataFrame, keys: Sequence[str], label: str = "binary_label", score: str = "score", ridge: float = 1e-6) -> DataFrame:
-    """X-05: a Platt fit for each group: keys, scale, bias; null where a group lacks a class.
+#: groups up to which their parameters are broadcast, and parts of a group beyond that
+GROUPS, PARTS = 1 << 16, 32
 
-    Groups meet as histograms of distinct scores, so a task holds no more rows than those."""
+
+def _beside(hist: DataFrame, state: DataFrame, keys: Sequence[str], few: bool) -> DataFrame:
+    """hist with the columns of its group's state. Rows of a group stay spread over tasks."""
+    if few:
+        return hist.alias("h").join(F.broadcast(state).alias("s"), radix.same(keys, "h", "s")).select("h.*", *[f"s.{c}" for c in state.columns if c not in keys])
+    parts = state.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    rows = hist.withColumn("_part", F.pmod(F.xxhash64("x"), F.lit(PARTS)).cast("int"))
+    both = rows.alias("h").join(parts.alias("s"), radix.same([*keys, "_part"], "h", "s"))
+    return both.select(*[f"h.{c}" for c in hist.columns], *[f"s.{c}" for c in state.columns if c not in keys])
+
+
+def fit_groups(
+    df: DataFrame, keys: Sequence[str], label: str = "binary_label", score: str = "score", ridge: float = 1e-6, steps: int = 100, tolerance: float = 1e-9
+) -> DataFrame:
+    """X-05, I-01: a Platt fit for each group: keys, scale, bias; null where a group lacks a class.
+
+    All groups take their damped Newton steps together. A step is two aggregates, the sums of
+    the gradient and then the losses of the halved steps, partial in every task, so no task
+    holds a group; groups that have converged are left out of the next one."""
     keys = [*keys]
     hist = df.where(F.col(score).isNotNull()).groupBy(*keys, rules.logit(F.col(score)).alias("x")).agg(
         F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) != 1).alias("n")
-    )
-    kinds = [f"`{c}` {t}" for c, t in hist.select(*keys).dtypes]
-
-    def fit(group, frame):
-        import numpy as np
-        import pandas as pd
-
-        x, p, n = (frame[c].to_numpy(float) for c in ("x", "p", "n"))
-        w = np.array([1.0, 0.0])
-        if p.sum() and n.sum():
-            a, m = np.stack([x, np.ones(len(x))], 1), p + n
-            aim = (p * (p.sum() + 1) / (p.sum() + 2) + n / (n.sum() + 2)) / m
-            loss = lambda w: float((m * (np.logaddexp(0, a @ w) - aim * (a @ w))).sum() + 0.5 * ridge * w @ w)
-            for _ in range(100):
-                q = 1 / (1 + np.exp(-np.clip(a @ w, -60, 60)))
-                slope = a.T @ (m * (q - aim)) + ridge * w
-                if np.abs(slope).max() < 1e-9:
-                    break
-                step, now = np.linalg.solve((a * (m * q * (1 - q))[:, None]).T @ a + ridge * np.eye(2), slope), loss(w)
-                tries = [w - step / 2.0**k for k in range(40)]
-                after = next((t for t in tries if loss(t) <= now), w)
-                if np.abs(after - w).max() < 1e-12:
-                    break
-                w = after
-        else:
-            w = np.array([np.nan, np.nan])
-        return pd.DataFrame([(*group, *w)], columns=[*keys, "scale", "bias"])
-
-    out = hist.groupBy(*keys).applyInPandas(fit, ", ".join([*kinds, "scale double", "bias double"]))
-    known = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
-    return out.select(*keys, known("scale"), known("bias"))
+    ).persist()
+    try:
+        x, p, n, a, b = (F.col(c) for c in ("x", "p", "n", "scale", "bias"))
+        loss = lambda a, b: F.sum(p * _loss(a * x + b, F.col("high")) + n * _loss(a * x + b, F.col("low"))) + F.first(0.5 * ridge * (a * a + b * b))
+        size = hist.groupBy(*keys).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg")).select(
+            *keys, ((F.col("pos") + 1.0) / (F.col("pos") + 2.0)).alias("high"), (1.0 / (F.col("neg") + 2.0)).alias("low"),
+            F.lit(1.0).alias("scale"), F.lit(0.0).alias("bias"), ((F.col("pos") == 0) | (F.col("neg") == 0)).alias("lacking"),
+        )
+        size = lineage.settled(size)
+        few = size.count() <= GROUPS
+        lacking = size.where("lacking").select(*keys, F.lit(None).cast("double").alias("scale"), F.lit(None).cast("double").alias("bias"))
+        fixed = ["high", "low", "scale", "bias"]
+        first = _beside(hist, size.where("not lacking").drop("lacking"), keys, few)
+        state = lineage.settled(first.groupBy(*keys).agg(*[F.first(c).alias(c) for c in fixed], loss(a, b).alias("now")))
+        done = []
+        fixed.append("now")
+        for _ in range(steps):
+            if state.isEmpty():
+                break
+            q = rules.sigmoid(a * x + b)
+            off, w = p * (q - F.col("high")) + n * (q - F.col("low")), (p + n) * q * (1.0 - q)
+            sums = _beside(hist, state, keys, few).groupBy(*keys).agg(
+                *[F.first(c).alias(c) for c in fixed], (F.sum(off * x) + F.first(ridge * a)).alias("ga"), (F.sum(off) + F.first(ridge * b)).alias("gb"),
+                (F.sum(w * x * x) + ridge).alias("haa"), F.sum(w * x).alias("hab"), (F.sum(w) + ridge).alias("hbb"),
+            )
+            det = F.expr("haa * hbb - hab * hab")
+            tried = sums.withColumns({"da": F.expr("hbb * ga - hab * gb") / det, "db": F.expr("haa * gb - hab * ga") / det})
+            # what a step could still gain
+            flat = (F.greatest(F.abs("ga"), F.abs("gb")) < tolerance) | (F.expr("da * ga + db * gb") <= 1e-13 * F.greatest(F.lit(1.0), F.abs("now")))
+            tried = tried.select(*keys, *fixed, "da", "db", flat.alias("flat"))
+            halved = [(a - F.col("da") / 2.0**k, b - F.col("db") / 2.0**k) for k in (*range(6), 8, 12, 20, 39)]
+            fits = F.array(*[F.struct(loss(s, t).alias("now"), F.first(s).alias("scale"), F.first(t).alias("bias")) for s, t in halved])
+            after = _beside(hist, tried, keys, few).groupBy(*keys).agg(*[F.first(c).alias(c) for c in (*fixed, "flat")], fits.alias("fits"))
+            better = F.get(F.filter("fits", lambda f: f["now"] <= F.col("now")), 0)
+            still = ~F.col("flat") & better.isNotNull()
+            after = after.withColumn("_f", F.when(still, better))
+            moved = F.greatest(F.abs(F.col("_f.scale") - a), F.abs(F.col("_f.bias") - b))
+            after = after.select(
+                *keys, "high", "low", *[F.coalesce(f"_f.{c}", c).alias(c) for c in ("scale", "bias", "now")], F.coalesce(moved < tolerance, F.lit(True)).alias("done")
+            )
+            after = lineage.settled(after)
+            done.append(after.where("done").select(*keys, "scale", "bias"))
+            state = after.where("not done").drop("done")
+        out = lacking
+        for part in [*done, state.select(*keys, "scale", "bias")]:
+            out = out.unionByName(part)
+        return out
+    finally:
+        hist.unpersist()

@@ -168,3 +168,24 @@ def test_unknown_rules_are_errors():
     with pytest.raises(ValueError):
         rules.AbstentionRules(rules=("other",))
     assert rules.effective_threshold(None, {"balanced": 0.69}, "f1") == 0.69
+
+
+@pytest.mark.parametrize("few", [1 << 16, 0])
+def test_joint_newton_steps_equal_single_fits(spark, few, monkeypatch):
+    """Separable, skewed, tiny and one-class groups, and a null key, with the parameters broadcast or shuffled."""
+    monkeypatch.setattr(calibration, "GROUPS", few)
+    rng = np.random.default_rng(11)
+    rows = [("big", int(y), float(np.clip(0.4 + 0.2 * y + rng.normal(0, 0.2), 0.001, 0.999))) for y in rng.integers(0, 2, 3000)]
+    rows += [(None, int(y), float(rng.random())) for y in rng.integers(0, 2, 40)]
+    rows += [("apart", y, 0.01 + 0.98 * y) for y in [0, 1] * 10] + [("two", 0, 0.3), ("two", 1, 0.6), ("one", 1, 0.5), ("none", 1, None)]
+    df = spark.createDataFrame(rows, "g string, binary_label int, score double")
+    found = {r["g"]: (r["scale"], r["bias"]) for r in calibration.fit_groups(df, ["g"]).collect()}
+    assert set(found) == {"big", None, "apart", "two", "one"} and found.pop("one") == (None, None)
+    for g, fit in found.items():
+        one = calibration.fit_platt(df.where(F.col("g").eqNullSafe(F.lit(g))))
+        assert fit == pytest.approx((one.scale, one.bias), abs=1e-5), g
+
+
+def test_generated_methods_stay_small(spark):
+    """No stage of the scoring queries has a method that the JVM would refuse to compile."""
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
