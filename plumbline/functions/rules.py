@@ -85,8 +85,8 @@ def array_std(a: Scores) -> Column:
     if isinstance(a, Column):
         squares = let(array_mean(a), lambda mean: F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)))
     else:
-        mean = array_mean(a)
-        squares = array_sum([(x - mean) * (x - mean) for x in a])
+        # the mean is taken once and not for each score
+        squares = let(array_mean(a), lambda mean: array_sum([(x - mean) * (x - mean) for x in a]))
     return F.sqrt(F.try_divide(squares, size(a).cast("double")))
 
 

@@ -80,19 +80,22 @@ def binary_metrics(df: DataFrame, keys: Sequence[str], threshold: float, label:
     return from_histogram(histogram(df, keys, label, score), keys, threshold)
 
 
-def from_histogram(hist: DataFrame, keys: Sequence[str], threshold: float, moments: bool = False) -> DataFrame:
-    """The same from (keys, score, p, n); with ``moments`` also count, mean_score and std_score (A-08)."""
+def from_histogram(
+    hist: DataFrame, keys: Sequence[str], threshold: float, moments: bool = False, more: dict[str, Column] | None = None
+) -> DataFrame:
+    """The same from (keys, score, p, n); with ``moments`` also count, mean_score and std_score (A-08),
+    and with ``more`` further sums over the rows of a key."""
     yes = F.col("score") >= threshold
     count = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0))
     sums = {"tp": count("p", yes), "fp": count("n", yes), "tn": count("n", ~yes), "fn": count("p", ~yes)}
     if moments:
         m, x = F.col("p") + F.col("n"), F.col("score")
         sums |= {"_m": F.sum(m), "_x": F.sum(x * m), "_xx": F.sum(x * x * m)}
-    out = radix.auc_fold(hist, keys, sums)
-    more = []
+    out = radix.auc_fold(hist, keys, sums | (more or {}))
+    more = [*(more or {})]
     if moments:
         mean = F.col("_x") / F.col("_m")
-        more = [F.col("_m").alias("count"), mean.alias("mean_score"), F.sqrt(F.greatest(F.col("_xx") / F.col("_m") - mean * mean, F.lit(0.0))).alias("std_score")]
+        more += [F.col("_m").alias("count"), mean.alias("mean_score"), F.sqrt(F.greatest(F.col("_xx") / F.col("_m") - mean * mean, F.lit(0.0))).alias("std_score")]
     return with_rates(out.select(*keys, *COUNTS, _auc().alias("auc"), *more))
 
 

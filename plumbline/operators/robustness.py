@@ -65,13 +65,20 @@ def variant_metrics(items: DataFrame, names: Sequence[str], threshold: float, la
 def families(items: DataFrame, names: dict[int, str], threshold: float, score: str = "fused", shared: int = 0) -> DataFrame:
     """A-12, J-10: each positive class against the shared pool of class ``shared``.
 
-    Rows of the pool are exploded into every family; nothing is joined."""
+    Items become counts per class and score first; those of the pool are exploded into every
+    family, and one pass over them gives metrics and mean. Nothing is joined."""
+    counts = items.groupBy("source_label", "binary_label", F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("c"))
     every = F.array(*[F.lit(v) for v in names.values()])
     own = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.array(F.lit(v)))])
     member = F.when(F.col("source_label") == shared, every).otherwise(F.try_element_at(own, F.col("source_label")))
-    long = items.withColumn("family", F.explode(member))
-    mean = long.where(F.col("source_label") != shared).groupBy("family").agg(F.avg(F.coalesce(score, F.lit(0.0))).alias("mean_score"))
-    return metrics.binary_metrics(long, ["family"], threshold, score=score).join(mean, "family", "left")
+    known, yes = F.col("score").isNotNull(), F.col("binary_label") == 1
+    some = lambda when, name: F.sum(F.when(when, F.col("c")).otherwise(0)).alias(name)
+    hist = counts.withColumn("family", F.explode(member)).groupBy("family", "score").agg(
+        some(known & yes, "p"), some(known & ~yes, "n"), some(F.col("source_label") != shared, "own")
+    )
+    sums = {"_own": F.sum("own"), "_total": F.sum(F.coalesce("score", F.lit(0.0)) * F.col("own"))}
+    out = metrics.from_histogram(hist, ["family"], threshold, more=sums)
+    return out.withColumn("mean_score", F.try_divide(F.col("_total"), F.col("_own").cast("double"))).drop("_own", "_total")
 
 
 def class_breakdown(versions: DataFrame, threshold: float) -> DataFrame:
