@@ -17,9 +17,9 @@ task keeps the scores of words it has seen in a table that is emptied when full.
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; with no
 labelled rows all texts are; characters outside the vocabulary have one small
 probability in every language; a null doc_id is not held out and not learned from;
-a run of over ``LONGEST`` letters counts as several
-words, so that no lattice grows with a text; repeated rows are predicted alike; empty tables give empty results; other columns
-(lang and source included) are not read when predicting.
+a word of over ``LONGEST`` letters is not learned from, and is scored exactly in a pass
+that keeps the last few places only; repeated rows are predicted alike; empty tables give
+empty results; other columns (lang and source included) are not read when predicting.
 """
 
 from __future__ import annotations
@@ -40,8 +40,9 @@ UNKNOWN = -18.0  # log-probability of a character that no piece has
 MARK = "▁"
 WORDS = 400_000  # scores that a task keeps
 _U = np.uint64
-LONGEST = 256  # letters of a word; longer runs are several words
-_LETTERS = regex.compile(r"\p{L}{1,%d}" % LONGEST)
+LONGEST = 256  # letters of a word whose whole lattice is held
+STEP = 4096  # places of a longer one whose pieces are looked up together
+_LETTERS = regex.compile(r"\p{L}+")
 _BASE = _U(0x9E3779B97F4A7C15)
 
 
@@ -107,6 +108,30 @@ class Pieces:
                             spans[i, j + 1] = found
                 yield pick, n, spans
 
+    def long(self, word: str, logp: np.ndarray) -> np.ndarray:
+        """What _forward gives at the end of one word of any length, by language."""
+        codes = np.frombuffer((MARK + word).encode("utf-32-le"), np.uint32).astype(_U)
+        n, reach = len(codes), self.longest
+        ahead = np.full((reach + 1, logp.shape[1]), -np.inf)  # log-sums of the place and those after it, in turn
+        ahead[0] = 0.0
+        sizes = np.arange(1, reach + 1)
+        for a in range(0, n, STEP):
+            starts = np.arange(a, min(a + STEP, n))
+            h, ids = np.zeros(len(starts), _U), np.full((len(starts), reach), -1)
+            for k in range(reach):
+                inside = np.flatnonzero(starts + k < n)
+                h[inside] = h[inside] * _BASE + codes[starts[inside] + k]
+                ids[inside, k] = self.find(h[inside])
+            for i, found in zip(starts.tolist(), ids, strict=True):
+                weight = logp[found]
+                weight[found < 0] = -np.inf
+                if found[0] < 0:
+                    weight[0] = UNKNOWN
+                to = (i + sizes) % (reach + 1)
+                ahead[to] = np.logaddexp(ahead[to], ahead[i % (reach + 1)] + weight)
+                ahead[i % (reach + 1)] = -np.inf
+        return ahead[n % (reach + 1)]
+
 
 def _forward(n: int, spans: dict, logp: np.ndarray, reverse: bool = False) -> np.ndarray:
     """Log-sums over all cuts up to (or from) each place: [place, word, language]."""
@@ -159,7 +184,8 @@ def _word_rows(batches):
         total: Counter = Counter()
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             for w, n in Counter(words_of(text)).items():
-                total[lang, w] += n
+                if len(w) <= LONGEST:
+                    total[lang, w] += n
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.string()), pa.array(list(total.values()), pa.int64())],
             names=["lang", "word", "n"],
@@ -206,8 +232,12 @@ class Scorer:
 
     def _learn(self, new: list[str]) -> None:
         base = len(self.number)
-        for pick, n, spans in self.pieces.lattices(new):
-            self.scores[base + pick] = _forward(n, spans, self.logp)[n]
+        short = np.array([k for k, w in enumerate(new) if len(w) <= LONGEST], np.int64)
+        for pick, n, spans in self.pieces.lattices([new[k] for k in short]):
+            self.scores[base + short[pick]] = _forward(n, spans, self.logp)[n]
+        for k, w in enumerate(new):
+            if len(w) > LONGEST:
+                self.scores[base + k] = self.pieces.long(w, self.logp)
         self.number.update(zip(new, range(base, base + len(new)), strict=True))
 
     def totals(self, texts: list[list[str]]) -> np.ndarray:
