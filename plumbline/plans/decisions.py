@@ -188,4 +188,11 @@ def _whole_groups(records: DataFrame) -> DataFrame:
     return records.withColumn("split", splits.bucket(F.sha2("group_id", 256), 0.1, 0.2))
 
 
-_add(assembled_dataset)
+SHARE = "(('0x' || substr(sha256(group_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+_add(assembled_dataset, f"""WITH {preparation.REC},
+  wg AS (SELECT path, label, group_id, hash, CASE WHEN {SHARE} < 0.1::DOUBLE THEN 'test' WHEN {SHARE} < {0.1 + 0.2!r}::DOUBLE THEN 'validation' ELSE 'train' END AS split FROM rec),
+  kp AS (SELECT split, label, group_id FROM wg WHERE hash NOT IN (SELECT hash FROM wg GROUP BY hash HAVING count(DISTINCT label) > 1)),
+  ba AS (SELECT round_even(count(*) * 0.1::DOUBLE / (1 - 0.1::DOUBLE), 0) AS wanted FROM kp WHERE split = 'train'),
+  dr AS (SELECT page_id, row_number() OVER (ORDER BY sha256('1234:synthetic-mixture:page_' || page_id), 'page_' || page_id) AS r FROM pages),
+  al AS (SELECT * FROM kp UNION ALL SELECT 'train', 1, 'synthetic_mixture:p' || (page_id % 50) FROM dr WHERE r <= (SELECT wanted FROM ba))
+  SELECT split, starts_with(group_id, 'synthetic_mixture') AS mixed, count(*) AS count, sum(label)::BIGINT AS positives, count(DISTINCT group_id) AS groups FROM al GROUP BY 1, 2""")
