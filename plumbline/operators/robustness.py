@@ -151,6 +151,28 @@ def score_histogram(versions: DataFrame, bins: int = 25) -> DataFrame:
     return versions.where(F.col("score").isNotNull()).groupBy("condition", F.least(at, F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("count"))
 
 
+def range_histogram(rows: DataFrame, keys: Sequence[str], value: str = "score", bins: int = 10) -> DataFrame:
+    """A-37: equal bins between the least and the largest known value of each key, all of them, the last one closed.
+
+    A key with one value has bins from half below to half above it. Rows are counted per bin
+    in their tasks; only two numbers of a key are joined to them."""
+    keys = list(keys)
+    known = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
+    ends = known.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    flat = F.col("_lo") == F.col("_hi")
+    ends = ends.select(*keys, F.when(flat, F.col("_lo") - 0.5).otherwise(F.col("_lo")).alias("_lo"), F.when(flat, F.col("_hi") + 0.5).otherwise(F.col("_hi")).alias("_hi"))
+    edge = lambda k: F.when(k >= bins, F.col("_hi")).otherwise(F.col("_lo") + k * ((F.col("_hi") - F.col("_lo")) / float(bins)))
+    both = known.alias("r").join(ends.alias("e"), radix.same(keys, "r", "e")).select("r.*", "e._lo", "e._hi")
+    near = F.greatest(F.least(F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1)), F.lit(0))
+    # edges are compared as doubles: a value on one is in the bin above it
+    both = both.withColumn("_k", near)
+    at = F.when(F.col("_x") < edge(F.col("_k")), F.col("_k") - 1).when((F.col("_k") < bins - 1) & (F.col("_x") >= edge(F.col("_k") + 1)), F.col("_k") + 1).otherwise(F.col("_k"))
+    counts = both.groupBy(*keys, at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("c"))
+    every = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    out = every.alias("e").join(counts.alias("c"), radix.same([*keys, "bin"], "e", "c"), "left")
+    return out.select(*[f"e.{k}" for k in keys], "e.bin", edge(F.col("e.bin")).alias("lower"), edge(F.col("e.bin") + 1).alias("upper"), F.coalesce("c.c", F.lit(0)).alias("count"))
+
+
 def mode_ablation(rows: DataFrame, threshold: float, baseline: str = "off") -> DataFrame:
     """A-26, R-18: rows(binary_label, mode, score, own, passes, seconds, coverage, reused) per
     mode against ``baseline``; ``own`` is the item's score in that one."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import metrics, radix
+from ..operators import metrics, radix, robustness
 from ..sources import adapters
 from . import sql as S
 from .evaluation import DIGITS, rounded
@@ -73,3 +73,13 @@ def exact_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add(exact_quantiles, f"WITH {PRICES} SELECT status, binary_label, " + ", ".join(f"round(quantile_cont(score, {q}), {DIGITS}) AS {n}" for n, q in SHARES.items()) + " FROM pr GROUP BY 1, 2")
+
+
+def range_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A-37: ten bins over the range of each status's prices."""
+    return rounded(robustness.range_histogram(_prices(spark, sf_dir), ["status"]), "lower", "upper")
+
+
+_add(range_histogram, f"""WITH {PRICES}, e AS (SELECT status, min(score) AS lo, max(score) AS hi FROM pr GROUP BY 1),
+  b AS (SELECT status, k, lo + k * ((hi - lo) / 10.0::DOUBLE) AS lower, CASE WHEN k = 9 THEN hi ELSE lo + (k + 1) * ((hi - lo) / 10.0::DOUBLE) END AS upper FROM e CROSS JOIN range(10) t(k))
+  SELECT b.status, k::INT AS bin, round(lower, {DIGITS}) AS lower, round(upper, {DIGITS}) AS upper, count(score) AS count FROM b LEFT JOIN pr ON b.status = pr.status AND score >= lower AND (score < upper OR (k = 9 AND score <= upper)) GROUP BY ALL""")

@@ -90,3 +90,16 @@ def test_no_window_holds_a_whole_key(spark):
     rows = spark.range(200_000).select((F.lit(1.0) - F.col("id") * 1e-14).alias("score"))
     sizes = radix.digits(rows, "score").groupBy("_d1", "_d2").count().agg(F.max("count"), F.count(F.lit(1))).first()
     assert sizes[0] < 200_000 / 5 and sizes[1] < 200_000 / 5
+
+
+def test_histogram_over_the_range_of_the_data(spark):
+    from plumbline.operators import robustness
+
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", None]), rng.choice([rng.random(), round(rng.random(), 1), -3.0])) for _ in range(400)] + [("one", 0.3)] * 3 + [("none", None)]
+    found = robustness.range_histogram(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()
+    for k in ("a", None, "one"):
+        own = sorted((r["bin"], r["lower"], r["upper"], r["count"]) for r in found if r["k"] == k)
+        counts, edges = np.histogram([v for g, v in rows if g == k and v is not None], 10)
+        assert [r[3] for r in own] == counts.tolist() and np.allclose([r[1] for r in own], edges[:-1]) and np.allclose([r[2] for r in own], edges[1:])
+    assert len(found) == 30
