@@ -94,12 +94,18 @@ _add(chosen_patches, f"""WITH {GRID}, b AS (SELECT id, place::INT AS place, x::I
   r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, place) AS k FROM b) SELECT * EXCLUDE (k) FROM r WHERE k <= 3""")
 
 
+CHAINS = pixels.chains(1234)
+
+
 def chain_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E-02, E-04: chains as rows of operations, with the seeds of each."""
-    return pixels.chain_table(spark, seed=1234)
+    """E-02, E-04: every part's image gets one of the chains, as rows of operations with their seeds."""
+    parts = adapters.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % len(CHAINS)).cast("int").alias("ordinal"))
+    return parts.join(F.broadcast(pixels.chain_table(spark, seed=1234)), "ordinal")  # some dozen rows, whatever the input
 
 
-_add(chain_steps)
+_chains = ", ".join(f"({k}, '{n}', {list(ops)!r})" for k, (n, ops) in enumerate(CHAINS))
+_add(chain_steps, f"""WITH c(ordinal, chain, ops) AS (VALUES {_chains}), s AS (SELECT ordinal, chain, unnest(ops) AS op, generate_subscripts(ops, 1) - 1 AS position FROM c)
+  SELECT p_partkey AS id, s.ordinal::INT AS ordinal, chain, position::INT AS position, op, {1234}::BIGINT + {pixels.PLACE_STEP} * position AS seed FROM part JOIN s ON p_partkey % {len(CHAINS)} = s.ordinal""")
 
 
 def _tiles(spark, sf_dir) -> DataFrame:

@@ -46,19 +46,21 @@ def export(rows: DataFrame, folder: str) -> None:
     A sink: tasks write their own rows, files are named by the rows, so a task may run twice.
     ``folder`` has to be a mounted path that all executors see."""
 
-    def write(part):
+    def write(rows):
         import os
+        import uuid
 
         os.makedirs(folder, exist_ok=True)
-        for row in part:
+        for row in rows:
             path = os.path.join(folder, row["file"])
             digest = lambda b: hashlib.sha256(b).digest()
             if os.path.exists(path):
                 with open(path, "rb") as old:
                     if digest(old.read()) == digest(bytes(row["content"])):
                         continue
-            with open(path + ".tmp", "wb") as out:
+            part = f"{path}.{uuid.uuid4().hex}.tmp"  # its own name for every attempt, as two may run at once
+            with open(part, "wb") as out:
                 out.write(bytes(row["content"]))
-            os.replace(path + ".tmp", path)
+            os.replace(part, path)
 
     rows.select("file", "content").foreachPartition(write)
