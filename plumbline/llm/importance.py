@@ -108,13 +108,12 @@ def dictionary(docs: DataFrame, order: int = ORDER, buckets: int = BUCKETS) -> D
 
 
 def gains(own: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, gain) of the buckets of own(bucket, n); at most ``buckets`` rows."""
+    """(bucket, gain) of the buckets of own(bucket, n); at most ``buckets`` rows. Both are written tables."""
     side = lambda df, name: df.groupBy("bucket").agg(F.sum("n").alias(name))
-    s, t = side(own, "s"), side(target, "t")
-    total = lambda df, name: F.broadcast(df.agg(F.coalesce(F.sum(name), F.lit(0)).cast("double").alias(f"{name}_all")))  # noqa: E731  one row
-    both = s.join(F.broadcast(t), "bucket", "left").crossJoin(total(s, "s")).crossJoin(total(t, "t"))
+    total = lambda df: float(df.agg(F.sum("n")).first()[0] or 0)  # noqa: E731  one number
+    both = side(own, "s").join(F.broadcast(side(target, "t")), "bucket", "left")
     s1, t1 = F.col("s").cast("double") + 1, F.coalesce("t", F.lit(0)).cast("double") + 1
-    return both.select("bucket", F.floor(1000 * F.ln(t1 * (F.col("s_all") + buckets) / (s1 * (F.col("t_all") + buckets)))).alias("gain"))
+    return both.select("bucket", F.floor(1000 * F.ln(t1 * (total(own) + buckets) / (s1 * (total(target) + buckets)))).alias("gain"))
 
 
 def _frequent(words: DataFrame) -> tuple[dict[bytes, int], int]:
@@ -166,7 +165,8 @@ def _weighed(order: int, hot):
 def _scores(docs: DataFrame, target: DataFrame, order: int, buckets: int, seed: int) -> DataFrame:
     """(doc_id, n_words, n_features, weight, score) of every row of docs(doc_id, text)."""
     counted = materialize(dictionary(docs, order, buckets), "dictionary")
-    gain = materialize(gains(counted, dictionary(target, order, buckets), buckets), "gains")
+    aim = materialize(dictionary(target, order, buckets), "target")
+    gain = materialize(gains(counted, aim, buckets), "gains")
     words = counted.join(F.broadcast(gain), "bucket").select("key", "gain", "n")  # at most ``buckets`` rows
     frequent, most = _frequent(words)
     hot = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -183,7 +183,7 @@ def _scores(docs: DataFrame, target: DataFrame, order: int, buckets: int, seed:
     noise = F.floor(-1000 * F.ln(-F.ln((h + 0.5) / 4294967296.0)))
     out = out.select("doc_id", "n_words", "n_features", weight.alias("weight"), (weight + noise).alias("score"))
     out = materialize(out, "scores")
-    discard(counted, gain, each)
+    discard(counted, aim, gain, each)
     return out
 
 
