@@ -297,13 +297,33 @@ _add(calibration_rollup, f"""WITH {CAL_SQL}, o AS (SELECT round(max(ece) FILTER
   SELECT *, worst_ece - clean_ece <= 0.05::DOUBLE AS stable FROM o""")
 
 
+def _hist_sql(rel: str, key: str, score: str) -> str:
+    """CTE h: positives and negatives per logit of a score."""
+    return f"""h AS (SELECT {key} AS g, ln(least(greatest({score}, 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) / least(greatest(1.0::DOUBLE - {score}, 1e-6::DOUBLE), 1.0::DOUBLE)) AS x,
+    count(*) FILTER (binary_label = 1) AS p, count(*) FILTER (binary_label <> 1) AS n FROM {rel} WHERE {score} IS NOT NULL GROUP BY 1, 2)"""
+
+
+def _newton_sql(steps: int, slope_only: bool = False) -> str:
+    """CTEs s0 to s<steps>: whole Newton steps written out one after another, from 0 (a slope alone: from 1)."""
+    out = f"""tg AS (SELECT g, (sum(p) + 1.0::DOUBLE) / (sum(p) + 2.0::DOUBLE) AS high, 1.0::DOUBLE / (sum(n) + 2.0::DOUBLE) AS low FROM h GROUP BY 1), s0 AS (SELECT g, {int(slope_only)}::DOUBLE AS a, 0.0::DOUBLE AS b FROM tg)"""
+    for k in range(steps):
+        rows = f"(SELECT h.*, a, b, high, low, 1.0::DOUBLE / (1.0::DOUBLE + exp(-least(greatest(a * x + b, -60), 60))) AS q FROM h JOIN s{k} USING (g) JOIN tg USING (g))"
+        if slope_only:
+            out += f""", s{k + 1} AS (SELECT g, greatest(any_value(a) - sum((p * (q - 1) + n * q) * x) / greatest(sum((p + n) * q * (1 - q) * x * x), 1e-12::DOUBLE), 1e-6::DOUBLE) AS a, 0.0::DOUBLE AS b FROM {rows} GROUP BY g)"""
+            continue
+        out += f""", s{k + 1} AS (SELECT g, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM (
+      SELECT g, any_value(a) AS a, any_value(b) AS b, sum((p * (q - high) + n * (q - low)) * x) + 1e-6::DOUBLE * any_value(a) AS ga, sum(p * (q - high) + n * (q - low)) + 1e-6::DOUBLE * any_value(b) AS gb,
+        sum((p + n) * q * (1 - q) * x * x) + 1e-6::DOUBLE AS haa, sum((p + n) * q * (1 - q) * x) AS hab, sum((p + n) * q * (1 - q)) + 1e-6::DOUBLE AS hbb FROM {rows} GROUP BY g))"""
+    return out
+
+
 def platt_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I-01: iterative; tests compare it with a row-level fit."""
     fit = calibration.fit_platt(adapters.scored_documents(spark, sf_dir), score="clean")
     return spark.createDataFrame([(fit.method, round(fit.scale, 6), round(fit.bias, 6))], "method string, scale double, bias double")
 
 
-_add(platt_fit)
+_add(platt_fit, f"WITH {D}, {_hist_sql('sd', '1', 'clean')}, {_newton_sql(16)} SELECT 'platt' AS method, round(a, 6) AS scale, round(b, 6) AS bias FROM s16")
 
 
 def temperature_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,7 +332,7 @@ def temperature_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(fit.method, round(fit.scale, 6), round(fit.temperature, 4))], "method string, scale double, temperature double")
 
 
-_add(temperature_fit)
+_add(temperature_fit, f"WITH {D}, {_hist_sql('sd', '1', 'clean')}, {_newton_sql(24, True)} SELECT 'temperature' AS method, round(a, 6) AS scale, round(1.0::DOUBLE / a, 4) AS temperature FROM s24")
 
 
 def platt_by_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -321,7 +341,7 @@ def platt_by_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("condition", F.round("scale", 6).alias("scale"), F.round("bias", 6).alias("bias"))
 
 
-_add(platt_by_condition)
+_add(platt_by_condition, f"WITH {V}, {_hist_sql('vs', 'condition', 'score')}, {_newton_sql(16)} SELECT g AS condition, round(a, 6) AS scale, round(b, 6) AS bias FROM s16")
 
 
 def _modes(spark, sf_dir) -> DataFrame:
