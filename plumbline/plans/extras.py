@@ -55,7 +55,7 @@ _add(exact_grid, f"""WITH {IMG}, t AS (SELECT *, width // 4 AS tw, height // 4 A
 
 def refine_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-07, W-09."""
-    return geometry.refine(geometry.patch_grid(_images(spark, sf_dir)))
+    return geometry.refine(geometry.grids(_images(spark, sf_dir)))
 
 
 _add(refine_boxes, f"""WITH {GRID} SELECT DISTINCT id, (x + i * (s // 2))::INT AS x, (y + j * (s // 2))::INT AS y, (s // 2)::INT AS w, (s // 2)::INT AS h
@@ -75,7 +75,7 @@ _add(topk_evidence, f"""WITH {adapters.ITEMS_SQL}, s AS (SELECT item_id, list_re
 
 def heatmap_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-08: cells of 128 pixels; a box's score follows from its place."""
-    boxes = geometry.patch_grid(_images(spark, sf_dir)).withColumn("score", F.col("place") / 16.0)
+    boxes = geometry.with_scores(geometry.grids(_images(spark, sf_dir)), lambda b: b["place"] / 16.0)
     return rounded(geometry.heatmap(boxes, 128), "score")
 
 
@@ -86,7 +86,7 @@ _add(heatmap_coverage, f"""WITH {GRID}, c AS (SELECT id, place / 16.0::DOUBLE AS
 
 def chosen_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-09: the three highest boxes of each image."""
-    boxes = geometry.patch_grid(_images(spark, sf_dir)).withColumn("score", (F.col("place") * 7 % 5) / 5.0)
+    boxes = geometry.with_scores(geometry.grids(_images(spark, sf_dir)), lambda b: (b["place"] * 7 % 5) / 5.0)
     return geometry.chosen_patches(boxes, 3)
 
 
