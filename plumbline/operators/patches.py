@@ -21,6 +21,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rules import let
 from . import geometry
 
 MODES = ("off", "coarse", "full", "top_k", "uncertain_only")
@@ -52,32 +53,34 @@ class Settings:
 
 
 def _grid(images: DataFrame, s: Settings, dense: bool) -> DataFrame:
-    """id, place, box, width, height, whole of items with boxes enough."""
+    """id, place, box, width, height, whole of items, and ``_n``, how many boxes the item has."""
     stride, most = (s.stride, s.most) if dense else (max(s.stride, s.size), s.coarse)
-    boxes = geometry.patch_grid(images, s.size, stride, s.least, most)
-    return boxes.join(images.select("id", "width", "height", "whole"), "id")
+    rows = geometry.grids(images.where("id is not null"), s.size, stride, s.least, most, ("width", "height", "whole"))
+    boxes = F.transform("boxes", lambda b: b.withField("_n", F.size("boxes")))
+    return geometry.opened(rows, ["id", "width", "height", "whole"], boxes).select("id", "place", *BOX, "width", "height", "whole", "_n")
 
 
 def _scored(boxes: DataFrame, scorer: Callable[[DataFrame], DataFrame], known: DataFrame | None) -> DataFrame:
-    """boxes with score and ``origin``: whole, known or model."""
+    """boxes with score and ``origin``: whole, known or model. What is known of a box is in its ``_known``, if there is one, or in ``known``."""
+    names = [c for c in boxes.columns if c != "_known"]
     covers = (F.col("x") == 0) & (F.col("y") == 0) & (F.col("w") == F.col("width")) & (F.col("h") == F.col("height")) & F.col("whole").isNotNull()
-    if known is None:
-        rows = boxes.withColumn("_known", F.lit(None).cast("double"))
-    else:
-        rows = boxes.join(known.select("id", *BOX, F.col("score").alias("_known")).dropDuplicates(["id", *BOX]), ["id", *BOX], "left")
+    rows = boxes if "_known" in boxes.columns else boxes.withColumn("_known", F.lit(None).cast("double"))
+    if known is not None:
+        cache = known.select("id", *BOX, F.col("score").alias("_cached")).dropDuplicates(["id", *BOX])
+        rows = rows.join(cache.hint("merge"), ["id", *BOX], "left").withColumn("_known", F.coalesce("_known", "_cached"))
     score = F.when(covers, F.col("whole")).otherwise(F.col("_known"))
     rows = rows.withColumn("_score", score).withColumn("_origin", F.when(covers, "whole").when(F.col("_known").isNotNull(), "known").otherwise("model"))
-    rows = rows.select(*boxes.columns, "_score", "_origin")
+    rows = rows.select(*names, "_score", "_origin")
     # two plain branches, so that a scorer in Python sees only what it has to score
-    done = rows.where("_origin <> 'model'").select(*boxes.columns, F.col("_score").alias("score"), F.col("_origin").alias("origin"))
+    done = rows.where("_origin <> 'model'").select(*names, F.col("_score").alias("score"), F.col("_origin").alias("origin"))
     new = scorer(rows.where("_origin = 'model'").drop("_score", "_origin"))
-    return done.unionByName(new.select(*boxes.columns, "score", F.lit("model").alias("origin")))
+    return done.unionByName(new.select(*names, "score", F.lit("model").alias("origin")))
 
 
-def _parts(scored: DataFrame, s: Settings) -> DataFrame:
-    """The parts of the k highest boxes of each item, each once, as far as the budget goes."""
+def _parts(scored: DataFrame, s: Settings, tasks: int) -> DataFrame:
+    """The parts of the k highest boxes of each item, each once, as far as the budget goes, with the score of an equal box as ``_known``."""
     best = F.struct((-F.col("score")).alias("s"), "place", *BOX)
-    items = scored.groupBy("id", "width", "height", "whole").agg(F.sort_array(F.collect_list(best)).alias("b"))
+    items = geometry.dealt(scored, tasks).groupBy("id", "width", "height", "whole").agg(F.sort_array(F.collect_list(best)).alias("b"))
     steps = [(i, j) for j in range(s.factor) for i in range(s.factor)]
 
     def divided(b: Column) -> Column:
@@ -89,9 +92,11 @@ def _parts(scored: DataFrame, s: Settings) -> DataFrame:
 
     each = F.array_distinct(F.flatten(F.transform(F.slice("b", 1, s.k), divided)))
     budget = F.greatest(F.lit(s.most) - F.size("b"), F.lit(0))
-    rows = items.select("id", "width", "height", "whole", F.size("b").alias("_n"), F.slice(each, F.lit(1), budget).alias("parts"))
-    rows = rows.select("id", "width", "height", "whole", "_n", F.posexplode("parts").alias("_k", "p"))
-    return rows.select("id", (F.col("_n") + F.col("_k")).alias("place"), *[F.col(f"p.{c}").alias(c) for c in BOX], "width", "height", "whole")
+    rows = items.select("id", "width", "height", "whole", "b", F.slice(each, F.lit(1), budget).alias("parts"))
+    same = lambda b, p: (b["x"] == p["x"]) & (b["y"] == p["y"]) & (b["w"] == p["w"]) & (b["h"] == p["h"])
+    known = lambda p: -F.get(F.filter("b", lambda b: same(b, p)), F.lit(0))["s"]
+    rows = rows.withColumn("parts", F.transform("parts", lambda p, k: F.struct((F.size("b") + k).alias("place"), *[p[c].alias(c) for c in BOX], known(p).alias("_known"))))
+    return geometry.opened(rows, ["id", "width", "height", "whole"], "parts").select("id", "place", *BOX, "width", "height", "whole", "_known")
 
 
 def scan(images: DataFrame, scorer: Callable[[DataFrame], DataFrame], settings: Settings, known: DataFrame | None = None) -> DataFrame:
@@ -108,14 +113,12 @@ def scan(images: DataFrame, scorer: Callable[[DataFrame], DataFrame], settings:
         images = images.limit(0)
     boxes = _grid(images, s, mode == "full")
     if mode != "top_k":
-        several = boxes.groupBy("id").agg(F.max("place").alias("_last")).where("_last > 0").select("id")
-        boxes = boxes.join(several, "id", "left_semi")
-    first = _scored(boxes, scorer, known).withColumn("pass", F.lit(1))
+        boxes = boxes.where("_n > 1")
+    first = _scored(boxes.drop("_n"), scorer, known).withColumn("pass", F.lit(1))
     out = first
     if mode == "top_k" and s.factor > 1:
         # what the first pass has scored is known to the second
-        before = first.select("id", *BOX, "score")
-        second = _scored(_parts(first, s), scorer, before if known is None else before.unionByName(known.select("id", *BOX, "score")))
+        second = _scored(_parts(first, s, geometry.tasks(images)), scorer, known)
         out = first.unionByName(second.withColumn("pass", F.lit(2)))
     return out.select("id", "place", *BOX, F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("score"), "pass", "origin")
 
@@ -123,23 +126,28 @@ def scan(images: DataFrame, scorer: Callable[[DataFrame], DataFrame], settings:
 def covered(boxes: Column) -> Column:
     """Pixels that at least one of an item's boxes (an array of structs with x, y, w, h) covers.
 
-    The edges of the boxes cut the image into cells that are covered as a whole or not at all."""
-    edges = lambda a, s: F.array_sort(F.array_distinct(F.flatten(F.transform(boxes, lambda b: F.array(b[a], b[a] + b[s])))))
-    spans = lambda e: F.transform(F.slice(e, F.lit(1), F.size(e) - 1), lambda v, k: F.struct(v.alias("at"), (F.get(e, k + 1) - v).alias("n")))
-    inside = lambda b, x, y: (b["x"] <= x["at"]) & (x["at"] < b["x"] + b["w"]) & (b["y"] <= y["at"]) & (y["at"] < b["y"] + b["h"])
-    cell = lambda x, y: F.when(F.exists(boxes, lambda b: inside(b, x, y)), x["n"].cast("long") * y["n"]).otherwise(F.lit(0).cast("long"))
-    total = lambda xs, one: F.aggregate(F.transform(xs, one), F.lit(0).cast("long"), lambda a, v: a + v)
-    return F.when(F.size(boxes) > 0, total(spans(edges("x", "w")), lambda x: total(spans(edges("y", "h")), lambda y: cell(x, y)))).otherwise(F.lit(0).cast("long"))
+    The left and right edges of the boxes cut the image into strips; a strip's boxes are
+    gone through from the top, and each adds what reaches below those before it."""
+    spans = F.array_sort(F.transform(boxes, lambda b: F.struct(b["y"].alias("y"), (b["y"] + b["h"]).alias("t"), b["x"].alias("x"), (b["x"] + b["w"]).alias("r"))))
+    edges = lambda o: F.array_sort(F.array_distinct(F.flatten(F.transform(o, lambda b: F.array(b["x"], b["r"])))))
+    below = lambda a, b: F.greatest(b["t"] - F.greatest(a["end"], b["y"]), F.lit(0))
+    step = lambda a, b: F.struct(F.greatest(a["end"], b["t"]).alias("end"), (a["n"] + below(a, b)).alias("n"))
+    none = F.struct(F.lit(-(1 << 31)).cast("int").alias("end"), F.lit(0).cast("long").alias("n"))
+    down = lambda o, at: F.aggregate(F.filter(o, lambda b: (b["x"] <= at) & (at < b["r"])), none, step, lambda a: a["n"])
+    strips = lambda o, e: F.transform(F.slice(e, F.lit(1), F.size(e) - 1), lambda v, k: (F.get(e, k + 1) - v).cast("long") * down(o, v))
+    total = lambda o: F.aggregate(let(edges(o), lambda e: strips(o, e)), F.lit(0).cast("long"), lambda a, v: a + v)
+    return F.when(F.size(boxes) > 0, let(spans, total)).otherwise(F.lit(0).cast("long"))
 
 
 def summary(images: DataFrame, boxes: DataFrame, threshold: float, k: int = Settings.k) -> DataFrame:
     """One row per image: available, boxes, passes, reused, evidence (mean of the k highest), agreement with the whole score's side, coverage."""
     box = F.struct("score", *BOX)
-    own = boxes.groupBy("id").agg(
+    tasks = geometry.tasks(images)
+    own = geometry.dealt(boxes, tasks).groupBy("id").agg(
         F.collect_list(box).alias("b"), F.count_if(F.col("origin") == "model").alias("passes"), F.count_if(F.col("origin") != "model").alias("reused"),
         F.avg("score").alias("_mean"), F.count_if(F.col("score") >= threshold).alias("_yes"),
     )
-    rows = images.select("id", "width", "height", "whole").join(own, "id", "left")
+    rows = geometry.dealt(images.select("id", "width", "height", "whole"), tasks).join(own.hint("merge"), "id", "left")
     top = F.slice(F.sort_array(F.transform("b", lambda x: x["score"]), False), 1, k)
     evidence = F.aggregate(top, F.lit(0.0), lambda a, x: a + x) / F.size(top)
     side = F.coalesce("whole", "_mean") >= threshold
